@@ -52,3 +52,70 @@ sql("page_count", f"""
            CAST(greatest(1, ceil(rows / page_size)) AS BIGINT) AS page_count_exact
     FROM (SELECT count(*) AS rows FROM contacts WHERE {_SEARCH}), (VALUES (5), (10), (20), (50)) s(page_size)""",
     "contacts")
+
+# --- contacts: write side ------------------------------------------------
+_RUN = f"TIMESTAMP '{Q.RUN_TS}'"
+sql("contact_import", f"""
+    SELECT id, name, phone, city, created_at FROM contacts
+    UNION ALL
+    SELECT (SELECT max(id) FROM contacts) + row_number() OVER (ORDER BY upload_pos), name, phone, city, {_RUN}
+    FROM uploads u
+    WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.name = u.name AND c.phone = u.phone)""",
+    "contacts", "uploads")
+sql("contact_import_all", f"""
+    SELECT id, name, phone, city, created_at FROM contacts
+    UNION ALL
+    SELECT (SELECT max(id) FROM contacts) + row_number() OVER (ORDER BY upload_pos), name, phone, city, {_RUN}
+    FROM uploads u""", "contacts", "uploads")
+sql("import_report", """
+    SELECT upload_pos, name, phone, city,
+      CASE WHEN name IS NULL OR name = '' OR phone IS NULL OR phone = '' OR city IS NULL OR city = '' THEN 'invalid'
+           WHEN EXISTS (SELECT 1 FROM contacts c WHERE c.name = u.name AND c.phone = u.phone) THEN 'duplicate'
+           ELSE 'inserted' END AS status
+    FROM uploads u""", "contacts", "uploads")
+sql("contact_update", """
+    SELECT c.id,
+           CASE WHEN l.id IS NOT NULL THEN l.name ELSE c.name END AS name,
+           CASE WHEN l.id IS NOT NULL THEN l.phone ELSE c.phone END AS phone,
+           CASE WHEN l.id IS NOT NULL THEN l.city ELSE c.city END AS city,
+           c.created_at
+    FROM contacts c LEFT JOIN
+      (SELECT * FROM edits WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l
+      ON c.id = l.id""", "contacts", "edits")
+sql("contact_delete", "SELECT * FROM contacts WHERE id NOT IN (SELECT id FROM deletes WHERE id IS NOT NULL)",
+    "contacts", "deletes")
+sql("contact_backfill", f"""
+    SELECT id, name, phone, city, coalesce(created_at, {_RUN}) AS created_at FROM contacts""", "contacts")
+
+# --- profiling -----------------------------------------------------------
+_TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in __import__(
+    "sparkdesk.functions.patterns", fromlist=["MISSING_TOKENS"]).MISSING_TOKENS)
+sql("profile_table", f"""
+    SELECT count(*) AS rows, 5 AS columns,
+      CAST(coalesce(sum(CAST(id IS NULL AS BIGINT)
+        + CAST(name IS NULL OR name IN ({_TOKENS}) AS BIGINT)
+        + CAST(phone IS NULL OR phone IN ({_TOKENS}) AS BIGINT)
+        + CAST(city IS NULL OR city IN ({_TOKENS}) AS BIGINT)
+        + CAST(created_at IS NULL AS BIGINT)), 0) AS BIGINT) AS missing,
+      'id' AS numeric_columns, 'id,name,phone,city,created_at' AS column_names
+    FROM contacts""", "contacts")
+sql("numeric_series", "SELECT event_id AS pos, value FROM events")
+sql("health_describe", """
+    WITH long AS (
+      SELECT 'event_id' AS metric, CAST(event_id AS DOUBLE) AS v FROM events
+      UNION ALL SELECT 'user_id', CAST(user_id AS DOUBLE) FROM events
+      UNION ALL SELECT 'value', value FROM events),
+    s AS (
+      SELECT metric, CAST(count(v) AS DOUBLE) AS "count", avg(v) AS "mean", stddev_samp(v) AS "std",
+             min(v) AS "min", quantile_cont(v, 0.25) AS "25%", quantile_cont(v, 0.5) AS "50%",
+             quantile_cont(v, 0.75) AS "75%", max(v) AS "max"
+      FROM long WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY metric)
+    SELECT metric, stat, round(value, 6) AS value
+    FROM s UNPIVOT (value FOR stat IN ("count", "mean", "std", "min", "25%", "50%", "75%", "max"))""")
+sql("text_describe", """
+    WITH long AS (SELECT 'event_type' AS "column", event_type AS v FROM events
+                  UNION ALL SELECT 'props', props FROM events),
+    f AS (SELECT "column", v, count(*) AS fr FROM long WHERE v IS NOT NULL GROUP BY ALL)
+    SELECT "column", CAST(sum(fr) AS BIGINT) AS "count", count(*) AS "unique",
+           arg_min(v, (-fr, v)) AS top, max(fr) AS freq
+    FROM f GROUP BY "column" """)

@@ -108,3 +108,71 @@ def contact_page(spark, d):
 def page_count(spark, d):
     found = facets.search(V.contacts(spark, d), SEARCH, "name")
     return facets.page_counts(found, [5, 10, 20, 50])
+
+
+# --- contacts: write side ------------------------------------------------
+
+@query
+def contact_import(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.import_rows(V.contacts(spark, d), V.uploads(spark, d), "upload_pos",
+                         dedup=True, validate=False, run_ts=RUN_TS)
+
+
+@query
+def contact_import_all(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.import_rows(V.contacts(spark, d), V.uploads(spark, d), "upload_pos",
+                         dedup=False, validate=False, run_ts=RUN_TS)
+
+
+@query
+def import_report(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.import_report(V.contacts(spark, d), V.uploads(spark, d), validate=True)
+
+
+@query
+def contact_update(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.update_rows(V.contacts(spark, d), V.edits(spark, d))
+
+
+@query
+def contact_delete(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.delete_rows(V.contacts(spark, d), V.deletes(spark, d))
+
+
+@query
+def contact_backfill(spark, d):
+    from sparkdesk.operators import contacts as K
+    return K.backfill_timestamps(V.contacts(spark, d), run_ts=RUN_TS)
+
+
+# --- profiling -----------------------------------------------------------
+
+@query
+def profile_table(spark, d):
+    from sparkdesk.operators import profile as Pr
+    return Pr.profile(V.contacts(spark, d))
+
+
+@query
+def numeric_series(spark, d):
+    e = V.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("pos"), "value")
+
+
+@query
+def health_describe(spark, d):
+    from sparkdesk.operators import profile as Pr
+    e = V.table(spark, d, "events")
+    return Pr.describe(e, ["event_id", "user_id", "value"]).select(
+        "metric", "stat", F.round("value", 6).alias("value"))
+
+
+@query
+def text_describe(spark, d):
+    from sparkdesk.operators import profile as Pr
+    return Pr.describe_text(V.table(spark, d, "events"), ["event_type", "props"])
