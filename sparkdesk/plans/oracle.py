@@ -119,3 +119,84 @@ sql("text_describe", """
     SELECT "column", CAST(sum(fr) AS BIGINT) AS "count", count(*) AS "unique",
            arg_min(v, (-fr, v)) AS top, max(fr) AS freq
     FROM f GROUP BY "column" """)
+
+# --- bills ---------------------------------------------------------------
+from sparkdesk.functions import patterns as P  # noqa: E402
+
+
+def _fields(text: str = "text") -> str:
+    return f"""
+      nullif(regexp_extract({text}, '{P.EMAIL}', 0), '') AS email,
+      nullif(regexp_extract({text}, '{P.bounded_digits_re2("10")}', 2), '') AS phone,
+      nullif(regexp_extract({text}, '{P.plan_re2()}', 0), '') AS plan,
+      nullif(regexp_extract({text}, '{P.bounded_digits_re2("12,")}', 2), '') AS account_id,
+      regexp_extract_all({text}, '{P.DATE}')[1] AS statement_date,
+      nullif(regexp_extract({text}, '{P.PERIOD}', 0), '') AS statement_period,
+      TRY_CAST(replace(nullif(regexp_extract({text}, '{P.amount_pattern()}', 1), ''), ',', '') AS DOUBLE) AS amount,
+      CASE WHEN len(regexp_extract_all({text}, '{P.DATE}')) >= 2
+           THEN regexp_extract_all({text}, '{P.DATE}')[-1] END AS due_date"""
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in P.MONTHS) + "]"
+_BILLS = f"""
+  bf AS (SELECT file, pos, account, {_fields()} FROM bill_text),
+  bm AS (SELECT *, nullif(list_position({_MONTHS}, nullif(regexp_extract(statement_period, '{P.MONTH_OF_PERIOD}', 1), '')), 0) AS month_ord,
+                nullif(regexp_extract(statement_period, '{P.YEAR_AT_END}', 1), '') AS year FROM bf),
+  bm2 AS (SELECT *, CASE WHEN month_ord IS NOT NULL THEN {_MONTHS}[month_ord] END AS month,
+                 last_value(amount IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur
+          FROM bm),
+  bm3 AS (SELECT *, lag(cur) OVER (ORDER BY pos) AS prev FROM bm2),
+  be AS (SELECT *, CASE WHEN prev IS NULL OR cur IS NULL THEN NULL WHEN prev <> 0 THEN (cur / prev - 1) * 100
+                        WHEN cur > 0 THEN CAST('inf' AS DOUBLE) WHEN cur < 0 THEN CAST('-inf' AS DOUBLE) END AS pct_change
+         FROM bm3),
+  bills AS (SELECT *, CASE WHEN pct_change > 15 THEN '{P.SPIKE_LABEL}' WHEN pct_change < -15 THEN '{P.DROP_LABEL}'
+                           ELSE '{P.NORMAL_LABEL}' END AS anomaly FROM be),
+  fb AS (SELECT * FROM bills WHERE month IS NOT NULL)"""
+
+
+def _bills(select: str) -> str:
+    return W(f"SELECT 1", "bill_text").replace("\nSELECT 1", "," + _BILLS + "\n" + select)
+
+
+ORACLE["bill_fields"] = W(f"SELECT file, pos, account, {_fields()} FROM bill_text", "bill_text")
+ORACLE["doc_fields"] = W(f"SELECT doc_id, {_fields()} FROM docs", "docs")
+ORACLE["bill_anomalies"] = _bills("""
+    SELECT file, pos, account, amount, month, CAST(month_ord AS INTEGER) AS month_ord, year,
+           round(pct_change, 6) AS pct_change, anomaly FROM bills""")
+ORACLE["bill_kpis"] = _bills("""
+    SELECT count(*) AS bills, round(coalesce(sum(amount), 0), 2) AS total_spend,
+           round(avg(amount), 6) AS avg_bill, round(max(amount), 2) AS max_bill FROM fb""")
+ORACLE["bill_month_share"] = _bills("""
+    SELECT month, CAST(month_ord AS INTEGER) AS month_ord, round(sum(amount), 2) AS amount,
+           round(sum(amount) / (SELECT sum(amount) FROM fb), 6) AS share FROM fb GROUP BY 1, 2""")
+ORACLE["bill_month_anomaly"] = _bills("""
+    SELECT month, CAST(month_ord AS INTEGER) AS month_ord, anomaly, round(sum(amount), 2) AS amount,
+           count(*) AS bills FROM fb GROUP BY 1, 2, 3""")
+ORACLE["bill_insights"] = _bills(f"""
+    , s AS (SELECT *, row_number() OVER (ORDER BY month_ord, year NULLS FIRST, pos) AS seq FROM fb),
+    s2 AS (SELECT *, last_value(amount IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c2 FROM s),
+    s3 AS (SELECT *, lag(c2) OVER (ORDER BY seq) AS p2 FROM s2),
+    s4 AS (SELECT *, CASE WHEN p2 IS NULL OR c2 IS NULL THEN NULL WHEN p2 <> 0 THEN (c2 / p2 - 1) * 100
+                          WHEN c2 > 0 THEN CAST('inf' AS DOUBLE) WHEN c2 < 0 THEN CAST('-inf' AS DOUBLE) END AS ch FROM s3),
+    st AS (SELECT count(amount) AS nv, count(*) AS nr,
+                  arg_min(amount, seq) FILTER (WHERE amount IS NOT NULL) AS first,
+                  arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS last,
+                  arg_max(month, (amount, -seq)) FILTER (WHERE amount IS NOT NULL) AS hi_m,
+                  max(amount) AS hi_a,
+                  arg_min(month, (amount, seq)) FILTER (WHERE amount IS NOT NULL) AS lo_m,
+                  min(amount) AS lo_a FROM s)
+    SELECT CAST(0 AS BIGINT) AS seq, '{P.NO_DATA_INSIGHT}' AS message FROM st WHERE nv < 2
+    UNION ALL
+    SELECT 0, CASE WHEN last > first THEN '📈 Overall trend is increasing' ELSE '📉 Overall trend is decreasing' END
+    FROM st WHERE nv >= 2 AND last <> first
+    UNION ALL
+    SELECT seq, CASE WHEN ch > 15 THEN '🔺 Spike detected: +' || format('{{:.1f}}', ch) || '% in ' || month
+                     ELSE '🔻 Drop detected: ' || format('{{:.1f}}', ch) || '% in ' || month END
+    FROM s4 WHERE ch IS NOT NULL AND abs(ch) > 15 AND (SELECT nv FROM st) >= 2
+    UNION ALL
+    SELECT nr + 1, '💰 Highest bill: {P.CURRENCY}' || format('{{:,.2f}}', hi_a) || ' (' || hi_m || ')' FROM st WHERE nv >= 2
+    UNION ALL
+    SELECT nr + 2, '💸 Lowest bill: {P.CURRENCY}' || format('{{:,.2f}}', lo_a) || ' (' || lo_m || ')' FROM st WHERE nv >= 2""")
+ORACLE["first_bill_per_file"] = W("""
+    SELECT file, pos, account, text FROM bill_text QUALIFY row_number() OVER (PARTITION BY file ORDER BY pos) = 1""",
+                                  "bill_text")

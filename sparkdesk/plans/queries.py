@@ -176,3 +176,63 @@ def health_describe(spark, d):
 def text_describe(spark, d):
     from sparkdesk.operators import profile as Pr
     return Pr.describe_text(V.table(spark, d, "events"), ["event_type", "props"])
+
+
+# --- bills ---------------------------------------------------------------
+
+def _bill_fields(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.extract_fields(V.bill_text(spark, d), "text", ("file", "pos", "account"))
+
+
+def _bills_enriched(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.enrich(_bill_fields(spark, d), "pos")
+
+
+@query
+def bill_fields(spark, d):
+    return _bill_fields(spark, d)
+
+
+@query
+def doc_fields(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.extract_fields(V.docs(spark, d), "text", ("doc_id",))
+
+
+@query
+def bill_anomalies(spark, d):
+    e = _bills_enriched(spark, d)
+    return e.select("file", "pos", "account", "amount", "month", "month_ord", "year",
+                    F.round("pct_change", 6).alias("pct_change"), "anomaly")
+
+
+@query
+def bill_kpis(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.kpis(B.month_filter(_bills_enriched(spark, d)))
+
+
+@query
+def bill_month_share(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.month_share(B.month_filter(_bills_enriched(spark, d)))
+
+
+@query
+def bill_month_anomaly(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.month_anomaly(B.month_filter(_bills_enriched(spark, d)))
+
+
+@query
+def bill_insights(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.insights(B.month_filter(_bills_enriched(spark, d)))
+
+
+@query
+def first_bill_per_file(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.first_per_key(V.bill_text(spark, d), "file", "pos")
