@@ -19,7 +19,7 @@ def _c(c) -> Column:
 
 # Python str.strip() (Unicode whitespace at both ends; trim() only drops blanks)
 def py_strip(c) -> Column:
-    return F.regexp_replace(_c(c), rf"^{P.SPACE}+|{P.SPACE}+$", "")
+    return F.regexp_replace(_c(c), rf"^{P.SPACE}+|{P.SPACE}+\z", "")
 
 
 # Python str.title(): capital after any non-letter, rest lower-case

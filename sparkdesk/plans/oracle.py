@@ -8,8 +8,8 @@ from sparkdesk.plans.oracle_views import with_views as W
 ORACLE: dict[str, str] = {}
 
 
-def sql(name: str, text: str, *views: str) -> None:
-    ORACLE[name] = W(text, *views)
+def sql(name: str, text: str, *views: str, ctes: str = "") -> None:
+    ORACLE[name] = W(text, *views, ctes=ctes)
 
 
 _SEARCH = f"coalesce(regexp_matches(name, '{Q.SEARCH}', 'i'), false)"
@@ -154,8 +154,8 @@ _BILLS = f"""
   fb AS (SELECT * FROM bills WHERE month IS NOT NULL)"""
 
 
-def _bills(select: str) -> str:
-    return W(f"SELECT 1", "bill_text").replace("\nSELECT 1", "," + _BILLS + "\n" + select)
+def _bills(select: str, more: str = "") -> str:
+    return W(select, "bill_text", ctes=_BILLS + more)
 
 
 ORACLE["bill_fields"] = W(f"SELECT file, pos, account, {_fields()} FROM bill_text", "bill_text")
@@ -173,18 +173,6 @@ ORACLE["bill_month_anomaly"] = _bills("""
     SELECT month, CAST(month_ord AS INTEGER) AS month_ord, anomaly, round(sum(amount), 2) AS amount,
            count(*) AS bills FROM fb GROUP BY 1, 2, 3""")
 ORACLE["bill_insights"] = _bills(f"""
-    , s AS (SELECT *, row_number() OVER (ORDER BY month_ord, year NULLS FIRST, pos) AS seq FROM fb),
-    s2 AS (SELECT *, last_value(amount IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c2 FROM s),
-    s3 AS (SELECT *, lag(c2) OVER (ORDER BY seq) AS p2 FROM s2),
-    s4 AS (SELECT *, CASE WHEN p2 IS NULL OR c2 IS NULL THEN NULL WHEN p2 <> 0 THEN (c2 / p2 - 1) * 100
-                          WHEN c2 > 0 THEN CAST('inf' AS DOUBLE) WHEN c2 < 0 THEN CAST('-inf' AS DOUBLE) END AS ch FROM s3),
-    st AS (SELECT count(amount) AS nv, count(*) AS nr,
-                  arg_min(amount, seq) FILTER (WHERE amount IS NOT NULL) AS first,
-                  arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS last,
-                  arg_max(month, (amount, -seq)) FILTER (WHERE amount IS NOT NULL) AS hi_m,
-                  max(amount) AS hi_a,
-                  arg_min(month, (amount, seq)) FILTER (WHERE amount IS NOT NULL) AS lo_m,
-                  min(amount) AS lo_a FROM s)
     SELECT CAST(0 AS BIGINT) AS seq, '{P.NO_DATA_INSIGHT}' AS message FROM st WHERE nv < 2
     UNION ALL
     SELECT 0, CASE WHEN last > first THEN '📈 Overall trend is increasing' ELSE '📉 Overall trend is decreasing' END
@@ -196,7 +184,76 @@ ORACLE["bill_insights"] = _bills(f"""
     UNION ALL
     SELECT nr + 1, '💰 Highest bill: {P.CURRENCY}' || format('{{:,.2f}}', hi_a) || ' (' || hi_m || ')' FROM st WHERE nv >= 2
     UNION ALL
-    SELECT nr + 2, '💸 Lowest bill: {P.CURRENCY}' || format('{{:,.2f}}', lo_a) || ' (' || lo_m || ')' FROM st WHERE nv >= 2""")
+    SELECT nr + 2, '💸 Lowest bill: {P.CURRENCY}' || format('{{:,.2f}}', lo_a) || ' (' || lo_m || ')' FROM st WHERE nv >= 2""",
+    more=""",
+    s AS (SELECT *, row_number() OVER (ORDER BY month_ord, year NULLS FIRST, pos) AS seq FROM fb),
+    s2 AS (SELECT *, last_value(amount IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c2 FROM s),
+    s3 AS (SELECT *, lag(c2) OVER (ORDER BY seq) AS p2 FROM s2),
+    s4 AS (SELECT *, CASE WHEN p2 IS NULL OR c2 IS NULL THEN NULL WHEN p2 <> 0 THEN (c2 / p2 - 1) * 100
+                          WHEN c2 > 0 THEN CAST('inf' AS DOUBLE) WHEN c2 < 0 THEN CAST('-inf' AS DOUBLE) END AS ch FROM s3),
+    st AS (SELECT count(amount) AS nv, count(*) AS nr,
+                  arg_min(amount, seq) FILTER (WHERE amount IS NOT NULL) AS first,
+                  arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS last,
+                  arg_max(month, (amount, -seq)) FILTER (WHERE amount IS NOT NULL) AS hi_m,
+                  max(amount) AS hi_a,
+                  arg_min(month, (amount, seq)) FILTER (WHERE amount IS NOT NULL) AS lo_m,
+                  min(amount) AS lo_a FROM s)""")
 ORACLE["first_bill_per_file"] = W("""
     SELECT file, pos, account, text FROM bill_text QUALIFY row_number() OVER (PARTITION BY file ORDER BY pos) = 1""",
                                   "bill_text")
+
+# --- leader timeline -----------------------------------------------------
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{P.SPACE}+|{P.SPACE}+\\z', '', 'g')"
+
+
+def _title(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|\\P{{L}}+)'), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), '')")
+
+
+_HOLDERS = """
+    SELECT s.office, s.stmt, s.person, coalesce(l.label, 'Q' || CAST(s.person AS VARCHAR)) AS leader,
+           st.value AS start_value, e.value AS end_value
+    FROM statements s JOIN starts st ON s.stmt = st.stmt
+    LEFT JOIN ends e ON s.stmt = e.stmt
+    LEFT JOIN (SELECT qid, label FROM labels_q WHERE lang = 'en') l ON s.person = l.qid"""
+_TENURE = f"""
+    h AS ({_HOLDERS}),
+    t AS (SELECT office, stmt, leader,
+                 timezone('UTC', TRY_CAST(replace(start_value, '+', '') AS TIMESTAMPTZ)) AS start,
+                 coalesce(timezone('UTC', TRY_CAST(replace(end_value, '+', '') AS TIMESTAMPTZ)), {_RUN}) AS "end"
+          FROM h),
+    tt AS (SELECT *, CAST(year(start) AS INTEGER) AS start_year, CAST(year("end") AS INTEGER) AS end_year,
+                  CAST(year(start) AS VARCHAR) || '-' || CAST(year("end") AS VARCHAR) AS tenure_label,
+                  CAST(year("end") - year(start) AS INTEGER) AS years_served
+           FROM t WHERE start IS NOT NULL)"""
+_TL = ("statements", "starts", "ends", "labels_q")
+sql("leader_holders", _HOLDERS, *_TL)
+ORACLE["leader_tenure"] = W("SELECT * FROM tt", *_TL, ctes=_TENURE)
+ORACLE["leader_years"] = W("""
+    SELECT office, leader, CAST(sum(years_served) AS BIGINT) AS years_served, count(*) AS terms
+    FROM tt GROUP BY 1, 2""", *_TL, ctes=_TENURE)
+sql("office_lookup", """
+    SELECT p4.question_id, p4.question, p4.role, p4.country, p4.search_term, o.office_qid
+    FROM p4 LEFT JOIN o ON lower(p4.search_term) = o.term""", "questions", "offices", ctes=f"""
+    p AS (SELECT question_id, question, lower(question) AS t FROM questions),
+    p2 AS (SELECT *, CASE WHEN contains(t, 'prime minister') THEN 'Prime Minister'
+                          WHEN contains(t, 'president') THEN 'President' END AS r FROM p),
+    p3 AS (SELECT question_id, question,
+                  CASE WHEN r IS NOT NULL AND contains(t, 'of') THEN r END AS role,
+                  CASE WHEN r IS NOT NULL AND contains(t, 'of')
+                       THEN {_title(_strip("string_split(t, 'of')[-1]"))} END AS country FROM p2),
+    p4 AS (SELECT *, role || ' of ' || country AS search_term FROM p3),
+    o AS (SELECT lower(label) AS term, arg_min(qid, (rank, qid)) AS office_qid FROM offices GROUP BY 1)""")
+sql("bindings_flatten", f"""
+    SELECT event_id, pos,
+      json_extract_string(body, '$.results.bindings[' || pos || '].personLabel.value') AS person,
+      json_extract_string(body, '$.results.bindings[' || pos || '].start.value') AS start,
+      coalesce(json_extract_string(body, '$.results.bindings[' || pos || '].end.value'),
+               strftime({_RUN}, '%Y-%m-%dT%H:%M:%S')) AS "end"
+    FROM (SELECT event_id, body,
+                 unnest(range(0, CAST(json_array_length(body, '$.results.bindings') AS BIGINT))) AS pos
+          FROM bindings_json)""", "bindings_json")

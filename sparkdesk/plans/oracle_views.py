@@ -105,7 +105,9 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, ctes: str = "") -> str:
+    """Prefix ``sql`` with the named views (and their dependencies) as CTEs,
+    followed by the extra ``ctes`` text (``a AS (...), b AS (...)``)."""
     order: list[str] = []
 
     def visit(n):
@@ -117,7 +119,9 @@ def with_views(sql: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    if not order:
+    parts = [f"{n} AS ({VIEWS[n][0]})" for n in order]
+    if ctes.strip():
+        parts.append(ctes.strip().lstrip(","))
+    if not parts:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in order)
-    return f"WITH {ctes}\n{sql}"
+    return "WITH " + ",\n".join(parts) + "\n" + sql

@@ -236,3 +236,42 @@ def bill_insights(spark, d):
 def first_bill_per_file(spark, d):
     from sparkdesk.operators import bills as B
     return B.first_per_key(V.bill_text(spark, d), "file", "pos")
+
+
+# --- leader timeline -----------------------------------------------------
+
+def _holders(spark, d):
+    from sparkdesk.operators import timeline as T
+    return T.office_holders(V.statements(spark, d), V.starts(spark, d), V.ends(spark, d),
+                            V.labels_q(spark, d))
+
+
+@query
+def leader_holders(spark, d):
+    return _holders(spark, d)
+
+
+@query
+def leader_tenure(spark, d):
+    from sparkdesk.operators import timeline as T
+    return T.tenure(_holders(spark, d), RUN_TS)
+
+
+@query
+def leader_years(spark, d):
+    from sparkdesk.operators import timeline as T
+    return T.years_per_leader(T.tenure(_holders(spark, d), RUN_TS, sort=False))
+
+
+@query
+def office_lookup(spark, d):
+    from sparkdesk.operators import timeline as T
+    parsed = T.parse_question(V.questions(spark, d))
+    return T.lookup_office(parsed, V.offices(spark, d)).select(
+        "question_id", "question", "role", "country", "search_term", "office_qid")
+
+
+@query
+def bindings_flatten(spark, d):
+    from sparkdesk.operators import timeline as T
+    return T.flatten_bindings(V.bindings_json(spark, d), "body", ("event_id",), RUN_TS)
