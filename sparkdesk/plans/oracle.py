@@ -257,3 +257,59 @@ sql("bindings_flatten", f"""
     FROM (SELECT event_id, body,
                  unnest(range(0, CAST(json_array_length(body, '$.results.bindings') AS BIGINT))) AS pos
           FROM bindings_json)""", "bindings_json")
+
+# --- documents and retrieval ---------------------------------------------
+_STEP = P.CHUNK_SIZE - P.CHUNK_OVERLAP
+_CHUNKS = f"""
+    ch AS (SELECT doc_id, CAST(s // {_STEP} AS BIGINT) AS chunk_no, substring(text, s + 1, {P.CHUNK_SIZE}) AS chunk
+           FROM (SELECT doc_id, text, unnest(range(0, length(text), {_STEP})) AS s FROM docs WHERE length(text) > 0))"""
+sql("doc_chunks", "SELECT * FROM ch", "docs", ctes=_CHUNKS)
+sql("page_text", """
+    SELECT doc_id, string_agg(coalesce(text, ''), '' ORDER BY page_no) AS text, count(*) AS n_pages
+    FROM pages_text GROUP BY doc_id""", "pages_text")
+sql("clean_docs", f"""
+    SELECT doc_id, CASE WHEN text IS NOT NULL AND {_strip('text')} <> '' THEN {_strip('text')} END AS text,
+           CASE WHEN text IS NULL OR {_strip('text')} = '' THEN '{P.BLANK_TRANSCRIPT_MESSAGE}' END AS message
+    FROM docs""", "docs")
+_head, _rest = P.RAG_PROMPT.split("{context}")
+_mid, _tail = _rest.split("{query}")
+
+
+def _lit(s: str) -> str:
+    return "(" + " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n")) + ")"
+
+
+_RAG = """
+    el AS (SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings),
+    cm AS (SELECT label, i, CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS m FROM el GROUP BY label, i),
+    q AS (SELECT CAST(label AS BIGINT) AS query_id,
+                 'Which passages are closest to label ' || CAST(label AS VARCHAR) || '?' AS question,
+                 list(m ORDER BY i) AS qv FROM cm GROUP BY label),
+    dist AS (SELECT q.query_id, e.vec_id,
+                    list_sum(list_transform(generate_series(1, len(e.embedding)),
+                             lambda j: pow(CAST(e.embedding[j] AS DOUBLE) - CAST(q.qv[j] AS DOUBLE), 2))) AS distance
+             FROM q, embeddings e),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM dist
+            QUALIFY rank <= 3),
+    hits AS (SELECT top.query_id, top.rank, top.vec_id, top.distance, d.text FROM top JOIN documents d ON d.doc_id = top.vec_id),
+    ctx AS (SELECT query_id, count(*) AS n_hits, string_agg(text, chr(10) ORDER BY rank) AS context FROM hits GROUP BY query_id),
+    pr AS (SELECT q.query_id, q.question, CAST(coalesce(ctx.n_hits, 0) AS BIGINT) AS n_hits,
+                  CASE WHEN coalesce(ctx.n_hits, 0) > 0 THEN 'rag' ELSE 'direct' END AS route,
+                  CASE WHEN coalesce(ctx.n_hits, 0) > 0 THEN """ + _lit(_head) + " || ctx.context || " + _lit(_mid) \
+    + " || q.question || " + _lit(_tail) + """ ELSE q.question END AS prompt
+           FROM q LEFT JOIN ctx ON q.query_id = ctx.query_id)"""
+sql("vector_topk", "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(distance, 6) AS distance, text FROM hits",
+    ctes=_RAG)
+sql("rag_prompts", "SELECT * FROM pr", ctes=_RAG)
+sql("rag_routes", "SELECT query_id, n_hits, route FROM pr", ctes=_RAG)
+sql("chunk_store_append", """
+    SELECT chunk_id, doc_id, chunk_no, text_hash FROM store
+    UNION ALL
+    SELECT (SELECT max(chunk_id) FROM store) + row_number() OVER (ORDER BY doc_id, chunk_no), doc_id, chunk_no, h
+    FROM b1 WHERE h NOT IN (SELECT text_hash FROM store)""", "docs", ctes=_CHUNKS + """,
+    chh AS (SELECT *, sha256(chunk) AS h FROM ch),
+    s1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no
+           FROM chh WHERE doc_id IN (SELECT doc_id FROM docs WHERE lang = 'en') GROUP BY h),
+    store AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS chunk_id, doc_id, chunk_no, h AS text_hash FROM s1),
+    b1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no
+           FROM chh GROUP BY h)""")

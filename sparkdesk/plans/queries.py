@@ -275,3 +275,70 @@ def office_lookup(spark, d):
 def bindings_flatten(spark, d):
     from sparkdesk.operators import timeline as T
     return T.flatten_bindings(V.bindings_json(spark, d), "body", ("event_id",), RUN_TS)
+
+
+# --- documents and retrieval ---------------------------------------------
+
+@query
+def doc_chunks(spark, d):
+    from sparkdesk.operators import retrieval as R
+    return R.chunk_text(V.docs(spark, d), "text", keep=("doc_id",))
+
+
+@query
+def page_text(spark, d):
+    from sparkdesk.operators import text as T
+    return T.assemble_pages(V.pages_text(spark, d), "doc_id", "page_no", "text")
+
+
+@query
+def clean_docs(spark, d):
+    from sparkdesk.operators import text as T
+    return T.clean_transcripts(V.docs(spark, d), "text", ("doc_id",))
+
+
+def _rag_questions(spark, d):
+    from sparkdesk.operators import retrieval as R
+    c = R.centroids(V.embeddings(spark, d), "label")
+    return c.select(F.col("label").cast("long").alias("query_id"),
+                    F.concat(F.lit("Which passages are closest to label "), F.col("label").cast("string"),
+                             F.lit("?")).alias("question"), "embedding")
+
+
+def _rag_hits(spark, d):
+    from sparkdesk.operators import retrieval as R
+    hits = R.nearest(V.embeddings(spark, d), _rag_questions(spark, d), k=3)
+    texts = V.docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text")
+    return R.attach_texts(hits, texts, "vec_id", "text")
+
+
+@query
+def vector_topk(spark, d):
+    return _rag_hits(spark, d).select("query_id", "rank", "vec_id",
+                                      F.round("distance", 6).alias("distance"), "text")
+
+
+@query
+def rag_prompts(spark, d):
+    from sparkdesk.operators import retrieval as R
+    return R.prompts(_rag_questions(spark, d).drop("embedding"), _rag_hits(spark, d))
+
+
+@query
+def rag_routes(spark, d):
+    return rag_prompts(spark, d).select("query_id", "n_hits", "route")
+
+
+@query
+def chunk_store_append(spark, d):
+    from sparkdesk.operators import retrieval as R
+    docs = V.docs(spark, d)
+    first = R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text"))
+    return R.ingest_chunks(first, R.chunk_text(docs, "text"))
+
+
+@query
+def embed_hook(spark, d):
+    from sparkdesk.operators import retrieval as R
+    chunks = R.chunk_text(V.docs(spark, d), "text")
+    return R.embed(chunks, R.hashed_bag_of_words(64), 64, text="chunk")
