@@ -313,3 +313,56 @@ sql("chunk_store_append", """
     store AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS chunk_id, doc_id, chunk_no, h AS text_hash FROM s1),
     b1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no
            FROM chh GROUP BY h)""")
+
+# --- health measurements -------------------------------------------------
+sql("health_kpis", """
+    SELECT round_even(avg(heart_rate), 1) AS avg_heart_rate, CAST(trunc(avg(steps)) AS BIGINT) AS avg_steps,
+           round_even(avg(sleep_hours), 1) AS avg_sleep FROM health""", "health")
+_ALERTS = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, round(a, 6) AS average, CAST({lim} AS DOUBLE) AS \"limit\", '{msg}' AS message "
+    f"FROM (SELECT avg(CAST({m} AS DOUBLE)) AS a FROM health) WHERE a {op} {lim}"
+    for m, op, lim, msg in P.HEALTH_ALERTS)
+sql("health_alerts", _ALERTS, "health")
+sql("health_slice", f"""
+    SELECT pos, date, heart_rate, steps, sleep_hours, bp_systolic
+    FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS pos FROM health)
+    WHERE pos BETWEEN {Q.SLICE_START} AND {Q.SLICE_END}""", "health")
+sql("health_metric_series", "SELECT date, heart_rate FROM health", "health")
+sql("health_long", """
+    SELECT date, variable, value FROM
+      (SELECT date, CAST(heart_rate AS DOUBLE) AS heart_rate, CAST(steps AS DOUBLE) AS steps,
+              CAST(sleep_hours AS DOUBLE) AS sleep_hours, CAST(bp_systolic AS DOUBLE) AS bp_systolic FROM health)
+    UNPIVOT INCLUDE NULLS (value FOR variable IN (heart_rate, steps, sleep_hours, bp_systolic))""", "health")
+sql("health_repair", """
+    SELECT TRY_CAST(nullif(trim(p[1]), '') AS DATE) AS date, TRY_CAST(nullif(trim(p[2]), '') AS DOUBLE) AS heart_rate,
+           TRY_CAST(nullif(trim(p[3]), '') AS BIGINT) AS steps, TRY_CAST(nullif(trim(p[4]), '') AS DOUBLE) AS sleep_hours,
+           TRY_CAST(nullif(trim(p[5]), '') AS BIGINT) AS bp_systolic, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT string_split(concat_ws(',', coalesce(CAST(date AS VARCHAR), ''), coalesce(CAST(heart_rate AS VARCHAR), ''),
+                 coalesce(CAST(steps AS VARCHAR), ''), coalesce(CAST(sleep_hours AS VARCHAR), ''),
+                 coalesce(CAST(bp_systolic AS VARCHAR), '')), ',') AS p FROM health)""", "health")
+sql("preview", "SELECT * FROM health ORDER BY date LIMIT 5", "health")
+
+# --- chat ----------------------------------------------------------------
+sql("chat_transcript", """
+    SELECT c.conv_id, c.turn, c.role, c.text FROM chat c
+    JOIN (SELECT conv_id, min(turn) AS f FROM chat GROUP BY conv_id) m ON c.conv_id = m.conv_id
+    WHERE NOT (c.turn = m.f AND c.role = 'system')""", "chat")
+sql("chat_append", """
+    SELECT conv_id, turn, role, text FROM chat
+    UNION ALL
+    SELECT n.conv_id, coalesce(l.lt, -1) + row_number() OVER (PARTITION BY n.conv_id ORDER BY n.src_turn), n.role, n.text
+    FROM (SELECT conv_id, turn AS src_turn, role, 'again: ' || text AS text FROM chat WHERE role = 'user') n
+    LEFT JOIN (SELECT conv_id, max(turn) AS lt FROM chat GROUP BY conv_id) l ON n.conv_id = l.conv_id""", "chat")
+
+# --- attachments ---------------------------------------------------------
+_VALID = """
+    va AS (SELECT msg_id, user_id, subject, received, pos, file_name,
+                  CASE WHEN lower(file_name) LIKE '%.xlsx' OR lower(file_name) LIKE '%.xls' THEN 'excel' ELSE 'csv' END AS reader
+           FROM attachment_files
+           WHERE contains(lower(subject), 'attachment')
+             AND (lower(file_name) LIKE '%.xlsx' OR lower(file_name) LIKE '%.xls' OR lower(file_name) LIKE '%.csv'))"""
+sql("latest_attachment", "SELECT * FROM va ORDER BY received DESC, msg_id, pos LIMIT 1", "attachment_files", ctes=_VALID)
+sql("latest_attachment_per_user", """
+    SELECT user_id, msg_id, subject, received, pos, file_name, reader FROM va
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY received DESC, msg_id, pos) = 1""",
+    "attachment_files", ctes=_VALID)

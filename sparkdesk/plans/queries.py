@@ -342,3 +342,81 @@ def embed_hook(spark, d):
     from sparkdesk.operators import retrieval as R
     chunks = R.chunk_text(V.docs(spark, d), "text")
     return R.embed(chunks, R.hashed_bag_of_words(64), 64, text="chunk")
+
+
+# --- health measurements -------------------------------------------------
+SLICE_START, SLICE_END = 3, 10
+METRICS = ["heart_rate", "steps", "sleep_hours", "bp_systolic"]
+
+
+@query
+def health_kpis(spark, d):
+    from sparkdesk.operators import series as S
+    return S.kpis(V.health(spark, d))
+
+
+@query
+def health_alerts(spark, d):
+    from sparkdesk.operators import series as S
+    return S.alerts(V.health(spark, d))
+
+
+@query
+def health_slice(spark, d):
+    from sparkdesk.operators import series as S
+    return S.position_slice(V.health(spark, d), SLICE_START, SLICE_END)
+
+
+@query
+def health_metric_series(spark, d):
+    from sparkdesk.operators import series as S
+    return S.metric_series(V.health(spark, d), "heart_rate")
+
+
+@query
+def health_long(spark, d):
+    from sparkdesk.operators import series as S
+    return S.to_long(V.health(spark, d), METRICS)
+
+
+@query
+def health_repair(spark, d):
+    from sparkdesk.operators import series as S
+    return S.repair_single_column(S.join_single_column(V.health(spark, d), "line"), "line")
+
+
+@query
+def preview(spark, d):
+    from sparkdesk.operators import facets as Fa
+    return Fa.preview(V.health(spark, d), "date", 5)
+
+
+# --- chat ----------------------------------------------------------------
+
+@query
+def chat_transcript(spark, d):
+    from sparkdesk.operators import chat as C
+    return C.transcript(V.chat(spark, d))
+
+
+@query
+def chat_append(spark, d):
+    from sparkdesk.operators import chat as C
+    log = V.chat(spark, d)
+    new = log.where(F.col("role") == "user").select(
+        "conv_id", F.col("turn").alias("src_turn"), "role", F.concat(F.lit("again: "), F.col("text")).alias("text"))
+    return C.append_messages(log, new, "src_turn")
+
+
+# --- attachments ---------------------------------------------------------
+
+@query
+def latest_attachment(spark, d):
+    from sparkdesk.operators import attachments as A
+    return A.latest(A.valid_attachments(V.messages(spark, d)))
+
+
+@query
+def latest_attachment_per_user(spark, d):
+    from sparkdesk.operators import attachments as A
+    return A.latest_per(A.valid_attachments(V.messages(spark, d)), "user_id")
