@@ -366,3 +366,8 @@ sql("latest_attachment_per_user", """
     SELECT user_id, msg_id, subject, received, pos, file_name, reader FROM va
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY received DESC, msg_id, pos) = 1""",
     "attachment_files", ctes=_VALID)
+
+# --- files, tables, streaming --------------------------------------------
+sql("csv_roundtrip", "SELECT * FROM health", "health")
+sql("stream_landing", "SELECT * FROM health", "health")
+sql("create_table", "SELECT * FROM contacts", "contacts")

@@ -420,3 +420,81 @@ def latest_attachment(spark, d):
 def latest_attachment_per_user(spark, d):
     from sparkdesk.operators import attachments as A
     return A.latest_per(A.valid_attachments(V.messages(spark, d)), "user_id")
+
+
+# --- files, tables, streaming (write to the shared scratch folder) -------
+HEALTH_SCHEMA = "date date, heart_rate double, steps long, sleep_hours double, bp_systolic long"
+DOC_SCHEMA = "doc_id long, lang string, text string"
+
+
+@query
+def csv_roundtrip(spark, d):
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    path = Fi.write_csv(V.health(spark, d), scratch_dir(spark, "csv") + "/health")
+    return Fi.read_csv(spark, path, HEALTH_SCHEMA)
+
+
+def _encoded_docs(spark, d):
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    root = scratch_dir(spark, "enc")
+    docs = V.docs(spark, d).select("doc_id", "lang", "text")
+    Fi.write_csv(docs.where(F.col("lang").isin("en", "es")), root + "/utf8")
+    Fi.write_csv(docs.where(~F.col("lang").isin("en", "es")), root + "/latin1", encoding="ISO-8859-1")
+    return root
+
+
+@query
+def csv_encodings(spark, d):
+    from sparkdesk.sources import files as Fi
+    root = _encoded_docs(spark, d)
+    return Fi.read_csv_any_encoding(spark, [root + "/utf8", root + "/latin1"], DOC_SCHEMA)
+
+
+@query
+def text_files(spark, d):
+    from sparkdesk.sources import files as Fi
+    root = _encoded_docs(spark, d)
+    return Fi.read_text_files(spark, [root + "/utf8", root + "/latin1"])
+
+
+@query
+def format_dispatch(spark, d):
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    root = scratch_dir(spark, "dispatch")
+    V.docs(spark, d).select("text").write.text(root + "/docs_txt")
+    Fi.write_csv(V.health(spark, d), root + "/health_csv")
+    V.table(spark, d, "labels").write.json(root + "/labels_json")
+    return Fi.dispatch(spark, root)
+
+
+@query
+def stream_landing(spark, d):
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    from sparkdesk.streaming.landing import land_csv
+    root = scratch_dir(spark, "landing")
+    h = V.health(spark, d)
+    # two drops into the inbox, each landed by its own availableNow run
+    Fi.write_csv(h.where(F.dayofmonth("date") <= 15), root + "/inbox", mode="append")
+    land_csv(spark, root + "/inbox", HEALTH_SCHEMA, root + "/table", root + "/ckpt")
+    Fi.write_csv(h.where(F.dayofmonth("date") > 15), root + "/inbox", mode="append")
+    land_csv(spark, root + "/inbox", HEALTH_SCHEMA, root + "/table", root + "/ckpt")
+    return spark.read.parquet(root + "/table").drop("source_file")
+
+
+@query
+def create_table(spark, d):
+    import uuid
+    from sparkdesk.operators.contacts import CONTACT_SCHEMA
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    name = f"contacts_{uuid.uuid4().hex[:10]}"
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CONTACT_SCHEMA.fields)
+    loc = scratch_dir(spark, "table")
+    Fi.create_table(spark, name, ddl, loc)
+    Fi.create_table(spark, name, ddl, loc)          # second call: no-op
+    V.contacts(spark, d).write.insertInto(name)
+    return Fi.scan_table(spark, name)
