@@ -99,7 +99,7 @@ def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no
     inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_by)
     return (b.join(offsets, [*groups, "_bucket"])
             .withColumn(out, (F.row_number().over(inner) + F.col("_off")).cast("long"))
-            .drop("_bucket", "_off"))
+            .select(*df.columns, out))
 
 
 def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
@@ -153,7 +153,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
         out = out.withColumn("_cur", F.coalesce(F.last(v, ignorenulls=True).over(running),
                                                 F.col("_carry")))
         out = out.withColumn("_prev", F.coalesce(F.lag("_cur").over(inner), F.col("_carry")))
-    return out.drop("_bucket", "_carry")
+    return out.select(*df.columns, "_cur", "_prev")
 
 
 def slice_rows(df: DataFrame, order_by: Sequence[str] | str, lo: int, hi: int,

@@ -85,11 +85,11 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
     stats = stats.select("*",
                          F.coalesce(F.sum("_n").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
                                     F.lit(0)).alias("_off"),
-                         F.sum("_n").over(Window.partitionBy(group)).alias("_N"))
+                         F.sum("_n").over(Window.partitionBy(group)).alias("_total"))
     # target ranks (0-based) below and above p*(N-1) for every group and p
-    per_group = stats.select(group, "_N").distinct()
-    tg = per_group.select(group, F.explode(parr).alias("p"), "_N")
-    tg = tg.select(group, "p", (F.col("p") * (F.col("_N") - 1)).alias("_pos"))
+    per_group = stats.select(group, "_total").distinct()
+    tg = per_group.select(group, F.explode(parr).alias("p"), "_total")
+    tg = tg.select(group, "p", (F.col("p") * (F.col("_total") - 1)).alias("_pos"))
     tg = tg.select(group, "p", "_pos", F.explode(F.array_distinct(F.array(
         F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))).alias("_r"))
     loc = tg.join(stats.select(group, "_bucket", "_off", "_n", "_lo", "_hi"), group).where(
