@@ -31,9 +31,12 @@ def py_title(c) -> Column:
         "")
 
 
-# First regex match or null
+# First regex match or null.  The match is referenced once: a
+# nullif(...) form would be expanded into two evaluations wherever the
+# optimizer inlines it (e.g. a filter pushed below the projection).
 def first_match(c, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(_c(c), pattern, group), F.lit(""))
+    hit = F.array_remove(F.array(F.regexp_extract(_c(c), pattern, group)), F.lit(""))
+    return F.get(hit, 0)
 
 
 def all_matches(c, pattern: str) -> Column:
@@ -60,8 +63,14 @@ def lenient_double(c) -> Column:
 
 # Ordered-category position (1-based), non-members -> null
 def category_ord(c, categories: Sequence[str]) -> Column:
-    pos = F.array_position(F.array(*[F.lit(x) for x in categories]), _c(c))
-    return F.nullif(pos, F.lit(0)).cast("int")
+    m = F.create_map(*[x for i, v in enumerate(categories) for x in (F.lit(v), F.lit(i + 1))])
+    return F.try_element_at(m, _c(c)).cast("int")
+
+
+def category_member(c, categories: Sequence[str]) -> Column:
+    """The value itself when it is a category, else null (one reference)."""
+    m = F.create_map(*[x for v in categories for x in (F.lit(v), F.lit(v))])
+    return F.try_element_at(m, _c(c))
 
 
 # Squared L2 distance in double

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkdesk.functions import exprs as X
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
+from sparkdesk.session import materialize
 
 FIELDS = ["email", "phone", "plan", "account_id", "statement_date",
           "statement_period", "amount", "due_date"]
@@ -46,10 +47,9 @@ def first_per_key(df: DataFrame, key: str = "file", order_by: str = "pos") -> Da
 
 # X15 + X31: month of period end (Jan..Dec, else null) and year at the end
 def with_month_year(df: DataFrame, period: str = "statement_period") -> DataFrame:
-    m = X.first_match(period, P.MONTH_OF_PERIOD, 1)
-    ord_ = X.category_ord(m, P.MONTHS)
-    return (df.withColumn("month_ord", ord_)
-            .withColumn("month", F.when(ord_.isNotNull(), m))
+    m = F.regexp_extract(F.col(period), P.MONTH_OF_PERIOD, 1)     # '' when absent
+    return (df.withColumn("month_ord", X.category_ord(m, P.MONTHS))
+            .withColumn("month", X.category_member(m, P.MONTHS))
             .withColumn("year", X.first_match(period, P.YEAR_AT_END, 1)))
 
 
@@ -111,6 +111,9 @@ def _fmt1(c):
 # n+1 highest, n+2 lowest.
 def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY, **kw) -> DataFrame:
     order = ["year", "month_ord", "pos"] if by_year else ["month_ord", "year", "pos"]
+    # several passes follow: cut the lineage once (written to the shared
+    # checkpoint folder) so the text extraction upstream runs only once
+    df = materialize(df.select("pos", "amount", "month", "month_ord", "year"))
     rows = numbering.number_rows(df, order, out="seq", **kw)
     n_rows = df.agg(F.count(F.lit(1))).scalar()
     n_vals = df.agg(F.count("amount")).scalar()

@@ -64,3 +64,13 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used before operators that read the same derived input several times;
+    the data survives executor loss (unlike a local checkpoint or cache).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
