@@ -144,3 +144,40 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         F.sum("_f").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("v", F.struct(-F.col("_f"), F.col("v"))).alias("top"),
         F.max("_f").alias("freq"))
+
+
+STAT_ORDER = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+
+
+# T13 + A18 + X19: the describe() table as ordered text lines, then the
+# analysis prompt.  The summary is a handful of rows (metrics x stats).
+def summary_prompt(described: DataFrame, template: str = P.ANALYSIS_PROMPT) -> DataFrame:
+    order = F.create_map(*[x for i, s in enumerate(STAT_ORDER) for x in (F.lit(s), F.lit(i))])
+    lines = described.select(
+        "metric", F.coalesce(F.try_element_at(order, F.col("stat")), F.lit(99)).alias("_o"),
+        F.concat_ws(" ", "metric", "stat",
+                    F.coalesce(F.format_string("%.6f", "value"), F.lit("NaN"))).alias("_line"))
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric", "_o", "_line"))),
+                                              lambda s: s["_line"]), "\n").alias("summary"))
+    head, tail = template.split("{summary}")
+    return text.select("summary", F.concat(F.lit(head), F.col("summary"), F.lit(tail)).alias("prompt"))
+
+
+# A19 with the file side: rows, columns, missing cells, bytes on disk and an
+# ingest status (S12) for a set of landed files, in one pass
+def profile_files(df: DataFrame, tokens: Sequence[str] | None = P.MISSING_TOKENS) -> DataFrame:
+    cols = [c for c in df.columns]
+    sized = df.select(*cols, F.col("_metadata.file_path").alias("_path"),
+                      F.col("_metadata.file_size").alias("_size"))
+    per_file = sized.groupBy("_path").agg(F.first("_size").alias("_size"), F.count(F.lit(1)).alias("_rows"),
+                                          F.sum(F.lit(0).cast("long") + sum(
+                                              (missing_flag(df, c, tokens) for c in cols), F.lit(0).cast("long")))
+                                          .alias("_missing"))
+    return per_file.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("rows"),
+        F.lit(len(cols)).alias("columns"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).cast("long").alias("missing"),
+        F.coalesce(F.sum("_size"), F.lit(0)).cast("long").alias("file_bytes"),
+        F.count(F.lit(1)).alias("files"),
+        F.when(F.count(F.lit(1)) == 0, F.lit("none found"))
+        .when(F.coalesce(F.sum("_rows"), F.lit(0)) == 0, F.lit("empty")).otherwise(F.lit("ok")).alias("status"))

@@ -371,3 +371,21 @@ sql("latest_attachment_per_user", """
 sql("csv_roundtrip", "SELECT * FROM health", "health")
 sql("stream_landing", "SELECT * FROM health", "health")
 sql("create_table", "SELECT * FROM contacts", "contacts")
+_STATS = ", ".join(f"('{s}', {i})" for i, s in enumerate(
+    ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]))
+sql("analysis_prompt", """
+    SELECT summary, 'Analyze this data:' || chr(10) || summary AS prompt FROM (
+      SELECT string_agg(metric || ' ' || stat || ' ' || coalesce(printf('%.6f', value), 'NaN'), chr(10)
+                        ORDER BY metric, o) AS summary
+      FROM (SELECT l.metric, l.stat, round(l.value, 6) AS value, so.o FROM
+              (SELECT metric, stat, value FROM (
+                 SELECT metric, CAST(count(v) AS DOUBLE) AS "count", avg(v) AS "mean", stddev_samp(v) AS "std",
+                        min(v) AS "min", quantile_cont(v, 0.25) AS "25%", quantile_cont(v, 0.5) AS "50%",
+                        quantile_cont(v, 0.75) AS "75%", max(v) AS "max"
+                 FROM (SELECT 'heart_rate' AS metric, CAST(heart_rate AS DOUBLE) AS v FROM health
+                       UNION ALL SELECT 'steps', CAST(steps AS DOUBLE) FROM health
+                       UNION ALL SELECT 'sleep_hours', CAST(sleep_hours AS DOUBLE) FROM health
+                       UNION ALL SELECT 'bp_systolic', CAST(bp_systolic AS DOUBLE) FROM health)
+                 WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY metric)
+               UNPIVOT INCLUDE NULLS (value FOR stat IN ("count", "mean", "std", "min", "25%", "50%", "75%", "max"))) l
+            JOIN (VALUES """ + _STATS + """) so(s, o) ON l.stat = so.s))""", "health")

@@ -498,3 +498,19 @@ def create_table(spark, d):
     Fi.create_table(spark, name, ddl, loc)          # second call: no-op
     V.contacts(spark, d).write.insertInto(name)
     return Fi.scan_table(spark, name)
+
+
+@query
+def analysis_prompt(spark, d):
+    from sparkdesk.operators import profile as Pr
+    described = Pr.describe(V.health(spark, d), ["heart_rate", "steps", "sleep_hours", "bp_systolic"])
+    return Pr.summary_prompt(described.select("metric", "stat", F.round("value", 6).alias("value")))
+
+
+@query
+def landed_profile(spark, d):
+    from sparkdesk.operators import profile as Pr
+    from sparkdesk.session import scratch_dir
+    from sparkdesk.sources import files as Fi
+    path = Fi.write_csv(V.health(spark, d), scratch_dir(spark, "landed") + "/health")
+    return Pr.profile_files(Fi.read_csv(spark, path, HEALTH_SCHEMA))
