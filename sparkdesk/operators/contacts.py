@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from sparkdesk.operators import numbering
 from sparkdesk.operators.facets import require_fields
+from sparkdesk.operators.joins import join_skipping_null_keys
 
 CONTACT_SCHEMA = StructType([
     StructField("id", LongType(), False),
@@ -49,8 +50,8 @@ def append_rows(existing: DataFrame, new: DataFrame, order_by: str | list[str],
 # before the import; repeats inside the upload are all kept, null keys never match
 def unseen_rows(existing: DataFrame, upload: DataFrame) -> DataFrame:
     up = upload.withColumn("phone", F.col("phone").cast("string"))
-    return up.join(existing.select("name", F.col("phone").cast("string").alias("phone")),
-                   ["name", "phone"], "left_anti")
+    keys = existing.select("name", F.col("phone").cast("string").alias("phone"))
+    return join_skipping_null_keys(up, keys, ["name", "phone"], "left_anti")
 
 
 # K7 + J1: bulk import without duplicates (second app) or with them (dedup=False)
@@ -71,8 +72,8 @@ def import_report(existing: DataFrame, upload: DataFrame, validate: bool = True)
         ok, bad = require_fields(up, FIELDS)
     else:
         ok, bad = up, up.limit(0)
-    dup = ok.join(keys, ["name", "phone"], "left_semi").withColumn("status", F.lit("duplicate"))
-    ins = ok.join(keys, ["name", "phone"], "left_anti").withColumn("status", F.lit("inserted"))
+    dup = join_skipping_null_keys(ok, keys, ["name", "phone"], "left_semi").withColumn("status", F.lit("duplicate"))
+    ins = join_skipping_null_keys(ok, keys, ["name", "phone"], "left_anti").withColumn("status", F.lit("inserted"))
     return bad.withColumn("status", F.lit("invalid")).unionByName(dup).unionByName(ins)
 
 

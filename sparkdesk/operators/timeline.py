@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sparkdesk.functions import exprs as X
+from sparkdesk.operators.joins import join_skipping_null_keys
 
 
 def _ts(run_ts) -> Column:
@@ -36,8 +37,8 @@ def lookup_office(parsed: DataFrame, offices: DataFrame, term: str = "search_ter
                   out: str = "office_qid") -> DataFrame:
     first = (offices.groupBy(F.lower("label").alias("_term"))
              .agg(F.min_by("qid", F.struct("rank", "qid")).alias(out)))
-    return (parsed.withColumn("_term", F.lower(F.col(term)))
-            .join(first, "_term", "left").drop("_term"))
+    q = parsed.withColumn("_term", F.lower(F.col(term)))
+    return join_skipping_null_keys(q, first, ["_term"], "left").drop("_term")
 
 
 # T11 (J2, J3, J4): holders of an office (all offices when None)

@@ -21,6 +21,16 @@ BASE_CONF = {
 }
 
 
+# Applied on a cluster only where the cluster has not set them: start shuffles
+# wide and let AQE coalesce to ~256 MB partitions; split skewed partitions.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "sparkdesk") -> SparkSession:
     """Return (or create) a session with the settings above.
@@ -39,6 +49,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not master:
+        for k, v in SCALE_DEFAULTS.items():
+            if spark.conf.get(k, None) in (None, ""):
+                spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
 
