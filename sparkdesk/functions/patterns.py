@@ -34,6 +34,10 @@ DROP_LABEL = "🔻 Drop"
 NORMAL_LABEL = "Normal"
 
 EMAIL = rf"[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+"
+# Same first match for Java's backtracking engine in linear time: the
+# leftmost match always starts where the character class run starts, and the
+# run before '@' never gives characters back ('@' is not in the class).
+EMAIL_JAVA = rf"(?<![\p{{L}}\p{{N}}_.-])[\p{{L}}\p{{N}}_.-]++@[\p{{L}}\p{{N}}_.-]+"
 DATE = rf"{DIGIT}{{1,2}}{SPACE}{WORD}+{SPACE}{DIGIT}{{4}}"
 PERIOD = rf"{DATE}{SPACE}-{SPACE}{DATE}"
 MONTH_OF_PERIOD = rf"-{SPACE}{DIGIT}{{1,2}}{SPACE}({WORD}+)"

@@ -27,7 +27,7 @@ def extract_fields(df: DataFrame, text: str = "text", keep: Sequence[str] = ("fi
     dates = X.all_matches(t, P.DATE)
     return df.select(
         *keep,
-        X.first_match(t, P.EMAIL).alias("email"),
+        X.first_match(t, P.EMAIL_JAVA).alias("email"),
         X.bounded_digits(t, "10").alias("phone"),
         X.first_match(t, P.plan_java(plan_prefix)).alias("plan"),
         X.bounded_digits(t, "12,").alias("account_id"),

@@ -24,6 +24,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, FloatType, LongType, Struc
 
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
+from sparkdesk.session import materialize
 
 MAX_QUERY_BLOCK_BYTES = 64 << 20
 SCAN_ROWS = 4096
@@ -141,13 +142,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: st
     if found is None:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long"))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return (found.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k))
+    best = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    # at most (#queries x k) rows: written once so later lookups reuse them
+    return materialize(best)
 
 
-# Ids -> stored texts
+MAX_ID_FILTER = 100_000
+
+
+# Ids -> stored texts.  The hit ids (at most #queries x k) are pushed into
+# the text scan as a filter, so the store is not read in full for a few texts.
 def attach_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id", text: str = "text") -> DataFrame:
-    return hits.join(texts.select(id_col, text), id_col)
+    ids = [r[0] for r in hits.select(id_col).distinct().limit(MAX_ID_FILTER + 1).collect()]
+    t = texts.select(id_col, text)
+    if len(ids) <= MAX_ID_FILTER:
+        t = t.where(F.col(id_col).isin(ids)) if ids else t.limit(0)
+    return hits.join(t, id_col)
 
 
 # A18 + T8 + T9: context per query in rank order, prompt, and route

@@ -95,7 +95,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "attachment_files": ("""
       SELECT event_id AS msg_id, user_id,
              CASE WHEN event_type = 'click' THEN 'Monthly ATTACHMENT' ELSE event_type END AS subject,
-             ts AS received, i AS pos,
+             ts AS received, CAST(i AS BIGINT) AS pos,
              'f' || CAST(event_id AS VARCHAR) || '_' || CAST(i AS VARCHAR)
                || (['.xlsx', '.CSV', '.pdf', '.csv', '.XLS', ''])[CAST((event_id + i) % 6 AS INTEGER) + 1] AS file_name
       FROM events, (VALUES (0), (1)) t(i)

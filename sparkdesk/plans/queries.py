@@ -333,7 +333,9 @@ def rag_routes(spark, d):
 def chunk_store_append(spark, d):
     from sparkdesk.operators import retrieval as R
     docs = V.docs(spark, d)
-    first = R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text"))
+    from sparkdesk.session import materialize
+    # the store as it stood before the re-ingest (a written table in practice)
+    first = materialize(R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text")))
     return R.ingest_chunks(first, R.chunk_text(docs, "text"))
 
 

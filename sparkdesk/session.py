@@ -81,10 +81,13 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Cut lineage: write ``df`` once as Parquet in the shared checkpoint folder
+    and read it back.
 
-    Used before operators that read the same derived input several times;
-    the data survives executor loss (unlike a local checkpoint or cache).
+    Used before operators that read the same derived input several times.
+    The written table survives executor loss (unlike a local checkpoint or a
+    cache), and unlike an eager RDD checkpoint the input is computed once.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "table") + "/data"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
