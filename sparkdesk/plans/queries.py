@@ -26,7 +26,14 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register ``fn``; every query runs with the session zone at UTC (driver
+    timestamps are zone-less and ISO strings carry 'Z')."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    QUERIES[fn.__name__] = run
     return fn
 
 
