@@ -232,3 +232,39 @@ def test_page_assembly_keeps_order_and_nulls(spark):
                                "doc_id long, page_no long, text string")
     got = {r.doc_id: (r.text, r.n_pages) for r in text.assemble_pages(df, block=2).collect()}
     assert got == {1: ("ac", 3), 2: ("z", 1)}
+
+
+def test_null_keys_skip_the_join_but_keep_their_result(spark):
+    from sparkdesk.operators.joins import join_skipping_null_keys
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, k string")
+    right = spark.createDataFrame([("a", 10), (None, 99)], "k string, v long")
+    anti = sorted(r.id for r in join_skipping_null_keys(left, right, ["k"], "left_anti").collect())
+    semi = sorted(r.id for r in join_skipping_null_keys(left, right, ["k"], "left_semi").collect())
+    outer = sorted((r.id, r.v) for r in join_skipping_null_keys(left, right, ["k"], "left").collect())
+    assert anti == [2, 3] and semi == [1] and outer == [(1, 10), (2, None), (3, None)]
+    nulls = [r for r in join_skipping_null_keys(left, right, ["k"], "left").collect() if r.id == 2]
+    assert nulls[0].k is None
+
+
+def test_landing_takes_each_file_once(spark, tmp_path):
+    from sparkdesk.sources import files as Fi
+    from sparkdesk.streaming.landing import land_csv
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    b = spark.createDataFrame([(3, "z")], "k int, v string")
+    inbox, table, ckpt = str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")
+    Fi.write_csv(a, inbox, mode="append")
+    land_csv(spark, inbox, "k int, v string", table, ckpt)
+    land_csv(spark, inbox, "k int, v string", table, ckpt)          # nothing new
+    Fi.write_csv(b, inbox, mode="append")
+    land_csv(spark, inbox, "k int, v string", table, ckpt)
+    got = spark.read.parquet(table)
+    assert sorted(r.k for r in got.collect()) == [1, 2, 3]
+    assert got.where("source_file is null").count() == 0
+
+
+def test_snapshot_never_overwrites(spark, tmp_path):
+    df = spark.range(3)
+    p = contacts.write_snapshot(df, str(tmp_path), 1)
+    assert spark.read.parquet(p).count() == 3
+    with pytest.raises(Exception):
+        contacts.write_snapshot(df, str(tmp_path), 1)
