@@ -30,7 +30,7 @@ SMALL_ROWS = 200_000
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 65_536
 SAMPLES_PER_BUCKET = 64
-MAX_SAMPLE_ROWS = 1_000_000     # sampled sort keys that reach the driver
+MAX_SAMPLE_ROWS = 500_000       # sampled sort keys that reach the driver
 FINE = 64                       # bounds per second-level group
 
 

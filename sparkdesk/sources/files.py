@@ -74,27 +74,34 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
                     F.col("length").alias("size")))
 
 
-# S4 + F8: dispatch by suffix (lower-cased): .txt and .csv are read, anything
-# else is reported as unsupported; rows per file come from one read per format
+def _any_case_glob(suffix: str) -> str:
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+# S4 + F8: dispatch by suffix (any case): .txt and .csv are read, anything else
+# is reported as unsupported.  Each format is read with a glob filter, so no
+# file list passes through the driver; rows per file come from one read each.
 def dispatch(spark: SparkSession, root: str) -> DataFrame:
     files = list_files(spark, root)
     low = F.lower("file_name")
     kind = (F.when(low.endswith(".txt"), F.lit("txt")).when(low.endswith(".csv"), F.lit("csv"))
             .otherwise(F.lit("unsupported")))
     files = files.withColumn("kind", kind)
-    found = files.select("path", "kind").collect()    # paths only
+
+    def rows_per_file(reader, suffix):
+        r = reader.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case_glob(suffix))
+        return r
+
+    txt = rows_per_file(spark.read, ".txt").text(root, wholetext=True)
+    csv = rows_per_file(spark.read.option("header", True).option("multiLine", True).schema("line string"),
+                        ".csv").csv(root)
     counts = None
-    for k, reader in (("txt", lambda ps: spark.read.text(ps, wholetext=True)),
-                      ("csv", lambda ps: read_csv(spark, ps, "line string"))):
-        ps = [r["path"] for r in found if r["kind"] == k]
-        if not ps:
-            continue
-        c = reader(ps).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    for part in (txt, csv):
+        c = part.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
         counts = c if counts is None else counts.unionByName(c)
-    out = files if counts is None else files.join(counts, "path", "left")
-    if counts is None:
-        out = out.withColumn("rows", F.lit(None).cast("long"))
-    return out.select("file_name", "kind", "size", "rows",
+    out = files.join(counts, "path", "left")
+    return out.select("file_name", "kind", "size",
+                      F.when(F.col("kind") != "unsupported", F.coalesce(F.col("rows"), F.lit(0))).alias("rows"),
                       F.when(F.col("kind") == "unsupported", F.lit("unsupported"))
                       .when(F.col("size") == 0, F.lit("empty")).otherwise(F.lit("ok")).alias("status"))
 

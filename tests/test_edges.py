@@ -268,3 +268,14 @@ def test_snapshot_never_overwrites(spark, tmp_path):
     assert spark.read.parquet(p).count() == 3
     with pytest.raises(Exception):
         contacts.write_snapshot(df, str(tmp_path), 1)
+
+
+def test_dispatch_by_suffix_any_case(spark, tmp_path):
+    from sparkdesk.sources import files as Fi
+    (tmp_path / "a.TXT").write_text("hello\nworld\n")
+    (tmp_path / "b.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "c.Csv").write_text("k\n")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    got = {r.file_name: (r.kind, r.rows, r.status) for r in Fi.dispatch(spark, str(tmp_path)).collect()}
+    assert got == {"a.TXT": ("txt", 1, "ok"), "b.csv": ("csv", 2, "ok"),
+                   "c.Csv": ("csv", 0, "ok"), "d.pdf": ("unsupported", None, "unsupported")}
