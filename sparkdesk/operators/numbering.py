@@ -34,6 +34,11 @@ MAX_SAMPLE_ROWS = 500_000       # sampled sort keys that reach the driver
 FINE = 64                       # bounds per second-level group
 
 
+def _small(small_rows: int | None) -> int:
+    """Row count up to which the plain one-partition window is used."""
+    return SMALL_ROWS if small_rows is None else small_rows
+
+
 def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -92,14 +97,14 @@ def _bucket_of(key, lits):
 
 def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no",
                 partition_by: Sequence[str] | str = (), buckets: int | None = None,
-                small_rows: int = SMALL_ROWS) -> DataFrame:
+                small_rows: int | None = None) -> DataFrame:
     """1-based row number in ascending ``order_by`` (per group if given).
 
     Give a unique tie-break in ``order_by`` for a total order.
     """
     order_by, groups = _names(order_by), _names(partition_by)
     total = df.count()
-    if total <= small_rows:
+    if total <= _small(small_rows):
         w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
     b, _ = with_buckets(df, groups + order_by, buckets, total)
@@ -118,7 +123,7 @@ def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no
 
 def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
                     partition_by: Sequence[str] | str = (), fill: str = "pad",
-                    buckets: int | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+                    buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
     """Add ``_cur`` and ``_prev`` for a change computation in row order.
 
     ``fill='pad'`` forward-fills nulls first (pandas ``pct_change`` default),
@@ -130,7 +135,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
     order_by, groups = _names(order_by), _names(partition_by)
     v = F.col(value)
     total = df.count()
-    if total <= small_rows:
+    if total <= _small(small_rows):
         w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
         if fill == "none":
             return df.withColumn("_cur", v).withColumn("_prev", F.lag(v).over(w))
@@ -172,7 +177,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
 
 def slice_rows(df: DataFrame, order_by: Sequence[str] | str, lo: int, hi: int,
                out: str = "row_no", buckets: int | None = None,
-               small_rows: int = SMALL_ROWS) -> DataFrame:
+               small_rows: int | None = None) -> DataFrame:
     """Rows at 1-based positions ``lo..hi`` (inclusive) in ``order_by``.
 
     Only the buckets that overlap the range are numbered and shuffled; the
@@ -182,7 +187,7 @@ def slice_rows(df: DataFrame, order_by: Sequence[str] | str, lo: int, hi: int,
     if hi < lo:
         return number_rows(df.limit(0), order_by, out=out)
     total = df.count()
-    if total <= small_rows:
+    if total <= _small(small_rows):
         w = Window.orderBy(*order_by)
         return (df.withColumn(out, F.row_number().over(w).cast("long"))
                 .where(F.col(out).between(lo, hi)))

@@ -63,7 +63,7 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
                     group: str = "metric", value: str = "v", buckets: int | None = None,
-                    small_rows: int = numbering.SMALL_ROWS) -> DataFrame:
+                    small_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group: (group, p, q).
 
     Nulls and NaN are skipped, as pandas does.
@@ -73,7 +73,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
     probs = [float(p) for p in probs]
     parr = F.array(*[F.lit(p) for p in probs])
     total = base.count()
-    if total <= small_rows:
+    if total <= numbering._small(small_rows):
         q = base.groupBy(group).agg(F.percentile("_v", parr).alias("_q"))
         return q.select(group, F.posexplode("_q").alias("_i", "q")).select(
             group, F.element_at(parr, F.col("_i") + 1).alias("p"), "q")

@@ -35,3 +35,14 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.schema == entry.entry(spark).schema
+
+
+BUCKETED = ["contact_numbered", "contact_page", "city_options", "contact_import", "bill_anomalies",
+            "bill_insights", "health_slice", "health_describe", "chat_append", "chunk_store_append"]
+
+
+@pytest.mark.parametrize("name", BUCKETED)
+def test_bucketed_path_matches_oracle(spark, con, name, monkeypatch):
+    from sparkdesk.operators import numbering
+    monkeypatch.setattr(numbering, "SMALL_ROWS", 0)
+    test_query_matches_oracle(spark, con, name)
