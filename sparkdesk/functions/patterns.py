@@ -48,6 +48,12 @@ def amount_pattern(currency: str = CURRENCY) -> str:
     return rf"{currency}{SPACE}?([\p{{Nd}},]+\.{DIGIT}{{2}})"
 
 
+# Every maximal digit run with a non-word character (or the text edge) on both
+# sides; the first run of length 10 is the \b\d{10}\b match, the first of
+# length >= 12 the \b\d{12,}\b match.
+DIGIT_RUN_JAVA = rf"(?<!{WORD}){DIGIT}++(?!{WORD})"
+
+
 def bounded_digits_java(spec: str) -> str:
     """``\\b\\d{spec}\\b`` for Java: word boundaries as lookarounds."""
     return rf"(?<!{WORD}){DIGIT}{{{spec}}}(?!{WORD})"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from sparkdesk.functions import exprs as X
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
-from sparkdesk.session import materialize
+from sparkdesk.session import materialize, spread
 
 FIELDS = ["email", "phone", "plan", "account_id", "statement_date",
           "statement_period", "amount", "due_date"]
@@ -23,14 +23,16 @@ FIELDS = ["email", "phone", "plan", "account_id", "statement_date",
 # T1 (X8-X14, X35): one row of fields per bill text; a missing field is null
 def extract_fields(df: DataFrame, text: str = "text", keep: Sequence[str] = ("file",),
                    plan_prefix: str = P.PLAN_PREFIX, currency: str = P.CURRENCY) -> DataFrame:
+    df = spread(df)
     t = F.col(text)
     dates = X.all_matches(t, P.DATE)
+    runs = X.all_matches(t, P.DIGIT_RUN_JAVA)      # one scan serves phone and account id
     return df.select(
         *keep,
         X.first_match(t, P.EMAIL_JAVA).alias("email"),
-        X.bounded_digits(t, "10").alias("phone"),
+        F.get(F.filter(runs, lambda r: F.length(r) == 10), 0).alias("phone"),
         X.first_match(t, P.plan_java(plan_prefix)).alias("plan"),
-        X.bounded_digits(t, "12,").alias("account_id"),
+        F.get(F.filter(runs, lambda r: F.length(r) >= 12), 0).alias("account_id"),
         F.get(dates, 0).alias("statement_date"),
         X.first_match(t, P.PERIOD).alias("statement_period"),
         X.money_amount(t, currency).alias("amount"),

@@ -24,7 +24,7 @@ from pyspark.sql.types import (ArrayType, DoubleType, FloatType, LongType, Struc
 
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
-from sparkdesk.session import materialize
+from sparkdesk.session import materialize, spread
 
 MAX_QUERY_BLOCK_BYTES = 64 << 20
 SCAN_ROWS = 4096
@@ -41,7 +41,7 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = P.CHUNK_SIZE,
     n = F.length(t)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
     pieces = F.transform(starts, lambda s: F.substr(t, s + 1, F.lit(size)))
-    return (df.select(*keep, F.posexplode(pieces).alias("chunk_no", out))
+    return (spread(df).select(*keep, F.posexplode(pieces).alias("chunk_no", out))
             .withColumn("chunk_no", F.col("chunk_no").cast("long")))
 
 
@@ -57,7 +57,7 @@ def embed(df: DataFrame, fn: Callable[[list[str]], np.ndarray], dim: int, text:
                 raise ValueError(f"embedding function returned {vecs.shape}, want {(len(pdf), dim)}")
             pdf[out] = list(vecs)
             yield pdf
-    return df.mapInPandas(run, schema)
+    return spread(df).mapInPandas(run, schema)
 
 
 def hashed_bag_of_words(dim: int) -> Callable[[list[str]], np.ndarray]:
@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: st
     schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
                          StructField("distance", DoubleType())])
     spark = vectors.sparkSession
-    vec = vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull())
+    vec = spread(vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()))
     found = None
     for qids, qmat in _query_blocks(queries, qid, qvec, max_query_bytes):
         part = vec.mapInPandas(_partition_topk(qids, qmat, k, id_col, vec_col), schema)

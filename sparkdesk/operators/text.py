@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkdesk.functions import exprs as X
 from sparkdesk.functions import patterns as P
+from sparkdesk.session import spread
 
 PAGE_BLOCK = 1024
 
@@ -33,5 +34,5 @@ def clean_transcripts(df: DataFrame, text: str = "text", keep=("doc_id",),
                       message: str = P.BLANK_TRANSCRIPT_MESSAGE) -> DataFrame:
     s = X.py_strip(text)
     blank = F.col(text).isNull() | (s == "")
-    return df.select(*keep, F.when(~blank, s).alias(text),
+    return spread(df).select(*keep, F.when(~blank, s).alias(text),
                      F.when(blank, F.lit(message)).alias("message"))

@@ -91,3 +91,14 @@ def materialize(df):
     path = scratch_dir(df.sparkSession, "table") + "/data"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df):
+    """Give CPU-heavy per-row work (regexes, chunking, Python batches) every
+    core when the input arrives in fewer splits than the cluster has slots
+    (e.g. one large Parquet row group).  Inputs already split at least that
+    finely, as at scale, pass through untouched: no extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
