@@ -116,10 +116,10 @@ def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY, *
     # several passes follow: cut the lineage once (written to the shared
     # checkpoint folder) so the text extraction upstream runs only once
     df = materialize(df.select("pos", "amount", "month", "month_ord", "year"))
-    rows = numbering.number_rows(df, order, out="seq", **kw)
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    n_vals = df.agg(F.count("amount")).scalar()
-    enough = n_vals >= 2
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.count("amount").alias("vals")).first()
+    n_rows, n_vals = F.lit(n["rows"]).cast("long"), n["vals"]
+    rows = numbering.number_rows(df, order, out="seq", total=n["rows"], **kw)
+    enough = F.lit(n_vals >= 2)
     okey = F.col("seq")
     stats = rows.agg(
         F.min_by("amount", F.when(F.col("amount").isNotNull(), okey)).alias("first"),
@@ -134,7 +134,7 @@ def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY, *
         F.lit(0).cast("long").alias("seq"),
         F.when(F.col("last") > F.col("first"), F.lit("📈 Overall trend is increasing"))
         .otherwise(F.lit("📉 Overall trend is decreasing")).alias("message"))
-    ch = with_change(rows.where(enough), "amount", ["seq"], fill="pad", **kw)
+    ch = with_change(rows.where(enough), "amount", ["seq"], fill="pad", total=n["rows"], **kw)
     moves = ch.where(F.col("pct_change").isNotNull() & (F.abs("pct_change") > 15)).select(
         "seq",
         F.when(F.col("pct_change") > P.SPIKE_LIMIT,

@@ -97,13 +97,13 @@ def _bucket_of(key, lits):
 
 def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no",
                 partition_by: Sequence[str] | str = (), buckets: int | None = None,
-                small_rows: int | None = None) -> DataFrame:
+                small_rows: int | None = None, total: int | None = None) -> DataFrame:
     """1-based row number in ascending ``order_by`` (per group if given).
 
     Give a unique tie-break in ``order_by`` for a total order.
     """
     order_by, groups = _names(order_by), _names(partition_by)
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= _small(small_rows):
         w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
@@ -123,7 +123,8 @@ def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no
 
 def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
                     partition_by: Sequence[str] | str = (), fill: str = "pad",
-                    buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
+                    buckets: int | None = None, small_rows: int | None = None,
+                    total: int | None = None) -> DataFrame:
     """Add ``_cur`` and ``_prev`` for a change computation in row order.
 
     ``fill='pad'`` forward-fills nulls first (pandas ``pct_change`` default),
@@ -134,7 +135,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
         raise ValueError("fill must be 'pad' or 'none'")
     order_by, groups = _names(order_by), _names(partition_by)
     v = F.col(value)
-    total = df.count()
+    total = df.count() if total is None else total
     if total <= _small(small_rows):
         w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
         if fill == "none":
