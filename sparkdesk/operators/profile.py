@@ -17,6 +17,10 @@ from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
+# Up to this many values Spark's exact ``percentile`` is used: it keeps one
+# value->count map per group, a few tens of MB at this size, and needs one
+# job instead of the bucketed path's five.
+QUANTILE_SMALL_ROWS = 2_000_000
 
 
 # Numeric columns (booleans are not numeric in Spark, as in pandas)
@@ -73,7 +77,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
     probs = [float(p) for p in probs]
     parr = F.array(*[F.lit(p) for p in probs])
     total = base.count()
-    if total <= numbering._small(small_rows):
+    if total <= (QUANTILE_SMALL_ROWS if small_rows is None else small_rows):
         q = base.groupBy(group).agg(F.percentile("_v", parr).alias("_q"))
         return q.select(group, F.posexplode("_q").alias("_i", "q")).select(
             group, F.element_at(parr, F.col("_i") + 1).alias("p"), "q")

@@ -43,6 +43,7 @@ BUCKETED = ["contact_numbered", "contact_page", "city_options", "contact_import"
 
 @pytest.mark.parametrize("name", BUCKETED)
 def test_bucketed_path_matches_oracle(spark, con, name, monkeypatch):
-    from sparkdesk.operators import numbering
+    from sparkdesk.operators import numbering, profile
     monkeypatch.setattr(numbering, "SMALL_ROWS", 0)
+    monkeypatch.setattr(profile, "QUANTILE_SMALL_ROWS", 0)
     test_query_matches_oracle(spark, con, name)
