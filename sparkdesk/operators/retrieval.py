@@ -90,6 +90,9 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec
             if len(pdf) == 0:
                 continue
             ids = pdf[id_col].to_numpy(dtype=np.int64)
+            dims = {len(v) for v in pdf[vec_col]}
+            if dims != {qmat.shape[1]}:
+                raise ValueError(f"vector dimensions {sorted(dims)} differ from the query dimension {qmat.shape[1]}")
             x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             for lo in range(0, len(ids), SCAN_ROWS):
                 xs, ix = x[lo:lo + SCAN_ROWS], ids[lo:lo + SCAN_ROWS]

@@ -279,3 +279,19 @@ def test_dispatch_by_suffix_any_case(spark, tmp_path):
     got = {r.file_name: (r.kind, r.rows, r.status) for r in Fi.dispatch(spark, str(tmp_path)).collect()}
     assert got == {"a.TXT": ("txt", 1, "ok"), "b.csv": ("csv", 2, "ok"),
                    "c.Csv": ("csv", 0, "ok"), "d.pdf": ("unsupported", None, "unsupported")}
+
+
+def test_reingest_is_idempotent(spark):
+    docs = spark.createDataFrame([(1, "a" * 700), (2, "b" * 300), (3, "a" * 700)], "doc_id long, text string")
+    store = retrieval.ingest_chunks(None, retrieval.chunk_text(docs))
+    again = retrieval.ingest_chunks(store, retrieval.chunk_text(docs))
+    assert sorted(store.collect()) == sorted(again.collect())
+    # doc 3 repeats doc 1: its chunks are stored once, ids are 1..n
+    assert sorted(r.chunk_id for r in store.collect()) == [1, 2, 3]
+
+
+def test_vector_dimension_mismatch_raises(spark):
+    v = spark.createDataFrame([(0, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [0.1, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="dimension"):
+        retrieval.nearest(v, q, k=3).collect()
