@@ -150,3 +150,13 @@ def test_numbering_is_1_to_n_for_any_partitioning(spark, n, parts):
     df = spark.range(n).repartition(parts).withColumn("k", (F.col("id") * 7919) % 1009)
     got = numbering.number_rows(df, ["k", "id"], "rn", buckets=parts, small_rows=0)
     assert sorted(r.rn for r in got.collect()) == list(range(1, n + 1))
+
+
+def test_query_blocks_give_the_same_neighbours(spark):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = v.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    one = retrieval.nearest(v, q, 4)
+    many = retrieval.nearest(v, q, 4, max_query_bytes=64 * 8 * 3)      # 3 queries per block
+    cols = ["query_id", "rank", "vec_id"]
+    assert one.count() == q.count() * 4
+    assert sorted(one.select(cols).collect()) == sorted(many.select(cols).collect())
