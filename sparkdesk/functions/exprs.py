@@ -58,7 +58,12 @@ def money_amount(c, currency: str = P.CURRENCY) -> Column:
 def lenient_double(c) -> Column:
     s = F.trim(_c(c).cast("string"))
     ok = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") | s.rlike(r"^[+-]?(?i)(inf|infinity|nan)$")
-    return F.when(ok, s.cast("double"))
+    return F.when(ok, s.try_cast("double"))
+
+
+def lenient_long(c) -> Column:
+    s = F.trim(_c(c).cast("string"))
+    return F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("long"))
 
 
 # Ordered-category position (1-based), non-members -> null

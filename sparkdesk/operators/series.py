@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from sparkdesk.functions import exprs as X
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
 
@@ -77,8 +78,12 @@ def repair_single_column(df: DataFrame, line: str, names: Sequence[str] = P.HEAL
                          types: Sequence[str] = ("date", "double", "long", "double", "long")) -> DataFrame:
     parts = F.split(F.col(line), ",")
     ok = F.size(parts) == len(names)
-    cols = [F.when(ok, F.nullif(F.trim(parts.getItem(i)), F.lit("")).try_cast(t)).alias(n)
-            for i, (n, t) in enumerate(zip(names, types))]
+    parse = {"double": X.lenient_double, "long": X.lenient_long}
+
+    def typed(i, t):
+        raw = parts.getItem(i)
+        return parse[t](raw) if t in parse else F.trim(raw).try_cast(t)
+    cols = [F.when(ok, typed(i, t)).alias(n) for i, (n, t) in enumerate(zip(names, types))]
     err = F.when(~ok, F.concat(F.lit(f"expected {len(names)} fields, got "), F.size(parts).cast("string")))
     return df.select(*cols, err.alias("error"))
 

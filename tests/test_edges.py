@@ -295,3 +295,9 @@ def test_vector_dimension_mismatch_raises(spark):
     q = spark.createDataFrame([(7, [0.1, 0.0])], "query_id long, embedding array<float>")
     with pytest.raises(Exception, match="dimension"):
         retrieval.nearest(v, q, k=3).collect()
+
+
+def test_lenient_numbers(spark):
+    df = spark.createDataFrame([(" 12.5 ",), ("1d",), ("abc",), ("-3",), ("1e3",), ("",)], "s string")
+    got = [(r.d, r.n) for r in df.select(X.lenient_double("s").alias("d"), X.lenient_long("s").alias("n")).collect()]
+    assert got == [(12.5, None), (None, None), (None, None), (-3.0, -3), (1000.0, None), (None, None)]
