@@ -163,6 +163,13 @@ ORACLE["doc_fields"] = W(f"SELECT doc_id, {_fields()} FROM docs", "docs")
 ORACLE["bill_anomalies"] = _bills("""
     SELECT file, pos, account, amount, month, CAST(month_ord AS INTEGER) AS month_ord, year,
            round(pct_change, 6) AS pct_change, anomaly FROM bills""")
+_BILLS_BY_ACCOUNT = _BILLS.replace(
+    "OVER (ORDER BY pos ROWS BETWEEN", "OVER (PARTITION BY account ORDER BY pos ROWS BETWEEN").replace(
+    "lag(cur) OVER (ORDER BY pos)", "lag(cur) OVER (PARTITION BY account ORDER BY pos)")
+assert _BILLS_BY_ACCOUNT != _BILLS
+ORACLE["bill_anomalies_by_account"] = W("""
+    SELECT file, pos, account, amount, month, CAST(month_ord AS INTEGER) AS month_ord, year,
+           round(pct_change, 6) AS pct_change, anomaly FROM bills""", "bill_text", ctes=_BILLS_BY_ACCOUNT)
 ORACLE["bill_kpis"] = _bills("""
     SELECT count(*) AS bills, round(coalesce(sum(amount), 0), 2) AS total_spend,
            round(avg(amount), 6) AS avg_bill, round(max(amount), 2) AS max_bill FROM fb""")

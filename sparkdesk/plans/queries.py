@@ -523,3 +523,11 @@ def landed_profile(spark, d):
     from sparkdesk.sources import files as Fi
     path = Fi.write_csv(V.health(spark, d), scratch_dir(spark, "landed") + "/health")
     return Pr.profile_files(Fi.read_csv(spark, path, HEALTH_SCHEMA))
+
+
+@query
+def bill_anomalies_by_account(spark, d):
+    from sparkdesk.operators import bills as B
+    e = B.enrich(_bill_fields(spark, d), "pos", partition_by="account")
+    return e.select("file", "pos", "account", "amount", "month", "month_ord", "year",
+                    F.round("pct_change", 6).alias("pct_change"), "anomaly")
