@@ -21,7 +21,12 @@ def join_skipping_null_keys(left: DataFrame, right: DataFrame, on: list[str], ho
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     ok = _all_set(on)
-    matched = left.where(ok).join(right.where(ok), on, how)
+    r = right.where(ok)
+    if how in ("left_semi", "left_anti"):
+        # only key existence matters: a key repeated a billion times on the
+        # right collapses map-side to one row before the join shuffle
+        r = r.select(*on).dropDuplicates()
+    matched = left.where(ok).join(r, on, how)
     if how in ("inner", "left_semi"):
         return matched
     rest = left.where(~ok)
