@@ -160,3 +160,11 @@ def test_query_blocks_give_the_same_neighbours(spark):
     cols = ["query_id", "rank", "vec_id"]
     assert one.count() == q.count() * 4
     assert sorted(one.select(cols).collect()) == sorted(many.select(cols).collect())
+
+
+def test_bucketed_numbering_with_null_and_string_keys(spark):
+    e = _events(spark).select("event_id", F.when(F.col("event_id") % 4 == 0, None)
+                              .otherwise(F.col("event_type")).alias("k"))
+    plain = e.withColumn("rn", F.row_number().over(Window.orderBy("k", "event_id")).cast("long"))
+    got = numbering.number_rows(e, ["k", "event_id"], "rn", buckets=11, small_rows=0)
+    assert got.exceptAll(plain).count() == 0 and got.count() == plain.count()
