@@ -103,3 +103,35 @@ def write_snapshot(df: DataFrame, base: str, version: int) -> str:
     path = f"{base.rstrip('/')}/v={int(version)}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def snapshot_versions(spark, base: str) -> list[int]:
+    """Versions present under ``base`` (folder names ``v=<n>``), ascending."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_latest(spark, base: str, schema=CONTACT_SCHEMA) -> tuple[DataFrame, int]:
+    """The newest complete snapshot and its version (an empty table, 0 if none)."""
+    versions = snapshot_versions(spark, base)
+    if not versions:
+        return spark.createDataFrame([], schema), 0
+    return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}"), versions[-1]
+
+
+def commit(spark, base: str, change) -> str:
+    """Apply ``change`` (snapshot -> snapshot) to the newest version and write
+    the result as the next version; the input version stays untouched."""
+    current, v = read_latest(spark, base)
+    return write_snapshot(change(current), base, v + 1)

@@ -129,3 +129,11 @@ def create_table(spark: SparkSession, name: str, schema_ddl: str, location: str)
 
 def scan_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
+
+
+# S7 for an external database: a partitioned JDBC read (the driver jar must be
+# on the cluster classpath; none is bundled here, so this path is untested)
+def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
+              partitions: int, properties: dict | None = None) -> DataFrame:
+    return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper,
+                           numPartitions=partitions, properties=properties or {})

@@ -301,3 +301,16 @@ def test_lenient_numbers(spark):
     df = spark.createDataFrame([(" 12.5 ",), ("1d",), ("abc",), ("-3",), ("1e3",), ("",)], "s string")
     got = [(r.d, r.n) for r in df.select(X.lenient_double("s").alias("d"), X.lenient_long("s").alias("n")).collect()]
     assert got == [(12.5, None), (None, None), (None, None), (-3.0, -3), (1000.0, None), (None, None)]
+
+
+def test_versioned_snapshots(spark, tmp_path):
+    base = str(tmp_path / "contacts")
+    first = spark.createDataFrame([(1, "a", "1", "c", None)],
+                                  "id long, name string, phone string, city string, created_at timestamp_ntz")
+    contacts.write_snapshot(first, base, 1)
+    up = spark.createDataFrame([(1, "b", "2", "d")], "upload_pos long, name string, phone string, city string")
+    contacts.commit(spark, base, lambda cur: contacts.import_rows(cur, up, run_ts="2026-01-01 00:00:00"))
+    assert contacts.snapshot_versions(spark, base) == [1, 2]
+    latest, v = contacts.read_latest(spark, base)
+    assert v == 2 and sorted(r.id for r in latest.collect()) == [1, 2]
+    assert spark.read.parquet(base + "/v=1").count() == 1
