@@ -197,6 +197,12 @@ def _bills_enriched(spark, d):
     return B.enrich(_bill_fields(spark, d), "pos")
 
 
+def _bills_by_month(spark, d):
+    # amount, month and year only: for outputs that do not use the change
+    from sparkdesk.operators import bills as B
+    return B.with_month_year(_bill_fields(spark, d))
+
+
 @query
 def bill_fields(spark, d):
     return _bill_fields(spark, d)
@@ -218,13 +224,13 @@ def bill_anomalies(spark, d):
 @query
 def bill_kpis(spark, d):
     from sparkdesk.operators import bills as B
-    return B.kpis(B.month_filter(_bills_enriched(spark, d)))
+    return B.kpis(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
 def bill_month_share(spark, d):
     from sparkdesk.operators import bills as B
-    return B.month_share(B.month_filter(_bills_enriched(spark, d)))
+    return B.month_share(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
@@ -236,7 +242,7 @@ def bill_month_anomaly(spark, d):
 @query
 def bill_insights(spark, d):
     from sparkdesk.operators import bills as B
-    return B.insights(B.month_filter(_bills_enriched(spark, d)))
+    return B.insights(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
