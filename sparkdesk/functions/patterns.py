@@ -32,6 +32,13 @@ DROP_LIMIT = -15.0    # percent change below this is a drop
 SPIKE_LABEL = "🔺 Spike"
 DROP_LABEL = "🔻 Drop"
 NORMAL_LABEL = "Normal"
+# insight messages, in the order they are emitted
+TREND_UP = "📈 Overall trend is increasing"
+TREND_DOWN = "📉 Overall trend is decreasing"
+SPIKE_MSG = "🔺 Spike detected: +{change}% in {month}"
+DROP_MSG = "🔻 Drop detected: {change}% in {month}"
+HIGHEST_MSG = "💰 Highest bill: {currency}{amount} ({month})"
+LOWEST_MSG = "💸 Lowest bill: {currency}{amount} ({month})"
 
 EMAIL = rf"[\p{{L}}\p{{N}}_.-]+@[\p{{L}}\p{{N}}_.-]+"
 # Same first match for Java's backtracking engine in linear time: the

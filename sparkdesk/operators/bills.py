@@ -7,6 +7,7 @@ operators of ``numbering``; no Python runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -103,6 +104,12 @@ def month_anomaly(df: DataFrame) -> DataFrame:
         F.round(F.sum("amount"), 2).alias("amount"), F.count(F.lit(1)).alias("bills"))
 
 
+def _fill(template: str, **cols):
+    """concat() of a ``{name}`` template with columns in place of the names."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[cols[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 def _fmt1(c):
     return F.when(F.col(c) == float("inf"), F.lit("inf")).when(
         F.col(c) == float("-inf"), F.lit("-inf")).otherwise(F.format_string("%.1f", F.col(c)))
@@ -132,20 +139,20 @@ def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY, *
                                              F.lit(P.NO_DATA_INSIGHT).alias("message"))
     trend = stats.where(enough & (F.col("last") != F.col("first"))).select(
         F.lit(0).cast("long").alias("seq"),
-        F.when(F.col("last") > F.col("first"), F.lit("📈 Overall trend is increasing"))
-        .otherwise(F.lit("📉 Overall trend is decreasing")).alias("message"))
+        F.when(F.col("last") > F.col("first"), F.lit(P.TREND_UP))
+        .otherwise(F.lit(P.TREND_DOWN)).alias("message"))
     ch = with_change(rows.where(enough), "amount", ["seq"], fill="pad", total=n["rows"], **kw)
     moves = ch.where(F.col("pct_change").isNotNull() & (F.abs("pct_change") > 15)).select(
         "seq",
         F.when(F.col("pct_change") > P.SPIKE_LIMIT,
-               F.concat(F.lit("🔺 Spike detected: +"), _fmt1("pct_change"), F.lit("% in "), F.col("month")))
-        .otherwise(F.concat(F.lit("🔻 Drop detected: "), _fmt1("pct_change"), F.lit("% in "), F.col("month")))
+               _fill(P.SPIKE_MSG, change=_fmt1("pct_change"), month=F.col("month")))
+        .otherwise(_fill(P.DROP_MSG, change=_fmt1("pct_change"), month=F.col("month")))
         .alias("message"))
     ext = stats.where(enough).select(F.explode(F.array(
-        F.struct((n_rows + 1).cast("long").alias("seq"), F.concat(
-            F.lit(f"💰 Highest bill: {currency}"), F.format_number("hi.amount", 2),
-            F.lit(" ("), F.col("hi.month"), F.lit(")")).alias("message")),
-        F.struct((n_rows + 2).cast("long").alias("seq"), F.concat(
-            F.lit(f"💸 Lowest bill: {currency}"), F.format_number("lo.amount", 2),
-            F.lit(" ("), F.col("lo.month"), F.lit(")")).alias("message")))).alias("_m")).select("_m.*")
+        F.struct((n_rows + 1).cast("long").alias("seq"),
+                 _fill(P.HIGHEST_MSG, currency=F.lit(currency), amount=F.format_number("hi.amount", 2),
+                       month=F.col("hi.month")).alias("message")),
+        F.struct((n_rows + 2).cast("long").alias("seq"),
+                 _fill(P.LOWEST_MSG, currency=F.lit(currency), amount=F.format_number("lo.amount", 2),
+                       month=F.col("lo.month")).alias("message")))).alias("_m")).select("_m.*")
     return not_enough.unionByName(trend).unionByName(moves).unionByName(ext)

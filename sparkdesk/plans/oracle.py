@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sparkdesk.plans import queries as Q
 from sparkdesk.plans.oracle_views import with_views as W
 
@@ -179,19 +181,27 @@ ORACLE["bill_month_share"] = _bills("""
 ORACLE["bill_month_anomaly"] = _bills("""
     SELECT month, CAST(month_ord AS INTEGER) AS month_ord, anomaly, round(sum(amount), 2) AS amount,
            count(*) AS bills FROM fb GROUP BY 1, 2, 3""")
+def _sql_fill(template: str, **exprs: str) -> str:
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(exprs[p] if i % 2 else "'" + p.replace("'", "''") + "'"
+                       for i, p in enumerate(parts) if i % 2 or p)
+
+
 ORACLE["bill_insights"] = _bills(f"""
     SELECT CAST(0 AS BIGINT) AS seq, '{P.NO_DATA_INSIGHT}' AS message FROM st WHERE nv < 2
     UNION ALL
-    SELECT 0, CASE WHEN last > first THEN '📈 Overall trend is increasing' ELSE '📉 Overall trend is decreasing' END
+    SELECT 0, CASE WHEN last > first THEN '{P.TREND_UP}' ELSE '{P.TREND_DOWN}' END
     FROM st WHERE nv >= 2 AND last <> first
     UNION ALL
-    SELECT seq, CASE WHEN ch > 15 THEN '🔺 Spike detected: +' || format('{{:.1f}}', ch) || '% in ' || month
-                     ELSE '🔻 Drop detected: ' || format('{{:.1f}}', ch) || '% in ' || month END
+    SELECT seq, CASE WHEN ch > 15 THEN {_sql_fill(P.SPIKE_MSG, change="format('{:.1f}', ch)", month="month")}
+                     ELSE {_sql_fill(P.DROP_MSG, change="format('{:.1f}', ch)", month="month")} END
     FROM s4 WHERE ch IS NOT NULL AND abs(ch) > 15 AND (SELECT nv FROM st) >= 2
     UNION ALL
-    SELECT nr + 1, '💰 Highest bill: {P.CURRENCY}' || format('{{:,.2f}}', hi_a) || ' (' || hi_m || ')' FROM st WHERE nv >= 2
+    SELECT nr + 1, {_sql_fill(P.HIGHEST_MSG, currency="'" + P.CURRENCY + "'", amount="format('{:,.2f}', hi_a)", month="hi_m")}
+    FROM st WHERE nv >= 2
     UNION ALL
-    SELECT nr + 2, '💸 Lowest bill: {P.CURRENCY}' || format('{{:,.2f}}', lo_a) || ' (' || lo_m || ')' FROM st WHERE nv >= 2""",
+    SELECT nr + 2, {_sql_fill(P.LOWEST_MSG, currency="'" + P.CURRENCY + "'", amount="format('{:,.2f}', lo_a)", month="lo_m")}
+    FROM st WHERE nv >= 2""",
     more=""",
     s AS (SELECT *, row_number() OVER (ORDER BY month_ord, year NULLS FIRST, pos) AS seq FROM fb),
     s2 AS (SELECT *, last_value(amount IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c2 FROM s),
