@@ -133,7 +133,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: st
             vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
             max_query_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, id, distance); fewer than k rows when the store is small
-    (never padded)."""
+    (never padded).  At most (#queries x k) rows, written once so later
+    lookups reuse them."""
+    return materialize(nearest_plan(vectors, queries, k, id_col, vec_col, qid, qvec, max_query_bytes))
+
+
+def nearest_plan(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: str = "vec_id",
+                 vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
+                 max_query_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
+    """The lazy search plan behind ``nearest``."""
     schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
                          StructField("distance", DoubleType())])
     spark = vectors.sparkSession
@@ -145,9 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: st
     if found is None:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long"))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    best = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    # at most (#queries x k) rows: written once so later lookups reuse them
-    return materialize(best)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 MAX_ID_FILTER = 100_000

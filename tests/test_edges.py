@@ -314,3 +314,19 @@ def test_versioned_snapshots(spark, tmp_path):
     latest, v = contacts.read_latest(spark, base)
     assert v == 2 and sorted(r.id for r in latest.collect()) == [1, 2]
     assert spark.read.parquet(base + "/v=1").count() == 1
+
+
+def test_empty_upload_adds_nothing(spark):
+    base = spark.createDataFrame([(1, "a", "1", "c", None)],
+                                 "id long, name string, phone string, city string, created_at timestamp_ntz")
+    up = spark.createDataFrame([], "upload_pos long, name string, phone string, city string")
+    assert contacts.import_rows(base, up).count() == 1
+    assert contacts.import_report(base, up).count() == 0
+
+
+def test_all_null_amounts_not_enough_data(spark):
+    df = spark.createDataFrame([(1, None, "Jan", 1, "2024"), (2, None, "Feb", 2, "2024")],
+                               "pos long, amount double, month string, month_ord int, year string")
+    assert [r.message for r in bills.insights(df).collect()] == [P.NO_DATA_INSIGHT]
+    k = bills.kpis(df).first()
+    assert (k.bills, k.total_spend, k.avg_bill, k.max_bill) == (2, 0.0, None, None)

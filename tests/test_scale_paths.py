@@ -87,8 +87,10 @@ def test_bucketed_numbering_has_no_single_partition_exchange(spark):
 def test_vector_search_forms_no_pairs_join(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = retrieval.centroids(v, "label").withColumnRenamed("label", "query_id")
-    p = _plan(retrieval.nearest(v, q, 3))
+    p = _plan(retrieval.nearest_plan(v, q, 3))
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
+    # per-partition top k in Python, then WindowGroupLimit trims before the shuffle
+    assert "MapInPandas" in p and "WindowGroupLimit" in p
 
 
 def test_text_and_bill_plans_stay_in_jvm(spark):
