@@ -83,30 +83,49 @@ def centroids(df: DataFrame, group: str, vec: str = "embedding", out: str = "emb
 
 
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
+    """Per partition: best k (exact squared L2, ties by id) per query.
+
+    Candidates come from one matrix product per chunk, |x|^2 - 2 x.q + |q|^2;
+    every vector within a tolerance of the chunk's k-th value is kept (the
+    tolerance is far above the expansion's rounding error), then candidates
+    get the exact distance sum((x - q)^2) and the running best k is merged by
+    (distance, id).  So the result equals a full exact sort.
+    """
+    nq, dim = qmat.shape
+    qn = (qmat ** 2).sum(axis=1)
+    rows = max(1, min(SCAN_ROWS, 8_000_000 // max(1, nq)))     # chunk x queries <= 64 MB
+
     def run(batches):
-        best_d = [np.empty(0) for _ in qids]
-        best_i = [np.empty(0, dtype=np.int64) for _ in qids]
+        best_d = [np.empty(0) for _ in range(nq)]
+        best_i = [np.empty(0, dtype=np.int64) for _ in range(nq)]
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
             dims = {len(v) for v in pdf[vec_col]}
-            if dims != {qmat.shape[1]}:
-                raise ValueError(f"vector dimensions {sorted(dims)} differ from the query dimension {qmat.shape[1]}")
+            if dims != {dim}:
+                raise ValueError(f"vector dimensions {sorted(dims)} differ from the query dimension {dim}")
+            ids = pdf[id_col].to_numpy(dtype=np.int64)
             x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            for lo in range(0, len(ids), SCAN_ROWS):
-                xs, ix = x[lo:lo + SCAN_ROWS], ids[lo:lo + SCAN_ROWS]
-                for j in range(len(qids)):
-                    d = ((xs - qmat[j]) ** 2).sum(axis=1)
+            for lo in range(0, len(ids), rows):
+                xs, ix = x[lo:lo + rows], ids[lo:lo + rows]
+                xn = (xs ** 2).sum(axis=1)
+                approx = xn[:, None] - 2.0 * (xs @ qmat.T) + qn[None, :]
+                kk = min(k, len(ix))
+                kth = np.partition(approx, kk - 1, axis=0)[kk - 1]
+                tol = 1e-9 * (xn.max() + qn) + 1e-12
+                keep = approx <= (kth + tol)[None, :]
+                for j in range(nq):
+                    cand = np.flatnonzero(keep[:, j])
+                    d = ((xs[cand] - qmat[j]) ** 2).sum(axis=1)
                     cd = np.concatenate([best_d[j], d])
-                    ci = np.concatenate([best_i[j], ix])
+                    ci = np.concatenate([best_i[j], ix[cand]])
                     if len(cd) > k:
                         order = np.lexsort((ci, cd))[:k]   # distance, then id
                         cd, ci = cd[order], ci[order]
                     best_d[j], best_i[j] = cd, ci
-        rows = [(int(q), int(i), float(dd)) for q, ds, is_ in zip(qids, best_d, best_i)
-                for dd, i in zip(ds, is_)]
-        yield pd.DataFrame(rows, columns=["query_id", id_col, "distance"])
+        rows_out = [(int(q), int(i), float(dd)) for q, ds, is_ in zip(qids, best_d, best_i)
+                    for dd, i in zip(ds, is_)]
+        yield pd.DataFrame(rows_out, columns=["query_id", id_col, "distance"])
     return run
 
 
