@@ -117,42 +117,46 @@ def _fmt1(c):
 
 # T3 (A13, A15, W3, X18, O2): insight messages over month-ordered rows.
 # seq: 0 trend (or "not enough data"), row number for spikes/drops,
-# n+1 highest, n+2 lowest.
-def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY, **kw) -> DataFrame:
+# n+1 highest, n+2 lowest.  With ``partition_by`` (e.g. the account) every
+# group gets its own report; the ordered steps stay skew-safe (numbering.py).
+def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY,
+             partition_by: Sequence[str] | str = (), **kw) -> DataFrame:
+    groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     order = ["year", "month_ord", "pos"] if by_year else ["month_ord", "year", "pos"]
     # several passes follow: cut the lineage once (written to the shared
     # checkpoint folder) so the text extraction upstream runs only once
-    df = materialize(df.select("pos", "amount", "month", "month_ord", "year"))
-    n = df.agg(F.count(F.lit(1)).alias("rows"), F.count("amount").alias("vals")).first()
-    n_rows, n_vals = F.lit(n["rows"]).cast("long"), n["vals"]
-    rows = numbering.number_rows(df, order, out="seq", total=n["rows"], **kw)
-    enough = F.lit(n_vals >= 2)
+    df = materialize(df.select(*groups, "pos", "amount", "month", "month_ord", "year"))
+    total = df.count()
+    rows = numbering.number_rows(df, order, out="seq", partition_by=groups, total=total, **kw)
     okey = F.col("seq")
-    stats = rows.agg(
-        F.min_by("amount", F.when(F.col("amount").isNotNull(), okey)).alias("first"),
-        F.max_by("amount", F.when(F.col("amount").isNotNull(), okey)).alias("last"),
-        F.max_by(F.struct("amount", "month"),
-                 F.when(F.col("amount").isNotNull(), F.struct(F.col("amount"), -okey))).alias("hi"),
-        F.min_by(F.struct("amount", "month"),
-                 F.when(F.col("amount").isNotNull(), F.struct(F.col("amount"), okey))).alias("lo"))
-    not_enough = stats.where(~enough).select(F.lit(0).cast("long").alias("seq"),
+    has = F.col("amount").isNotNull()
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.count("amount").alias("_vals"),
+            F.min_by("amount", F.when(has, okey)).alias("first"),
+            F.max_by("amount", F.when(has, okey)).alias("last"),
+            F.max_by(F.struct("amount", "month"), F.when(has, F.struct(F.col("amount"), -okey))).alias("hi"),
+            F.min_by(F.struct("amount", "month"), F.when(has, F.struct(F.col("amount"), okey))).alias("lo")]
+    stats = rows.groupBy(*groups).agg(*aggs) if groups else rows.agg(*aggs)
+    enough = F.col("_vals") >= 2
+    not_enough = stats.where(~enough).select(*groups, F.lit(0).cast("long").alias("seq"),
                                              F.lit(P.NO_DATA_INSIGHT).alias("message"))
     trend = stats.where(enough & (F.col("last") != F.col("first"))).select(
-        F.lit(0).cast("long").alias("seq"),
+        *groups, F.lit(0).cast("long").alias("seq"),
         F.when(F.col("last") > F.col("first"), F.lit(P.TREND_UP))
         .otherwise(F.lit(P.TREND_DOWN)).alias("message"))
-    ch = with_change(rows.where(enough), "amount", ["seq"], fill="pad", total=n["rows"], **kw)
+    # with fewer than two amounts every padded change is null or 0 %, so no
+    # spike or drop can appear: no need to filter those groups here
+    ch = with_change(rows, "amount", ["seq"], partition_by=groups, fill="pad", total=total, **kw)
     moves = ch.where(F.col("pct_change").isNotNull() & (F.abs("pct_change") > 15)).select(
-        "seq",
+        *groups, "seq",
         F.when(F.col("pct_change") > P.SPIKE_LIMIT,
                _fill(P.SPIKE_MSG, change=_fmt1("pct_change"), month=F.col("month")))
         .otherwise(_fill(P.DROP_MSG, change=_fmt1("pct_change"), month=F.col("month")))
         .alias("message"))
-    ext = stats.where(enough).select(F.explode(F.array(
-        F.struct((n_rows + 1).cast("long").alias("seq"),
+    ext = stats.where(enough).select(*groups, F.explode(F.array(
+        F.struct((F.col("_rows") + 1).cast("long").alias("seq"),
                  _fill(P.HIGHEST_MSG, currency=F.lit(currency), amount=F.format_number("hi.amount", 2),
                        month=F.col("hi.month")).alias("message")),
-        F.struct((n_rows + 2).cast("long").alias("seq"),
+        F.struct((F.col("_rows") + 2).cast("long").alias("seq"),
                  _fill(P.LOWEST_MSG, currency=F.lit(currency), amount=F.format_number("lo.amount", 2),
-                       month=F.col("lo.month")).alias("message")))).alias("_m")).select("_m.*")
+                       month=F.col("lo.month")).alias("message")))).alias("_m")).select(*groups, "_m.*")
     return not_enough.unionByName(trend).unionByName(moves).unionByName(ext)

@@ -215,6 +215,35 @@ ORACLE["bill_insights"] = _bills(f"""
                   max(amount) AS hi_a,
                   arg_min(month, (amount, seq)) FILTER (WHERE amount IS NOT NULL) AS lo_m,
                   min(amount) AS lo_a FROM s)""")
+ORACLE["bill_insights_by_account"] = _bills(f"""
+    SELECT account, CAST(0 AS BIGINT) AS seq, '{P.NO_DATA_INSIGHT}' AS message FROM st WHERE nv < 2
+    UNION ALL
+    SELECT account, 0, CASE WHEN last > first THEN '{P.TREND_UP}' ELSE '{P.TREND_DOWN}' END
+    FROM st WHERE nv >= 2 AND last <> first
+    UNION ALL
+    SELECT account, seq, CASE WHEN ch > 15 THEN {_sql_fill(P.SPIKE_MSG, change="format('{:.1f}', ch)", month="month")}
+                     ELSE {_sql_fill(P.DROP_MSG, change="format('{:.1f}', ch)", month="month")} END
+    FROM s4 WHERE ch IS NOT NULL AND abs(ch) > 15
+    UNION ALL
+    SELECT account, nr + 1, {_sql_fill(P.HIGHEST_MSG, currency="'" + P.CURRENCY + "'", amount="format('{:,.2f}', hi_a)", month="hi_m")}
+    FROM st WHERE nv >= 2
+    UNION ALL
+    SELECT account, nr + 2, {_sql_fill(P.LOWEST_MSG, currency="'" + P.CURRENCY + "'", amount="format('{:,.2f}', lo_a)", month="lo_m")}
+    FROM st WHERE nv >= 2""",
+    more=""",
+    s AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY month_ord, year NULLS FIRST, pos) AS seq FROM fb),
+    s2 AS (SELECT *, last_value(amount IGNORE NULLS) OVER (PARTITION BY account ORDER BY seq
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c2 FROM s),
+    s3 AS (SELECT *, lag(c2) OVER (PARTITION BY account ORDER BY seq) AS p2 FROM s2),
+    s4 AS (SELECT *, CASE WHEN p2 IS NULL OR c2 IS NULL THEN NULL WHEN p2 <> 0 THEN (c2 / p2 - 1) * 100
+                          WHEN c2 > 0 THEN CAST('inf' AS DOUBLE) WHEN c2 < 0 THEN CAST('-inf' AS DOUBLE) END AS ch FROM s3),
+    st AS (SELECT account, count(amount) AS nv, count(*) AS nr,
+                  arg_min(amount, seq) FILTER (WHERE amount IS NOT NULL) AS first,
+                  arg_max(amount, seq) FILTER (WHERE amount IS NOT NULL) AS last,
+                  arg_max(month, (amount, -seq)) FILTER (WHERE amount IS NOT NULL) AS hi_m,
+                  max(amount) AS hi_a,
+                  arg_min(month, (amount, seq)) FILTER (WHERE amount IS NOT NULL) AS lo_m,
+                  min(amount) AS lo_a FROM s GROUP BY account)""")
 ORACLE["first_bill_per_file"] = W("""
     SELECT file, pos, account, text FROM bill_text QUALIFY row_number() OVER (PARTITION BY file ORDER BY pos) = 1""",
                                   "bill_text")

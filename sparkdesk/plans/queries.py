@@ -537,3 +537,9 @@ def bill_anomalies_by_account(spark, d):
     e = B.enrich(_bill_fields(spark, d), "pos", partition_by="account")
     return e.select("file", "pos", "account", "amount", "month", "month_ord", "year",
                     F.round("pct_change", 6).alias("pct_change"), "anomaly")
+
+
+@query
+def bill_insights_by_account(spark, d):
+    from sparkdesk.operators import bills as B
+    return B.insights(B.month_filter(_bills_by_month(spark, d)), partition_by="account")

@@ -38,7 +38,7 @@ def test_entry_smoke(spark):
 
 
 BUCKETED = ["contact_numbered", "contact_page", "city_options", "contact_import", "bill_anomalies",
-            "bill_anomalies_by_account",
+            "bill_anomalies_by_account", "bill_insights_by_account",
             "bill_insights", "health_slice", "health_describe", "chat_append", "chunk_store_append"]
 
 
