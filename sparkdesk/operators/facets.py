@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sparkdesk.operators import numbering
 
@@ -117,7 +117,8 @@ def page(df: DataFrame, page_number: int, page_size: int, order_by: list[str] |
     return numbering.slice_rows(df, order_by, start + 1, start + page_size, out=out, **kw)
 
 
-# Page count per size; reference rule max(1, n // size + 1), exact = ceiling
+# Page count per size; original rule max(1, n // size + 1) (an exact multiple
+# gives an extra empty page), exact = ceiling
 def page_counts(df: DataFrame, sizes: list[int]) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("rows"))
     s = F.explode(F.array(*[F.lit(int(x)) for x in sizes])).alias("page_size")

@@ -37,10 +37,6 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _run_ts():
-    return F.lit(RUN_TS).cast("timestamp_ntz")
-
-
 # --- contacts: read side -------------------------------------------------
 
 @query
