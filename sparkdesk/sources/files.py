@@ -137,3 +137,13 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
               partitions: int, properties: dict | None = None) -> DataFrame:
     return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper,
                            numPartitions=partitions, properties=properties or {})
+
+
+# Co-location for recurring joins: write each side bucketed (and sorted) by
+# the join key into the same number of buckets; later joins on that key read
+# matching buckets and skip the shuffle.
+def write_bucketed(df: DataFrame, name: str, key: str | Sequence[str], buckets: int, path: str) -> DataFrame:
+    keys = [key] if isinstance(key, str) else list(key)
+    (df.write.mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)

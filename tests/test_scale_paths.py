@@ -170,3 +170,23 @@ def test_bucketed_numbering_with_null_and_string_keys(spark):
     plain = e.withColumn("rn", F.row_number().over(Window.orderBy("k", "event_id")).cast("long"))
     got = numbering.number_rows(e, ["k", "event_id"], "rn", buckets=11, small_rows=0)
     assert got.exceptAll(plain).count() == 0 and got.count() == plain.count()
+
+
+def test_bucketed_statement_tables_join_without_shuffle(spark, tmp_path):
+    import uuid
+    from sparkdesk.operators import timeline
+    from sparkdesk.sources import files as Fi, views as V
+    tag = uuid.uuid4().hex[:8]
+    t = {n: Fi.write_bucketed(getattr(V, n)(spark, SF), f"{n}_{tag}", "stmt", 8, str(tmp_path / n))
+         for n in ("statements", "starts", "ends")}
+    j = (t["statements"].join(t["starts"].withColumnRenamed("value", "start_value"), "stmt")
+         .join(t["ends"].withColumnRenamed("value", "end_value"), "stmt", "left"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    plain = timeline.office_holders(V.statements(spark, SF), V.starts(spark, SF), V.ends(spark, SF),
+                                    V.labels_q(spark, SF))
+    assert j.count() == plain.count()
