@@ -47,6 +47,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", "16g")
+        # local runs keep catalog tables out of the working directory
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sparkdesk-wh-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if not master:
