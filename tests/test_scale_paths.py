@@ -190,3 +190,14 @@ def test_bucketed_statement_tables_join_without_shuffle(spark, tmp_path):
     plain = timeline.office_holders(V.statements(spark, SF), V.starts(spark, SF), V.ends(spark, SF),
                                     V.labels_q(spark, SF))
     assert j.count() == plain.count()
+
+
+def test_bucketed_grouped_paths_keep_null_groups(spark):
+    e = _events(spark).select("event_id", "value",
+                              F.when(F.col("event_id") % 5 == 0, None).otherwise(F.col("user_id") % 7).alias("g"))
+    plain_n = numbering.number_rows(e, ["event_id"], "rn", partition_by=["g"])
+    got_n = numbering.number_rows(e, ["event_id"], "rn", partition_by=["g"], buckets=9, small_rows=0)
+    assert got_n.count() == e.count() and got_n.exceptAll(plain_n).count() == 0
+    plain_p = numbering.previous_values(e, "value", "event_id", partition_by="g")
+    got_p = numbering.previous_values(e, "value", "event_id", partition_by="g", buckets=9, small_rows=0)
+    assert got_p.count() == e.count() and got_p.exceptAll(plain_p).count() == 0
