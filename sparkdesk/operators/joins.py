@@ -31,3 +31,11 @@ def join_skipping_null_keys(left: DataFrame, right: DataFrame, on: list[str], ho
         return matched
     rest = left.where(~ok)
     return matched.unionByName(rest, allowMissingColumns=(how == "left"))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` where null equals null (a null group is a group, as
+    in ``Window.partitionBy``); the right-hand key columns are dropped."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

@@ -26,6 +26,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sparkdesk.operators.joins import join_null_safe
+
 SMALL_ROWS = 200_000
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 65_536
@@ -39,14 +41,6 @@ def _small(small_rows: int | None) -> int:
     return SMALL_ROWS if small_rows is None else small_rows
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on ``keys`` where null equals null (a null group is a group, as
-    in ``Window.partitionBy``); the right-hand key columns are dropped."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -124,7 +118,7 @@ def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no
         # one row per bucket: the broadcast side is bounded by the bucket count
         offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_by)
-    return (_join_null_safe(b, offsets, [*groups, "_bucket"], "inner")
+    return (join_null_safe(b, offsets, [*groups, "_bucket"], "inner")
             .withColumn(out, (F.row_number().over(inner) + F.col("_off")).cast("long"))
             .select(*df.columns, out))
 
@@ -171,7 +165,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
     if not groups:
         # one row per bucket: bounded by the bucket count
         carry = F.broadcast(carry)
-    out = _join_null_safe(b, carry, [*groups, "_bucket"], "left")
+    out = join_null_safe(b, carry, [*groups, "_bucket"], "left")
     if fill == "none":
         out = out.withColumn("_cur", v).withColumn(
             "_prev", F.when(F.row_number().over(inner) == 1, F.col("_carry"))

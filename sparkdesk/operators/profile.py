@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
+from sparkdesk.operators.joins import join_null_safe
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 # Up to this many values Spark's exact ``percentile`` is used: it keeps one
@@ -96,17 +97,19 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
     tg = tg.select(group, "p", (F.col("p") * (F.col("_total") - 1)).alias("_pos"))
     tg = tg.select(group, "p", "_pos", F.explode(F.array_distinct(F.array(
         F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))).alias("_r"))
-    loc = tg.join(stats.select(group, "_bucket", "_off", "_n", "_lo", "_hi"), group).where(
+    nsj = join_null_safe
+    loc = nsj(tg, stats.select(group, "_bucket", "_off", "_n", "_lo", "_hi"), [group], "inner").where(
         (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_n")))
     # a bucket holding one distinct value answers directly; others are ranked
     flat = loc.where(F.col("_lo") == F.col("_hi")).select(group, "p", "_pos", "_r", F.col("_lo").alias("_val"))
     need = loc.where(F.col("_lo") != F.col("_hi"))
     # at most (#groups x #probs x 2) buckets: bounded by the schema, not the data
     want = F.broadcast(need.select(group, "_bucket", "_off").distinct())
-    ranked = b.join(want, [group, "_bucket"]).withColumn(
+    ranked = nsj(b, want, [group, "_bucket"], "inner").withColumn(
         "_r", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_v")) - 1 + F.col("_off"))
-    exact = need.select(group, "p", "_pos", "_r", "_bucket").join(
-        ranked.select(group, "_bucket", "_r", F.col("_v").alias("_val")), [group, "_bucket", "_r"]).drop("_bucket")
+    exact = nsj(need.select(group, "p", "_pos", "_r", "_bucket"),
+                ranked.select(group, "_bucket", "_r", F.col("_v").alias("_val")),
+                [group, "_bucket", "_r"], "inner").drop("_bucket")
     vals = flat.unionByName(exact)
     return (vals.groupBy(group, "p").agg(
         F.first("_pos").alias("_pos"), F.min_by("_val", "_r").alias("_a"), F.max_by("_val", "_r").alias("_b"),

@@ -392,7 +392,7 @@ sql("preview", "SELECT * FROM health ORDER BY date LIMIT 5", "health")
 sql("chat_transcript", """
     SELECT c.conv_id, c.turn, c.role, c.text FROM chat c
     JOIN (SELECT conv_id, min(turn) AS f FROM chat GROUP BY conv_id) m ON c.conv_id = m.conv_id
-    WHERE NOT (c.turn = m.f AND c.role = 'system')""", "chat")
+    WHERE NOT coalesce(c.turn = m.f AND c.role = 'system', false)""", "chat")
 sql("chat_append", """
     SELECT conv_id, turn, role, text FROM chat
     UNION ALL

@@ -201,3 +201,16 @@ def test_bucketed_grouped_paths_keep_null_groups(spark):
     plain_p = numbering.previous_values(e, "value", "event_id", partition_by="g")
     got_p = numbering.previous_values(e, "value", "event_id", partition_by="g", buckets=9, small_rows=0)
     assert got_p.count() == e.count() and got_p.exceptAll(plain_p).count() == 0
+
+
+def test_quantiles_and_transcript_keep_null_groups(spark):
+    from sparkdesk.operators import chat
+    e = _events(spark).select(F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("event_type")).alias("metric"),
+                              F.col("value").alias("v"))
+    small = {(r.metric, r.p): r.q for r in profile.exact_quantiles(e, [0.5]).collect()}
+    big = {(r.metric, r.p): r.q for r in profile.exact_quantiles(e, [0.5], buckets=7, small_rows=0).collect()}
+    assert (None, 0.5) in small and small.keys() == big.keys()
+    assert all(abs(small[k] - big[k]) < 1e-9 for k in small)
+    log = spark.createDataFrame([(None, 0, "system", "s"), (None, 1, "user", "u")],
+                                "conv_id long, turn long, role string, text string")
+    assert [r.turn for r in chat.transcript(log).collect()] == [1]
