@@ -48,3 +48,29 @@ def test_bucketed_path_matches_oracle(spark, con, name, monkeypatch):
     monkeypatch.setattr(numbering, "SMALL_ROWS", 0)
     monkeypatch.setattr(profile, "QUANTILE_SMALL_ROWS", 0)
     test_query_matches_oracle(spark, con, name)
+
+
+def test_csv_encodings_round_trip(spark):
+    from pyspark.sql import functions as F
+    from sparkdesk.sources import views as V
+    got = QUERIES["csv_encodings"](spark, SF).select("doc_id", F.col("text").alias("back"), "encoding")
+    src = V.docs(spark, SF).select("doc_id", "lang", "text")
+    j = src.join(got, "doc_id")
+    assert j.count() == src.count()
+    utf = j.where(F.col("lang").isin("en", "es"))
+    assert utf.where(F.col("encoding") != "UTF-8").count() == 0
+    assert utf.where(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
+    # Latin-1 files decode back to the source wherever the text is Latin-1 encodable
+    rows = j.where(~F.col("lang").isin("en", "es")).select("text", "back").collect()
+    same = [r for r in rows if r.text is not None and all(ord(ch) < 256 for ch in r.text)]
+    assert same and all(r.back == r.text for r in same)
+
+
+def test_landed_profile_matches_source(spark):
+    from pyspark.sql import functions as F
+    from sparkdesk.sources import views as V
+    r = QUERIES["landed_profile"](spark, SF).first()
+    h = V.health(spark, SF)
+    nulls = h.select(sum(F.col(c).isNull().cast("long") for c in h.columns).alias("n")).agg(F.sum("n")).first()[0]
+    assert (r.rows, r.columns, r.missing, r.files, r.status) == (h.count(), 5, nulls, 1, "ok")
+    assert r.file_bytes > 0
