@@ -214,3 +214,15 @@ def test_quantiles_and_transcript_keep_null_groups(spark):
     log = spark.createDataFrame([(None, 0, "system", "s"), (None, 1, "user", "u")],
                                 "conv_id long, turn long, role string, text string")
     assert [r.turn for r in chat.transcript(log).collect()] == [1]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-100, 100, allow_nan=False)), min_size=1, max_size=80),
+       st.integers(1, 12), st.sampled_from(["pad", "none"]))
+def test_previous_values_property(spark, values, buckets, fill):
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(values)], "pos long, v double, g long")
+    for groups in ((), ("g",)):
+        plain = numbering.previous_values(df, "v", "pos", partition_by=groups, fill=fill)
+        got = numbering.previous_values(df, "v", "pos", partition_by=groups, fill=fill,
+                                        buckets=buckets, small_rows=0)
+        assert sorted(plain.collect()) == sorted(got.collect())
