@@ -226,3 +226,13 @@ def test_previous_values_property(spark, values, buckets, fill):
         got = numbering.previous_values(df, "v", "pos", partition_by=groups, fill=fill,
                                         buckets=buckets, small_rows=0)
         assert sorted(plain.collect()) == sorted(got.collect())
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(1, 200), st.integers(1, 250), st.integers(0, 60), st.integers(1, 9))
+def test_slice_rows_property(spark, n, lo, width, buckets):
+    df = spark.range(n).withColumn("k", (F.col("id") * 37) % 101)
+    got = numbering.slice_rows(df, ["k", "id"], lo, lo + width, "rn", buckets=buckets, small_rows=0)
+    plain = numbering.slice_rows(df, ["k", "id"], lo, lo + width, "rn")
+    assert sorted(got.collect()) == sorted(plain.collect())
+    assert [r.rn for r in got.orderBy("rn").collect()] == list(range(lo, min(n, lo + width) + 1))
