@@ -236,3 +236,14 @@ def test_slice_rows_property(spark, n, lo, width, buckets):
     plain = numbering.slice_rows(df, ["k", "id"], lo, lo + width, "rn")
     assert sorted(got.collect()) == sorted(plain.collect())
     assert [r.rn for r in got.orderBy("rn").collect()] == list(range(lo, min(n, lo + width) + 1))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-20, 20), min_size=1, max_size=120), st.integers(1, 9))
+def test_quantiles_equal_numpy(spark, values, buckets):
+    df = spark.createDataFrame([("m", float(v)) for v in values], "metric string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = {p: float(np.percentile(np.array(values, dtype=float), p * 100)) for p in probs}
+    for kw in ({}, {"buckets": buckets, "small_rows": 0}):
+        got = {r.p: r.q for r in profile.exact_quantiles(df, probs, **kw).collect()}
+        assert all(abs(got[p] - want[p]) < 1e-9 for p in probs), (kw, got, want)
