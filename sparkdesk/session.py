@@ -99,7 +99,16 @@ def spread(df):
     """Give CPU-heavy per-row work (regexes, chunking, Python batches) every
     core when the input arrives in fewer splits than the cluster has slots
     (e.g. one large Parquet row group).  Inputs already split at least that
-    finely, as at scale, pass through untouched: no extra shuffle."""
+    finely, as at scale, pass through untouched: no extra shuffle.
+
+    Only exchange-free plans (scans, projections, filters) are inspected:
+    counting the partitions of a plan with a shuffle would make adaptive
+    execution run that shuffle early, and its partitioning is already the
+    shuffle's.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()   # planned, not run
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
