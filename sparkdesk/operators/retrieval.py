@@ -130,10 +130,12 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec
 
 
 def _query_blocks(queries: DataFrame, qid: str, qvec: str, max_bytes: int):
-    n = queries.count()
+    # the query table is read several times below (size, blocks): compute it once
+    queries = materialize(queries.select(qid, qvec))
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
+    n, dim = stats["n"], stats["dim"] or 0
     if n == 0:
         return []
-    dim = queries.select(F.max(F.size(qvec))).first()[0] or 0
     per_block = max(1, int(max_bytes // max(1, dim * 8)))
     blocks = math.ceil(n / per_block)
     if blocks == 1:
