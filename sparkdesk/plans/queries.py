@@ -308,29 +308,33 @@ def clean_docs(spark, d):
 
 def _rag_questions(spark, d):
     from sparkdesk.operators import retrieval as R
+    from sparkdesk.session import materialize
     c = R.centroids(V.embeddings(spark, d), "label")
-    return c.select(F.col("label").cast("long").alias("query_id"),
-                    F.concat(F.lit("Which passages are closest to label "), F.col("label").cast("string"),
-                             F.lit("?")).alias("question"), "embedding")
+    # used by the search and by the prompts: computed once
+    return materialize(c.select(
+        F.col("label").cast("long").alias("query_id"),
+        F.concat(F.lit("Which passages are closest to label "), F.col("label").cast("string"),
+                 F.lit("?")).alias("question"), "embedding"))
 
 
-def _rag_hits(spark, d):
+def _rag_hits(spark, d, questions):
     from sparkdesk.operators import retrieval as R
-    hits = R.nearest(V.embeddings(spark, d), _rag_questions(spark, d), k=3)
+    hits = R.nearest(V.embeddings(spark, d), questions, k=3)
     texts = V.docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text")
     return R.attach_texts(hits, texts, "vec_id", "text")
 
 
 @query
 def vector_topk(spark, d):
-    return _rag_hits(spark, d).select("query_id", "rank", "vec_id",
-                                      F.round("distance", 6).alias("distance"), "text")
+    return _rag_hits(spark, d, _rag_questions(spark, d)).select(
+        "query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), "text")
 
 
 @query
 def rag_prompts(spark, d):
     from sparkdesk.operators import retrieval as R
-    return R.prompts(_rag_questions(spark, d).drop("embedding"), _rag_hits(spark, d))
+    questions = _rag_questions(spark, d)
+    return R.prompts(questions.drop("embedding"), _rag_hits(spark, d, questions))
 
 
 @query
