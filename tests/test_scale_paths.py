@@ -247,3 +247,18 @@ def test_quantiles_equal_numpy(spark, values, buckets):
     for kw in ({}, {"buckets": buckets, "small_rows": 0}):
         got = {r.p: r.q for r in profile.exact_quantiles(df, probs, **kw).collect()}
         assert all(abs(got[p] - want[p]) < 1e-9 for p in probs), (kw, got, want)
+
+
+def test_spread_runs_nothing_on_shuffled_plans(spark):
+    from sparkdesk.session import spread
+    sc = spark.sparkContext
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    g = d.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).join(d, "lang")
+    sc.setJobGroup("spread-check", "spread-check")
+    try:
+        assert spread(g) is g
+        assert len(sc.statusTracker().getJobIdsForGroup("spread-check")) == 0
+    finally:
+        sc.setJobGroup("", "")
+    one_split = d.select("text")
+    assert spread(one_split).rdd.getNumPartitions() >= min(sc.defaultParallelism, 2)
