@@ -51,7 +51,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="sparkdesk-wh-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not master:
+    if not spark.sparkContext.master.startswith("local"):
         for k, v in SCALE_DEFAULTS.items():
             if spark.conf.get(k, None) in (None, ""):
                 spark.conf.set(k, v)
