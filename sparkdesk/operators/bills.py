@@ -95,7 +95,7 @@ def month_share(df: DataFrame) -> DataFrame:
     g = df.groupBy("month", "month_ord").agg(F.sum("amount").alias("amount"))
     total = df.agg(F.sum("amount")).scalar()
     return g.select("month", "month_ord", F.round("amount", 2).alias("amount"),
-                    F.round(F.col("amount") / total, 6).alias("share"))
+                    F.round(F.try_divide(F.col("amount"), total), 6).alias("share"))
 
 
 # Spend per (month, anomaly): stacked bars

@@ -28,7 +28,7 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 # Share of total; the total is a one-row aggregate read as a scalar
 def share_of_total(df: DataFrame, key: str, value: str, out: str = "share") -> DataFrame:
     total = df.agg(F.sum(value).cast("double")).scalar()
-    return df.withColumn(out, F.col(value).cast("double") / total)
+    return df.withColumn(out, F.try_divide(F.col(value).cast("double"), total))   # 0 total -> null
 
 
 # Rows per calendar day; unparseable or null times dropped

@@ -330,3 +330,8 @@ def test_all_null_amounts_not_enough_data(spark):
     assert [r.message for r in bills.insights(df).collect()] == [P.NO_DATA_INSIGHT]
     k = bills.kpis(df).first()
     assert (k.bills, k.total_spend, k.avg_bill, k.max_bill) == (2, 0.0, None, None)
+
+
+def test_share_of_zero_total_is_null(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v long")
+    assert [r.share for r in facets.share_of_total(df, "k", "v").collect()] == [None, None]
