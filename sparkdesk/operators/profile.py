@@ -136,7 +136,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[f
         for s in ["count", "mean", "std", "min", "max"]])).alias("_s")).select("metric", "_s.stat", "_s.value")
     names = F.create_map(*[x for p in probs for x in (F.lit(float(p)), F.lit(_pct_name(p)))])
     qs = exact_quantiles(long_df, probs, **kw).select(
-        "metric", F.element_at(names, F.col("p")).alias("stat"), F.col("q").alias("value"))
+        "metric", F.try_element_at(names, F.col("p")).alias("stat"), F.col("q").alias("value"))
     return basic.unionByName(qs)
 
 
