@@ -7,12 +7,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkdesk.functions import patterns as P
+from sparkdesk.operators import attachments as A
+from sparkdesk.operators import bills as B
+from sparkdesk.operators import chat as C
+from sparkdesk.operators import contacts as K
 from sparkdesk.operators import facets
+from sparkdesk.operators import profile as Pr
+from sparkdesk.operators import retrieval as R
+from sparkdesk.operators import series as S
+from sparkdesk.operators import text as T
+from sparkdesk.operators import timeline as TL
+from sparkdesk.operators.contacts import CONTACT_SCHEMA
+from sparkdesk.session import materialize, scratch_dir
+from sparkdesk.sources import files as Fi
 from sparkdesk.sources import views as V
+from sparkdesk.streaming.landing import land_csv
 
 # query parameters shared with the oracle
 SEARCH = "customer#0*1"
@@ -110,46 +125,40 @@ def contact_page(spark, d):
 @query
 def page_count(spark, d):
     found = facets.search(V.contacts(spark, d), SEARCH, "name")
-    return facets.page_counts(found, [5, 10, 20, 50])
+    return facets.page_counts(found, P.PAGE_SIZES)
 
 
 # --- contacts: write side ------------------------------------------------
 
 @query
 def contact_import(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.import_rows(V.contacts(spark, d), V.uploads(spark, d), "upload_pos",
                          dedup=True, validate=False, run_ts=RUN_TS)
 
 
 @query
 def contact_import_all(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.import_rows(V.contacts(spark, d), V.uploads(spark, d), "upload_pos",
                          dedup=False, validate=False, run_ts=RUN_TS)
 
 
 @query
 def import_report(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.import_report(V.contacts(spark, d), V.uploads(spark, d), validate=True)
 
 
 @query
 def contact_update(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.update_rows(V.contacts(spark, d), V.edits(spark, d))
 
 
 @query
 def contact_delete(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.delete_rows(V.contacts(spark, d), V.deletes(spark, d))
 
 
 @query
 def contact_backfill(spark, d):
-    from sparkdesk.operators import contacts as K
     return K.backfill_timestamps(V.contacts(spark, d), run_ts=RUN_TS)
 
 
@@ -157,7 +166,6 @@ def contact_backfill(spark, d):
 
 @query
 def profile_table(spark, d):
-    from sparkdesk.operators import profile as Pr
     return Pr.profile(V.contacts(spark, d))
 
 
@@ -169,7 +177,6 @@ def numeric_series(spark, d):
 
 @query
 def health_describe(spark, d):
-    from sparkdesk.operators import profile as Pr
     e = V.table(spark, d, "events")
     return Pr.describe(e, ["event_id", "user_id", "value"]).select(
         "metric", "stat", F.round("value", 6).alias("value"))
@@ -177,25 +184,21 @@ def health_describe(spark, d):
 
 @query
 def text_describe(spark, d):
-    from sparkdesk.operators import profile as Pr
     return Pr.describe_text(V.table(spark, d, "events"), ["event_type", "props"])
 
 
 # --- bills ---------------------------------------------------------------
 
 def _bill_fields(spark, d):
-    from sparkdesk.operators import bills as B
     return B.extract_fields(V.bill_text(spark, d), "text", ("file", "pos", "account"))
 
 
 def _bills_enriched(spark, d):
-    from sparkdesk.operators import bills as B
     return B.enrich(_bill_fields(spark, d), "pos")
 
 
 def _bills_by_month(spark, d):
     # amount, month and year only: for outputs that do not use the change
-    from sparkdesk.operators import bills as B
     return B.with_month_year(_bill_fields(spark, d))
 
 
@@ -206,7 +209,6 @@ def bill_fields(spark, d):
 
 @query
 def doc_fields(spark, d):
-    from sparkdesk.operators import bills as B
     return B.extract_fields(V.docs(spark, d), "text", ("doc_id",))
 
 
@@ -219,39 +221,33 @@ def bill_anomalies(spark, d):
 
 @query
 def bill_kpis(spark, d):
-    from sparkdesk.operators import bills as B
     return B.kpis(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
 def bill_month_share(spark, d):
-    from sparkdesk.operators import bills as B
     return B.month_share(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
 def bill_month_anomaly(spark, d):
-    from sparkdesk.operators import bills as B
     return B.month_anomaly(B.month_filter(_bills_enriched(spark, d)))
 
 
 @query
 def bill_insights(spark, d):
-    from sparkdesk.operators import bills as B
     return B.insights(B.month_filter(_bills_by_month(spark, d)))
 
 
 @query
 def first_bill_per_file(spark, d):
-    from sparkdesk.operators import bills as B
     return B.first_per_key(V.bill_text(spark, d), "file", "pos")
 
 
 # --- leader timeline -----------------------------------------------------
 
 def _holders(spark, d):
-    from sparkdesk.operators import timeline as T
-    return T.office_holders(V.statements(spark, d), V.starts(spark, d), V.ends(spark, d),
+    return TL.office_holders(V.statements(spark, d), V.starts(spark, d), V.ends(spark, d),
                             V.labels_q(spark, d))
 
 
@@ -262,53 +258,44 @@ def leader_holders(spark, d):
 
 @query
 def leader_tenure(spark, d):
-    from sparkdesk.operators import timeline as T
-    return T.tenure(_holders(spark, d), RUN_TS)
+    return TL.tenure(_holders(spark, d), RUN_TS)
 
 
 @query
 def leader_years(spark, d):
-    from sparkdesk.operators import timeline as T
-    return T.years_per_leader(T.tenure(_holders(spark, d), RUN_TS, sort=False))
+    return TL.years_per_leader(TL.tenure(_holders(spark, d), RUN_TS, sort=False))
 
 
 @query
 def office_lookup(spark, d):
-    from sparkdesk.operators import timeline as T
-    parsed = T.parse_question(V.questions(spark, d))
-    return T.lookup_office(parsed, V.offices(spark, d)).select(
+    parsed = TL.parse_question(V.questions(spark, d))
+    return TL.lookup_office(parsed, V.offices(spark, d)).select(
         "question_id", "question", "role", "country", "search_term", "office_qid")
 
 
 @query
 def bindings_flatten(spark, d):
-    from sparkdesk.operators import timeline as T
-    return T.flatten_bindings(V.bindings_json(spark, d), "body", ("event_id",), RUN_TS)
+    return TL.flatten_bindings(V.bindings_json(spark, d), "body", ("event_id",), RUN_TS)
 
 
 # --- documents and retrieval ---------------------------------------------
 
 @query
 def doc_chunks(spark, d):
-    from sparkdesk.operators import retrieval as R
     return R.chunk_text(V.docs(spark, d), "text", keep=("doc_id",))
 
 
 @query
 def page_text(spark, d):
-    from sparkdesk.operators import text as T
     return T.assemble_pages(V.pages_text(spark, d), "doc_id", "page_no", "text")
 
 
 @query
 def clean_docs(spark, d):
-    from sparkdesk.operators import text as T
     return T.clean_transcripts(V.docs(spark, d), "text", ("doc_id",))
 
 
 def _rag_questions(spark, d):
-    from sparkdesk.operators import retrieval as R
-    from sparkdesk.session import materialize
     c = R.centroids(V.embeddings(spark, d), "label")
     # used by the search and by the prompts: computed once
     return materialize(c.select(
@@ -318,7 +305,6 @@ def _rag_questions(spark, d):
 
 
 def _rag_hits(spark, d, questions):
-    from sparkdesk.operators import retrieval as R
     hits = R.nearest(V.embeddings(spark, d), questions, k=3)
     texts = V.docs(spark, d).select(F.col("doc_id").alias("vec_id"), "text")
     return R.attach_texts(hits, texts, "vec_id", "text")
@@ -332,7 +318,6 @@ def vector_topk(spark, d):
 
 @query
 def rag_prompts(spark, d):
-    from sparkdesk.operators import retrieval as R
     questions = _rag_questions(spark, d)
     return R.prompts(questions.drop("embedding"), _rag_hits(spark, d, questions))
 
@@ -344,9 +329,7 @@ def rag_routes(spark, d):
 
 @query
 def chunk_store_append(spark, d):
-    from sparkdesk.operators import retrieval as R
     docs = V.docs(spark, d)
-    from sparkdesk.session import materialize
     # the store as it stood before the re-ingest (a written table in practice)
     first = materialize(R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text")))
     return R.ingest_chunks(first, R.chunk_text(docs, "text"))
@@ -354,7 +337,6 @@ def chunk_store_append(spark, d):
 
 @query
 def embed_hook(spark, d):
-    from sparkdesk.operators import retrieval as R
     chunks = R.chunk_text(V.docs(spark, d), "text")
     return R.embed(chunks, R.hashed_bag_of_words(64), 64, text="chunk")
 
@@ -366,57 +348,48 @@ METRICS = ["heart_rate", "steps", "sleep_hours", "bp_systolic"]
 
 @query
 def health_kpis(spark, d):
-    from sparkdesk.operators import series as S
     return S.kpis(V.health(spark, d))
 
 
 @query
 def health_alerts(spark, d):
-    from sparkdesk.operators import series as S
     return S.alerts(V.health(spark, d))
 
 
 @query
 def health_slice(spark, d):
-    from sparkdesk.operators import series as S
     return S.position_slice(V.health(spark, d), SLICE_START, SLICE_END)
 
 
 @query
 def health_metric_series(spark, d):
-    from sparkdesk.operators import series as S
     return S.metric_series(V.health(spark, d), "heart_rate")
 
 
 @query
 def health_long(spark, d):
-    from sparkdesk.operators import series as S
     return S.to_long(V.health(spark, d), METRICS)
 
 
 @query
 def health_repair(spark, d):
-    from sparkdesk.operators import series as S
     return S.repair_single_column(S.join_single_column(V.health(spark, d), "line"), "line")
 
 
 @query
 def preview(spark, d):
-    from sparkdesk.operators import facets as Fa
-    return Fa.preview(V.health(spark, d), "date", 5)
+    return facets.preview(V.health(spark, d), "date", 5)
 
 
 # --- chat ----------------------------------------------------------------
 
 @query
 def chat_transcript(spark, d):
-    from sparkdesk.operators import chat as C
     return C.transcript(V.chat(spark, d))
 
 
 @query
 def chat_append(spark, d):
-    from sparkdesk.operators import chat as C
     log = V.chat(spark, d)
     new = log.where(F.col("role") == "user").select(
         "conv_id", F.col("turn").alias("src_turn"), "role", F.concat(F.lit("again: "), F.col("text")).alias("text"))
@@ -427,13 +400,11 @@ def chat_append(spark, d):
 
 @query
 def latest_attachment(spark, d):
-    from sparkdesk.operators import attachments as A
     return A.latest(A.valid_attachments(V.messages(spark, d)))
 
 
 @query
 def latest_attachment_per_user(spark, d):
-    from sparkdesk.operators import attachments as A
     return A.latest_per(A.valid_attachments(V.messages(spark, d)), "user_id")
 
 
@@ -444,15 +415,11 @@ DOC_SCHEMA = "doc_id long, lang string, text string"
 
 @query
 def csv_roundtrip(spark, d):
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
     path = Fi.write_csv(V.health(spark, d), scratch_dir(spark, "csv") + "/health")
     return Fi.read_csv(spark, path, HEALTH_SCHEMA)
 
 
 def _encoded_docs(spark, d):
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
     root = scratch_dir(spark, "enc")
     docs = V.docs(spark, d).select("doc_id", "lang", "text")
     Fi.write_csv(docs.where(F.col("lang").isin("en", "es")), root + "/utf8")
@@ -462,22 +429,18 @@ def _encoded_docs(spark, d):
 
 @query
 def csv_encodings(spark, d):
-    from sparkdesk.sources import files as Fi
     root = _encoded_docs(spark, d)
     return Fi.read_csv_any_encoding(spark, [root + "/utf8", root + "/latin1"], DOC_SCHEMA)
 
 
 @query
 def text_files(spark, d):
-    from sparkdesk.sources import files as Fi
     root = _encoded_docs(spark, d)
     return Fi.read_text_files(spark, [root + "/utf8", root + "/latin1"])
 
 
 @query
 def format_dispatch(spark, d):
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
     root = scratch_dir(spark, "dispatch")
     V.docs(spark, d).select("text").write.text(root + "/docs_txt")
     Fi.write_csv(V.health(spark, d), root + "/health_csv")
@@ -487,9 +450,6 @@ def format_dispatch(spark, d):
 
 @query
 def stream_landing(spark, d):
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
-    from sparkdesk.streaming.landing import land_csv
     root = scratch_dir(spark, "landing")
     h = V.health(spark, d)
     # two drops into the inbox, each landed by its own availableNow run
@@ -502,10 +462,6 @@ def stream_landing(spark, d):
 
 @query
 def create_table(spark, d):
-    import uuid
-    from sparkdesk.operators.contacts import CONTACT_SCHEMA
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
     name = f"contacts_{uuid.uuid4().hex[:10]}"
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CONTACT_SCHEMA.fields)
     loc = scratch_dir(spark, "table")
@@ -517,23 +473,18 @@ def create_table(spark, d):
 
 @query
 def analysis_prompt(spark, d):
-    from sparkdesk.operators import profile as Pr
     described = Pr.describe(V.health(spark, d), ["heart_rate", "steps", "sleep_hours", "bp_systolic"])
     return Pr.summary_prompt(described.select("metric", "stat", F.round("value", 6).alias("value")))
 
 
 @query
 def landed_profile(spark, d):
-    from sparkdesk.operators import profile as Pr
-    from sparkdesk.session import scratch_dir
-    from sparkdesk.sources import files as Fi
     path = Fi.write_csv(V.health(spark, d), scratch_dir(spark, "landed") + "/health")
     return Pr.profile_files(Fi.read_csv(spark, path, HEALTH_SCHEMA))
 
 
 @query
 def bill_anomalies_by_account(spark, d):
-    from sparkdesk.operators import bills as B
     e = B.enrich(_bill_fields(spark, d), "pos", partition_by="account")
     return e.select("file", "pos", "account", "amount", "month", "month_ord", "year",
                     F.round("pct_change", 6).alias("pct_change"), "anomaly")
@@ -541,5 +492,4 @@ def bill_anomalies_by_account(spark, d):
 
 @query
 def bill_insights_by_account(spark, d):
-    from sparkdesk.operators import bills as B
     return B.insights(B.month_filter(_bills_by_month(spark, d)), partition_by="account")
