@@ -74,3 +74,13 @@ def test_landed_profile_matches_source(spark):
     nulls = h.select(sum(F.col(c).isNull().cast("long") for c in h.columns).alias("n")).agg(F.sum("n")).first()[0]
     assert (r.rows, r.columns, r.missing, r.files, r.status) == (h.count(), 5, nulls, 1, "ok")
     assert r.file_bytes > 0
+
+
+def test_text_files_and_dispatch_values(spark):
+    from sparkdesk.sources import views as V
+    tf = QUERIES["text_files"](spark, SF).collect()
+    assert {r.status for r in tf} == {"ok", "quarantine"}
+    assert all((r.text is None) == (r.status == "quarantine") for r in tf)
+    fd = {r.kind: r for r in QUERIES["format_dispatch"](spark, SF).collect()}
+    assert fd["csv"].rows == V.health(spark, SF).count() and fd["csv"].status == "ok"
+    assert fd["txt"].rows == 1 and fd["unsupported"].status == "unsupported"
