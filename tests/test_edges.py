@@ -335,3 +335,12 @@ def test_all_null_amounts_not_enough_data(spark):
 def test_share_of_zero_total_is_null(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v long")
     assert [r.share for r in facets.share_of_total(df, "k", "v").collect()] == [None, None]
+
+
+def test_embed_hook(spark):
+    import numpy as np
+    df = spark.createDataFrame([(1, "hello world hello"), (2, ""), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r.embedding for r in retrieval.embed(df, retrieval.hashed_bag_of_words(8), 8).collect()}
+    assert abs(np.linalg.norm(out[1]) - 1.0) < 1e-6 and not any(out[2]) and not any(out[3])
+    with pytest.raises(Exception, match="want"):
+        retrieval.embed(df, lambda texts: np.zeros((len(texts), 3)), 8).collect()
