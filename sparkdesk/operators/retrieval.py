@@ -226,6 +226,8 @@ def ingest_chunks(store: DataFrame | None, chunks: DataFrame, text: str = "chunk
         mark = F.coalesce(store.agg(F.max("chunk_id")).scalar(), F.lit(0).cast("long"))
     else:
         mark = F.lit(0).cast("long")
+    # hashing every chunk is the heavy part: do it once, then count and number
+    first = materialize(first)
     new = numbering.number_rows(first, order_by, out="_k").select(
         (mark + F.col("_k")).alias("chunk_id"), *order_by, "text_hash")
     return new if store is None else store.select("chunk_id", *order_by, "text_hash").unionByName(new)
