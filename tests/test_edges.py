@@ -344,3 +344,24 @@ def test_embed_hook(spark):
     assert abs(np.linalg.norm(out[1]) - 1.0) < 1e-6 and not any(out[2]) and not any(out[3])
     with pytest.raises(Exception, match="want"):
         retrieval.embed(df, lambda texts: np.zeros((len(texts), 3)), 8).collect()
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       　"
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet=_WS + "ab é-'", max_size=12), min_size=1, max_size=8))
+def test_py_strip_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, s string")
+    got = [r.t for r in df.select("i", X.py_strip("s").alias("t")).orderBy("i").collect()]
+    assert got == [t.strip() for t in texts]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="abcXYZ '-_1 ", max_size=15), min_size=1, max_size=8))
+def test_py_title_matches_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, s string")
+    got = [r.t for r in df.select("i", X.py_title("s").alias("t")).orderBy("i").collect()]
+    assert got == [t.title() for t in texts]
