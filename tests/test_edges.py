@@ -365,3 +365,42 @@ def test_py_title_matches_python(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, s string")
     got = [r.t for r in df.select("i", X.py_title("s").alias("t")).orderBy("i").collect()]
     assert got == [t.title() for t in texts]
+
+
+_BILL_ALPHABET = "0123456789٣ abcéJanFeb@.-_,₹\t\n" + " "
+
+
+_TOKEN = st.one_of(
+    st.text(alphabet="0123456789", min_size=1, max_size=14),
+    st.text(alphabet="0123456789٣", min_size=1, max_size=4),
+    st.sampled_from(["Jan", "Feb", "Sept", "déc", "x_1", "a.b-c", "@", "₹", "₹ ", ",", ".", "-", " - ",
+                     " ", "  ", "\t", "\n", "Airtel Black", "1,234.50", "mail@x.example",
+                     "12 Jan 2024", "3 Feb 2025 - 4 Mar 2025", "1\tJan\n2024", "12 Jan 20245",
+                     "7 déc 2023 - 8 Jan 2024", "₹ 1,234.56", "₹12.30", "₹1,2,3.45", "₹ 99.9"]),
+    st.text(alphabet=_BILL_ALPHABET, max_size=6))
+_TEXT = st.lists(_TOKEN, max_size=25).map("".join)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(_TEXT, min_size=1, max_size=10))
+def test_bill_fields_match_python_re(spark, texts):
+    import re as pyre
+
+    def first(p, t, g=0):
+        m = pyre.search(p, t)
+        return m.group(g) if m else None
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, text string")
+    got = {r.file: r for r in bills.extract_fields(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[str(i)]
+        dates = pyre.findall(r"\d{1,2}\s\w+\s\d{4}", t)
+        assert r.email == first(r"[\w\.-]+@[\w\.-]+", t)
+        assert r.phone == first(r"\b\d{10}\b", t)
+        assert r.account_id == first(r"\b\d{12,}\b", t)
+        assert r.statement_date == (dates[0] if dates else None)
+        assert r.due_date == (dates[-1] if len(dates) >= 2 else None)
+        assert r.statement_period == first(r"\d{1,2}\s\w+\s\d{4}\s-\s\d{1,2}\s\w+\s\d{4}", t)
+        raw = first(r"₹\s?([\d,]+\.\d{2})", t, 1)
+        if raw is not None and raw.isascii():
+            want = float(raw.replace(",", "")) if raw.replace(",", "").replace(".", "", 1).isdigit() else None
+            assert r.amount == want
