@@ -404,3 +404,36 @@ def test_bill_fields_match_python_re(spark, texts):
         if raw is not None and raw.isascii():
             want = float(raw.replace(",", "")) if raw.replace(",", "").replace(".", "", 1).isdigit() else None
             assert r.amount == want
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(_TEXT, min_size=1, max_size=10))
+def test_month_year_match_python_re(spark, texts):
+    import re as pyre
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, statement_period string")
+    got = {r.i: r for r in bills.with_month_year(df).collect()}
+    for i, t in enumerate(texts):
+        m = pyre.search(r"-\s\d{1,2}\s(\w+)", t)
+        month = m.group(1) if m and m.group(1) in P.MONTHS else None
+        y = pyre.search(r"(\d{4})$", t)
+        assert got[i].month == month
+        assert got[i].year == (y.group(1) if y else None)
+
+
+_QUESTION = st.lists(st.sampled_from(["Prime Ministers", "prime minister", "PRESIDENTS", "vice president",
+                                      " of ", "OF", "office", "india", "côte d'ivoire", "united  states",
+                                      "\t", " ", "leaders", "in", "of the"]), max_size=8).map("".join)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(_QUESTION, min_size=1, max_size=10))
+def test_parse_question_matches_python(spark, qs):
+    def parse(text):
+        t = text.lower()
+        role = "Prime Minister" if "prime minister" in t else ("President" if "president" in t else None)
+        if role is None or "of" not in t:
+            return None, None
+        return role, t.split("of")[-1].strip().title()
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "i long, question string")
+    got = {r.i: (r.role, r.country) for r in timeline.parse_question(df).collect()}
+    assert got == {i: parse(q) for i, q in enumerate(qs)}
