@@ -437,3 +437,23 @@ def test_parse_question_matches_python(spark, qs):
     df = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "i long, question string")
     got = {r.i: (r.role, r.country) for r in timeline.parse_question(df).collect()}
     assert got == {i: parse(q) for i, q in enumerate(qs)}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from([0.0, 5.0, 10.0, 12.0, -3.0]),
+                          st.floats(-1000, 1000, allow_nan=False)), min_size=1, max_size=40))
+def test_change_and_label_match_pandas(spark, values):
+    import warnings
+    import pandas as pd
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        want = (pd.Series(values, dtype="float64").pct_change() * 100).tolist()
+    labels = [P.SPIKE_LABEL if x > 15 else (P.DROP_LABEL if x < -15 else P.NORMAL_LABEL) for x in want]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos long, amount double")
+    got = bills.with_change(df, "amount", "pos").orderBy("pos").collect()
+    for r, w, lab in zip(got, want, labels):
+        if w != w:                                   # pandas NaN -> null here
+            assert r.pct_change is None
+        else:
+            assert r.pct_change == w or abs(r.pct_change - w) <= 1e-9 * max(1.0, abs(w))
+        assert r.anomaly == lab
