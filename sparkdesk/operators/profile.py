@@ -127,10 +127,11 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[f
              **kw) -> DataFrame:
     cols = list(cols) if cols else numeric_columns(df)
     long_df = _long(df, cols)
-    clean = long_df.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    agg = clean.groupBy("metric").agg(
-        F.count(F.lit(1)).cast("double").alias("count"), F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    # values are masked, not filtered: an all-null column still reports count 0
+    v = F.when(F.col("v").isNotNull() & ~F.isnan("v"), F.col("v"))
+    agg = long_df.groupBy("metric").agg(
+        F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     basic = agg.select("metric", F.explode(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
         for s in ["count", "mean", "std", "min", "max"]])).alias("_s")).select("metric", "_s.stat", "_s.value")

@@ -107,11 +107,12 @@ sql("health_describe", """
       SELECT 'event_id' AS metric, CAST(event_id AS DOUBLE) AS v FROM events
       UNION ALL SELECT 'user_id', CAST(user_id AS DOUBLE) FROM events
       UNION ALL SELECT 'value', value FROM events),
+    c AS (SELECT metric, CASE WHEN NOT isnan(v) THEN v END AS v FROM long),
     s AS (
       SELECT metric, CAST(count(v) AS DOUBLE) AS "count", avg(v) AS "mean", stddev_samp(v) AS "std",
              min(v) AS "min", quantile_cont(v, 0.25) AS "25%", quantile_cont(v, 0.5) AS "50%",
              quantile_cont(v, 0.75) AS "75%", max(v) AS "max"
-      FROM long WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY metric)
+      FROM c GROUP BY metric)
     SELECT metric, stat, round(value, 6) AS value
     FROM s UNPIVOT (value FOR stat IN ("count", "mean", "std", "min", "25%", "50%", "75%", "max"))""")
 sql("text_describe", """

@@ -457,3 +457,23 @@ def test_change_and_label_match_pandas(spark, values):
         else:
             assert r.pct_change == w or abs(r.pct_change - w) <= 1e-9 * max(1.0, abs(w))
         assert r.anomaly == lab
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-50, 50)),
+                          st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False))), min_size=1, max_size=60),
+       st.booleans())
+def test_describe_matches_pandas(spark, rows, bucketed):
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["a", "b"], dtype="float64")
+    want = pdf.describe()
+    df = spark.createDataFrame([(None if a is None else int(a), b) for a, b in rows], "a long, b double")
+    kw = {"buckets": 5, "small_rows": 0} if bucketed else {}
+    got = {(r.metric, r.stat): r.value for r in profile.describe(df, ["a", "b"], **kw).collect()}
+    for col in ["a", "b"]:
+        for stat in want.index:
+            w, g = want.loc[stat, col], got.get((col, stat))
+            if w != w:
+                assert g is None
+            else:
+                assert g is not None and abs(g - w) <= 1e-6 * max(1.0, abs(w)), (col, stat, g, w)
