@@ -108,6 +108,21 @@ def lenient_timestamp(c) -> Column:
     return F.try_to_timestamp(_c(c).cast("string"))
 
 
+# Python's round(x, n) and f"{x:.nf}" round the exact binary value
+# (round(0.15, 1) == 0.1); bround rounds the shortest decimal form (0.2).
+# Java's DecimalFormat, behind format_number, also rounds the exact value.
+def py_fixed(c, digits: int) -> Column:
+    """f"{x:.{digits}f}" for finite x (no grouping separators)."""
+    x = _c(c)
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
+def py_round(c, digits: int) -> Column:
+    x = _c(c)
+    special = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(special, x).otherwise(py_fixed(x, digits).try_cast("double"))
+
+
 # X37 / F6 helpers
 def is_blank(c) -> Column:
     return _c(c).isNull() | (py_strip(c) == "")

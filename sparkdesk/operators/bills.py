@@ -112,7 +112,7 @@ def _fill(template: str, **cols):
 
 def _fmt1(c):
     return F.when(F.col(c) == float("inf"), F.lit("inf")).when(
-        F.col(c) == float("-inf"), F.lit("-inf")).otherwise(F.format_string("%.1f", F.col(c)))
+        F.col(c) == float("-inf"), F.lit("-inf")).otherwise(X.py_fixed(c, 1))
 
 
 # T3 (A13, A15, W3, X18, O2): insight messages over month-ordered rows.

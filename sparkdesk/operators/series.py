@@ -18,11 +18,11 @@ def kpis(df: DataFrame) -> DataFrame:
     cols = set(df.columns)
     aggs = []
     if "heart_rate" in cols:
-        aggs.append(F.bround(F.avg("heart_rate"), 1).alias("avg_heart_rate"))
+        aggs.append(X.py_round(F.avg("heart_rate"), 1).alias("avg_heart_rate"))
     if "steps" in cols:
         aggs.append(F.avg("steps").cast("long").alias("avg_steps"))   # int(): truncation
     if "sleep_hours" in cols:
-        aggs.append(F.bround(F.avg("sleep_hours"), 1).alias("avg_sleep"))
+        aggs.append(X.py_round(F.avg("sleep_hours"), 1).alias("avg_sleep"))
     if not aggs:
         return df.sparkSession.range(0).select(F.lit(None).alias("none"))
     return df.agg(*aggs)

@@ -363,8 +363,9 @@ sql("chunk_store_append", """
 
 # --- health measurements -------------------------------------------------
 sql("health_kpis", """
-    SELECT round_even(avg(heart_rate), 1) AS avg_heart_rate, CAST(trunc(avg(steps)) AS BIGINT) AS avg_steps,
-           round_even(avg(sleep_hours), 1) AS avg_sleep FROM health""", "health")
+    SELECT CAST(printf('%.1f', avg(heart_rate)) AS DOUBLE) AS avg_heart_rate,
+           CAST(trunc(avg(steps)) AS BIGINT) AS avg_steps,
+           CAST(printf('%.1f', avg(sleep_hours)) AS DOUBLE) AS avg_sleep FROM health""", "health")
 _ALERTS = " UNION ALL ".join(
     f"SELECT '{m}' AS metric, round(a, 6) AS average, CAST({lim} AS DOUBLE) AS \"limit\", '{msg}' AS message "
     f"FROM (SELECT avg(CAST({m} AS DOUBLE)) AS a FROM health) WHERE a {op} {lim}"

@@ -477,3 +477,14 @@ def test_describe_matches_pandas(spark, rows, bucketed):
                 assert g is None
             else:
                 assert g is not None and abs(g - w) <= 1e-6 * max(1.0, abs(w)), (col, stat, g, w)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.one_of(st.floats(-1e6, 1e6, allow_nan=False),
+                          st.sampled_from([0.15, 0.25, 0.35, 76.35, 9.95, 0.05, -0.15, 2.675])),
+                min_size=1, max_size=30))
+def test_py_round_and_fixed_match_python(spark, xs):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double")
+    rows = df.select("i", X.py_round("x", 1).alias("r"), X.py_fixed("x", 1).alias("f")).orderBy("i").collect()
+    assert [r.r for r in rows] == [round(x, 1) for x in xs]
+    assert [r.f for r in rows] == [f"{x:.1f}" for x in xs]
