@@ -49,6 +49,10 @@ DATE = rf"{DIGIT}{{1,2}}{SPACE}{WORD}+{SPACE}{DIGIT}{{4}}"
 PERIOD = rf"{DATE}{SPACE}-{SPACE}{DATE}"
 MONTH_OF_PERIOD = rf"-{SPACE}{DIGIT}{{1,2}}{SPACE}({WORD}+)"
 YEAR_AT_END = rf"({DIGIT}{{4}})$"
+# Python's $ is "end, or before one final \n"; Java's $ also stops before
+# \r, \u0085, \u2028, \u2029 and RE2's only at the very end
+YEAR_AT_END_JAVA = rf"({DIGIT}{{4}})(?=\n?\z)"
+YEAR_AT_END_RE2 = rf"({DIGIT}{{4}})\n?$"
 
 
 def amount_pattern(currency: str = CURRENCY) -> str:

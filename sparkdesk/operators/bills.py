@@ -53,7 +53,7 @@ def with_month_year(df: DataFrame, period: str = "statement_period") -> DataFram
     m = F.regexp_extract(F.col(period), P.MONTH_OF_PERIOD, 1)     # '' when absent
     return (df.withColumn("month_ord", X.category_ord(m, P.MONTHS))
             .withColumn("month", X.category_member(m, P.MONTHS))
-            .withColumn("year", X.first_match(period, P.YEAR_AT_END, 1)))
+            .withColumn("year", X.first_match(period, P.YEAR_AT_END_JAVA, 1)))
 
 
 # W2/W4 + X30: percent change in the given order (forward fill by default),

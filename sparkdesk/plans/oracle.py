@@ -144,7 +144,7 @@ _MONTHS = "[" + ", ".join(f"'{m}'" for m in P.MONTHS) + "]"
 _BILLS = f"""
   bf AS (SELECT file, pos, account, {_fields()} FROM bill_text),
   bm AS (SELECT *, nullif(list_position({_MONTHS}, nullif(regexp_extract(statement_period, '{P.MONTH_OF_PERIOD}', 1), '')), 0) AS month_ord,
-                nullif(regexp_extract(statement_period, '{P.YEAR_AT_END}', 1), '') AS year FROM bf),
+                nullif(regexp_extract(statement_period, '{P.YEAR_AT_END_RE2}', 1), '') AS year FROM bf),
   bm2 AS (SELECT *, CASE WHEN month_ord IS NOT NULL THEN {_MONTHS}[month_ord] END AS month,
                  last_value(amount IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur
           FROM bm),
