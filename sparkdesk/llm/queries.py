@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import langid, packing, simhash
+from sparkdesk.llm import langid, line_dedup, packing, pii, simhash
 from sparkdesk.llm.common import crc_bucket
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later occurrences of repeated three-line windows."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, lines_col="n_lines", removed_col="n_removed")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE],
+                        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of 2048-token sequences of all documents."""
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_BPE)
@@ -38,9 +54,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+}
