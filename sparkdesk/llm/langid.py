@@ -32,6 +32,7 @@ ORDER = 3                       # longest context in bytes; a gram is context +
 DOCS_PER_LANG = 1000
 CHUNK = 2 << 20                 # bytes scored together
 DENSE = 1 << 24                 # cells of the table that numbers a chunk's distinct grams
+MAX_BITS = 6.0                  # bits per byte over which a text is in none of the languages
 START = b"\n" * ORDER           # context of a text's first bytes
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
@@ -181,26 +182,29 @@ def _lengths(model: dict[str, Tree], bodies: list[bytes]) -> np.ndarray:
     return out
 
 
-def classify(model: dict[str, Tree], texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def classify(model: dict[str, Tree], texts: list[bytes | None]
+             ) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and bits per byte (0 for ``und``) of each text."""
     names = list(model)
     ok = [bool(names and t and LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
     lengths = _lengths(model, [t if o else b"" for t, o in zip(texts, ok)])
-    langs, scores = [], []
-    for o, row in zip(ok, lengths):
+    langs, scores, bits = [], [], []
+    for o, row, text in zip(ok, lengths, texts):
         if not o:
             langs.append(UND)
             scores.append(0.0)
+            bits.append(0.0)
             continue
         best = int(np.argmin(row))
         langs.append(names[best])
         scores.append(float(1.0 / np.exp2(np.maximum(row[best] - row, -1000.0)).sum()))
-    return langs, scores
+        bits.append(float(row[best] / len(text)))
+    return langs, scores, bits
 
 
 def predict(docs: DataFrame, model: dict[str, Tree], id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """``(id_col, lang_pred, score)`` for every row of ``docs``, from the text alone."""
+    """``(id_col, lang_pred, score, bits_per_byte)`` of every row, from the text alone."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -208,11 +212,32 @@ def predict(docs: DataFrame, model: dict[str, Tree], id_col: str = "doc_id",
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(shared.value, batch.column(1).to_pylist())
+            langs, scores, bits = classify(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["id", "lang_pred", "score"])
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(bits, pa.float64())], ["id", "lang_pred", "score", "bits_per_byte"])
 
     id_type = src.schema["id"].dataType.simpleString()
-    return (src.mapInArrow(run, f"id {id_type}, lang_pred string, score double")
+    return (src.mapInArrow(run, f"id {id_type}, lang_pred string, score double, bits_per_byte double")
             .withColumnRenamed("id", id_col))
+
+
+def keep_known(docs: DataFrame, model: dict[str, Tree], text_col: str = "text",
+               max_bits_per_byte: float = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` in a language the model knows: not ``und``, and coded by the
+    best language in at most ``max_bits_per_byte`` (noise and foreign scripts come near 8).
+    Rows pass through whole, so repeated rows and rows without a key are decided alike."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else t.encode("utf-8", "surrogatepass")
+                     for t in batch.column(at).to_pylist()]
+            langs, _, bits = classify(shared.value, texts)
+            yield batch.filter(pa.array([lang != UND and b <= max_bits_per_byte
+                                         for lang, b in zip(langs, bits)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
