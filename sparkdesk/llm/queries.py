@@ -6,9 +6,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import langid, line_dedup, packing, pii, simhash
+from sparkdesk.llm import bpe, langid, line_dedup, packing, pii, simhash
 from sparkdesk.llm.common import crc_bucket
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -39,6 +40,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the byte-level ranks and decoded again, as digests."""
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+    both = bpe.decode(encoded, BYTE_BPE, public_tokenizers.PATTERN)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document (3-word shingles, 2 bits)."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -57,6 +67,7 @@ LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
 }
