@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import bpe, langid, line_dedup, packing, pii, simhash
+from sparkdesk.llm import ann, bpe, langid, line_dedup, packing, pii, simhash, topk
 from sparkdesk.llm.common import crc_bucket
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, lines_col="n_lines", removed_col="n_removed")
 
 
+def op3_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found, by cosine, of every vector whose id 50 divides."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     found = pii.find(_table(spark, sf_dir, "documents"))
@@ -40,6 +45,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id 20 divides."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
@@ -65,8 +75,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_hilbert_ann": op3_hilbert_ann,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
+    "op6_topk": op6_topk,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
@@ -74,4 +86,5 @@ LLM_QUERIES = {
 
 LLM_ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op6_topk": topk.ORACLE,
 }
