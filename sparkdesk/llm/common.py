@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkdesk.session import materialize
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+BLOCK = 1 << 20                   # bytes of text whose words are held at once
+BLANK = re.compile(rb"[ \t-\r]")  # the blanks bytes.split() cuts at
 ARROW_BATCH_BYTES = 8 << 20      # one Arrow batch of texts handed to Python
 
 
@@ -32,6 +35,17 @@ def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
 
 
+def word_blocks(data: bytes):
+    """Lists of the words of a text, ASCII letters in lower case, cut at ASCII blanks; at
+    most about two BLOCKs of bytes are split at a time."""
+    pos = 0
+    while pos < len(data):
+        hit = BLANK.search(data, pos + BLOCK) if len(data) - pos > 2 * BLOCK else None
+        end = hit.end() if hit else len(data)
+        yield data[pos:end].lower().split()
+        pos = end
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not use yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}

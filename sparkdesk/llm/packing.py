@@ -33,13 +33,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sparkdesk.llm.common import bounded_batches, id_and_bytes
+from sparkdesk.llm.common import BLANK, BLOCK, bounded_batches, id_and_bytes
 
 POOL = 256                      # examples waiting for a sequence, per task
 MEMO = 600_000                  # words whose ids a worker remembers
 MEMO_BYTES = 64                 # longest word remembered
-BLOCK = 1 << 20                 # bytes tokenized at a time
-BLANK = re.compile(rb"[ \t-\r]")
 # ASCII punctuation between a Latin-1 letter and a blank is a pre-token of its own: cut
 # off, so that the word before it is shared with its other forms
 STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"

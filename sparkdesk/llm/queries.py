@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import ann, bpe, langid, line_dedup, packing, pii, simhash, topk
+from sparkdesk.llm import ann, bpe, langid, line_dedup, packing, pii, simhash, topk, toxicity
 from sparkdesk.llm.common import crc_bucket
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +50,15 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; rows with crc32(doc_id) mod 5 = 0 are held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    net = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs, net).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the byte-level ranks and decoded again, as digests."""
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
@@ -79,6 +88,7 @@ LLM_QUERIES = {
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
     "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,

@@ -26,32 +26,15 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sparkdesk.llm.common import bounded_batches, connected_components, id_and_bytes
+from sparkdesk.llm.common import bounded_batches, connected_components, id_and_bytes, word_blocks
 from sparkdesk.session import materialize
 
 SEGMENT_BITS = 16
-BLOCK = 1 << 20                       # bytes of text whose words are held at once
-BLANK = re.compile(rb"[ \t-\r]")      # the blanks bytes.split() cuts at
-
-
-def _word_blocks(data: bytes):
-    """Lists of words, cut at blanks so that at most about BLOCK bytes are split at a time."""
-    pos = 0
-    while pos < len(data):
-        if len(data) - pos <= 2 * BLOCK:
-            end = len(data)
-        else:
-            hit = BLANK.search(data, pos + BLOCK)
-            end = hit.end() if hit else len(data)
-        yield data[pos:end].lower().split()
-        pos = end
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -63,7 +46,7 @@ def fingerprint(data: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
     """64-bit SimHash of a UTF-8 text (unsigned)."""
     digest = xxhash.xxh64_intdigest
     counts, total, carry = np.zeros(64, np.int64), 0, []
-    for words in _word_blocks(data or b""):
+    for words in word_blocks(data or b""):
         words = carry + words
         carry = words[-(shingle_words - 1):] if shingle_words > 1 else []
         if len(words) < shingle_words:
