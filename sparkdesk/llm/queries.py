@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import ann, bpe, langid, line_dedup, packing, pii, simhash, topk, toxicity
+from sparkdesk.llm import ann, bpe, chat, langid, line_dedup, packing, pii, simhash, topk, toxicity
 from sparkdesk.llm.common import crc_bucket
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, lines_col="n_lines", removed_col="n_removed")
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as a transcript writes them, their roles only in
+    speaker markers of several styles that one turn in eight lacks."""
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", chat.with_markers(
+        F.col("role"), F.col("text"), F.xxhash64("conv_id", "turn")).alias("text"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of every transcript line, roles recovered by the model."""
+    return chat.parse(transcripts(spark, sf_dir), ["turn"])
+
+
 def op3_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest found, by cosine, of every vector whose id 50 divides."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -84,6 +97,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_hilbert_ann": op3_hilbert_ann,
     "op4_pii": op4_pii,
     "op5_packing": op5_packing,
