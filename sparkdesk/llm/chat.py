@@ -17,7 +17,8 @@ with its two end states fixed each run is decoded on its own.
 Defined results: null and empty texts are one blank line; repeated rows (same
 key, order and text) count once; rows of one key and order with different
 texts follow each other by text hash; rows with a null key are one transcript;
-equal scores go to the earlier state; an empty table gives an empty result;
+equal scores go to the earlier state
+(at the end of a run first); an empty table gives an empty result;
 extra columns are ignored.
 """
 

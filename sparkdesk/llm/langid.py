@@ -32,7 +32,7 @@ ORDER = 3                       # longest context in bytes; a gram is context +
 DOCS_PER_LANG = 1000
 CHUNK = 2 << 20                 # bytes scored together
 DENSE = 1 << 24                 # cells of the table that numbers a chunk's distinct grams
-MAX_BITS = 6.0                  # bits per byte over which a text is in none of the languages
+MAX_BITS = 8.0                  # bits per byte: a text that no language codes in less than its own size goes
 START = b"\n" * ORDER           # context of a text's first bytes
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, model: dict[str, Tree], id_col: str = "doc_id",
 def keep_known(docs: DataFrame, model: dict[str, Tree], text_col: str = "text",
                max_bits_per_byte: float = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` in a language the model knows: not ``und``, and coded by the
-    best language in at most ``max_bits_per_byte`` (noise and foreign scripts come near 8).
+    best language in at most ``max_bits_per_byte`` (noise and foreign scripts take over 8).
     Rows pass through whole, so repeated rows and rows without a key are decided alike."""
     spark = docs.sparkSession
     bounded_batches(spark)
