@@ -31,7 +31,7 @@ from sparkdesk.session import materialize
 
 ROWS = 8192
 QUERIES = 2048
-CHUNK = 64                      # queries whose score arrays are filled together
+CHUNK = 16                      # queries whose score arrays are filled together
 
 
 def integer_rows(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 64.0) -> DataFrame:
@@ -46,8 +46,9 @@ def integer_rows(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 6
     return rows.select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights")).distinct()
 
 
-def _postings(rows: pd.DataFrame):
-    """Terms in order, and for each its slice of candidate rows and weights."""
+def _postings(rows: pd.DataFrame) -> dict:
+    """For each term its candidates and their weights; a term that a quarter of the
+    candidates hold has its weights laid out for all of them (candidates None)."""
     size = rows["terms"].map(len).to_numpy()
     if not size.sum():
         return {}
@@ -56,25 +57,46 @@ def _postings(rows: pd.DataFrame):
     at = np.repeat(np.arange(len(rows)), size)
     order = np.argsort(term, kind="stable")
     names, first = np.unique(term[order], return_index=True)
-    cuts = np.append(first, len(order))
-    return {int(t): (at[order[a:b]], weight[order[a:b]]) for t, a, b in zip(names, cuts, cuts[1:])}
+    cuts, out = np.append(first, len(order)), {}
+    for t, a, b in zip(names.tolist(), cuts, cuts[1:]):
+        held = order[a:b]
+        if 4 * len(held) >= len(rows):
+            column = np.zeros(len(rows), np.int64)
+            column[at[held]] = weight[held]
+            out[t] = (None, column)
+        else:
+            out[t] = (at[held], weight[held])
+    return out
+
+
+def _narrowed(postings: dict, largest: int) -> dict:
+    """Postings in 32 bits where no score of queries up to ``largest`` can leave them."""
+    bound = sum(int(np.abs(w).max(initial=0)) for _, w in postings.values()) * largest
+    if bound >= 1 << 31:
+        return postings
+    return {t: (at, w.astype(np.int32)) for t, (at, w) in postings.items()}
 
 
 def _scores(postings: dict, rows: int, queries: pd.DataFrame) -> np.ndarray:
-    """Dense scores (candidates x queries), accumulated a term at a time."""
-    asked: dict[int, list[tuple[int, int]]] = {}
+    """Dense scores (queries x candidates), accumulated a term at a time."""
+    asked: dict[int, tuple[list[int], list[int]]] = {}
     for q, (terms, weights) in enumerate(zip(queries["terms"], queries["weights"])):
-        for t, w in zip(terms, weights):
-            asked.setdefault(int(t), []).append((q, int(w)))
-    out = np.zeros((rows, len(queries)), np.int64)
-    for t, pairs in asked.items():
-        if t in postings:
-            at, weight = postings[t]
-            q, w = (np.array(v, np.int64) for v in zip(*pairs))
-            if len(q) == len(queries):
-                out[at] += weight[:, None] * w
-            else:
-                out[np.ix_(at, q)] += weight[:, None] * w
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            lists = asked.setdefault(t, ([], []))
+            lists[0].append(q)
+            lists[1].append(w)
+    kind = next((w.dtype for _, w in postings.values()), np.dtype(np.int64))
+    out, product = np.zeros((len(queries), rows), kind), np.empty((len(queries), rows), kind)
+    for t, (q, w) in asked.items():
+        if t not in postings:
+            continue
+        at, weight = postings[t]
+        if at is None:
+            column = np.zeros((len(queries), 1), kind)
+            column[q, 0] = w
+            out += np.multiply(column, weight, out=product)
+        else:
+            out[np.ix_(q, at)] += np.multiply.outer(np.array(w, kind), weight)
     return out
 
 
@@ -83,8 +105,8 @@ def _select(score: np.ndarray, k: int) -> np.ndarray:
     n = score.shape[1]
     if n <= k:
         return np.tile(np.arange(n), (len(score), 1))
-    if np.abs(score).max(initial=0) < (1 << 62) // n:
-        key = score * n - np.arange(n)
+    if max(-int(score.min(initial=0)), int(score.max(initial=0))) < (1 << 62) // n:
+        key = score.astype(np.int64) * n - np.arange(n)
         return np.argpartition(key, n - k, axis=1)[:, n - k:]
     return np.argsort(-score.astype(object), axis=1, kind="stable")[:, :k]
 
@@ -108,10 +130,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         have, asks = group[~group["asks"]].sort_values("id", kind="stable"), group[group["asks"]]
-        ids, postings, out = have["id"].to_numpy(), _postings(have), []
+        ids, out = have["id"].to_numpy(), []
+        largest = max((int(np.abs(w).max(initial=0)) for w in asks["weights"]), default=0)
+        postings = _narrowed(_postings(have), largest)
         for at in range(0, len(asks) if len(ids) else 0, CHUNK):
             part = asks.iloc[at:at + CHUNK]
-            score = np.ascontiguousarray(_scores(postings, len(ids), part).T)
+            score = _scores(postings, len(ids), part)
             own = part["id"].to_numpy()[:, None]
             # at most as many more as rows of the query's own id, which are taken out after
             extra = int((np.searchsorted(ids, own[:, 0], "right") - np.searchsorted(ids, own[:, 0])).max())
