@@ -18,8 +18,9 @@ def _c(c) -> Column:
 
 
 # Python str.strip() (Unicode whitespace at both ends; trim() only drops blanks)
+# in one pass from either end, however long the run of blanks
 def py_strip(c) -> Column:
-    return F.regexp_replace(_c(c), rf"^{P.SPACE}+|{P.SPACE}+\z", "")
+    return F.btrim(_c(c), F.lit(P.SPACE_CHARS))
 
 
 # Python str.title(): capital after any non-letter, rest lower-case

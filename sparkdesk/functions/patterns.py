@@ -12,6 +12,9 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"                # Python \d: decimal digits
 # Python str.isspace(): ASCII controls 9-13 and 28-31, U+0085, Unicode Z*
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
+# the same characters, listed
+SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # --- fixed values: bill field patterns, in the order the fields are read --
 # e-mail                    [\w\.-]+@[\w\.-]+

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkdesk.functions import exprs as X
 from sparkdesk.functions import patterns as P
@@ -60,8 +60,8 @@ def with_month_year(df: DataFrame, period: str = "statement_period") -> DataFram
 # then Spike / Drop / Normal
 def with_change(df: DataFrame, value: str = "amount", order_by: Sequence[str] | str = "pos",
                 partition_by: Sequence[str] | str = (), fill: str = "pad",
-                out: str = "pct_change", label: str = "anomaly", **kw) -> DataFrame:
-    prev = numbering.previous_values(df, value, order_by, partition_by, fill, **kw)
+                out: str = "pct_change", label: str = "anomaly", number: str | None = None) -> DataFrame:
+    prev = numbering.previous_values(df, value, order_by, partition_by, fill, number)
     return (prev.withColumn(out, X.pct_change_expr("_cur", "_prev"))
             .withColumn(label, X.change_label(F.col(out)))
             .drop("_cur", "_prev"))
@@ -69,8 +69,8 @@ def with_change(df: DataFrame, value: str = "amount", order_by: Sequence[str] |
 
 # Fields -> amount, month, year, change and label in file order
 def enrich(fields: DataFrame, order_by: Sequence[str] | str = "pos",
-           partition_by: Sequence[str] | str = (), fill: str = "pad", **kw) -> DataFrame:
-    return with_change(with_month_year(fields), "amount", order_by, partition_by, fill, **kw)
+           partition_by: Sequence[str] | str = (), fill: str = "pad") -> DataFrame:
+    return with_change(with_month_year(fields), "amount", order_by, partition_by, fill)
 
 
 # month multiselect; default = every non-null month (null never passes)
@@ -93,7 +93,7 @@ def kpis(df: DataFrame, currency: str = P.CURRENCY) -> DataFrame:
 # Share of spend per month (pie)
 def month_share(df: DataFrame) -> DataFrame:
     g = df.groupBy("month", "month_ord").agg(F.sum("amount").alias("amount"))
-    total = df.agg(F.sum("amount")).scalar()
+    total = F.sum("amount").over(Window.partitionBy())      # of a row per month
     return g.select("month", "month_ord", F.round("amount", 2).alias("amount"),
                     F.round(F.try_divide(F.col("amount"), total), 6).alias("share"))
 
@@ -120,14 +120,12 @@ def _fmt1(c):
 # n+1 highest, n+2 lowest.  With ``partition_by`` (e.g. the account) every
 # group gets its own report; the ordered steps stay skew-safe (numbering.py).
 def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY,
-             partition_by: Sequence[str] | str = (), **kw) -> DataFrame:
+             partition_by: Sequence[str] | str = ()) -> DataFrame:
     groups = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     order = ["year", "month_ord", "pos"] if by_year else ["month_ord", "year", "pos"]
-    # several passes follow: cut the lineage once (written to the shared
-    # checkpoint folder) so the text extraction upstream runs only once
-    df = materialize(df.select(*groups, "pos", "amount", "month", "month_ord", "year"))
-    total = df.count()
-    rows = numbering.number_rows(df, order, out="seq", partition_by=groups, total=total, **kw)
+    # several passes follow over the numbered rows with their changes, written once
+    df = df.select(*groups, "pos", "amount", "month", "month_ord", "year")
+    rows = materialize(with_change(df, "amount", order, groups, "pad", number="seq"))
     okey = F.col("seq")
     has = F.col("amount").isNotNull()
     aggs = [F.count(F.lit(1)).alias("_rows"), F.count("amount").alias("_vals"),
@@ -145,8 +143,7 @@ def insights(df: DataFrame, by_year: bool = False, currency: str = P.CURRENCY,
         .otherwise(F.lit(P.TREND_DOWN)).alias("message"))
     # with fewer than two amounts every padded change is null or 0 %, so no
     # spike or drop can appear: no need to filter those groups here
-    ch = with_change(rows, "amount", ["seq"], partition_by=groups, fill="pad", total=total, **kw)
-    moves = ch.where(F.col("pct_change").isNotNull() & (F.abs("pct_change") > 15)).select(
+    moves = rows.where((F.col("pct_change") > P.SPIKE_LIMIT) | (F.col("pct_change") < P.DROP_LIMIT)).select(
         *groups, "seq",
         F.when(F.col("pct_change") > P.SPIKE_LIMIT,
                _fill(P.SPIKE_MSG, change=_fmt1("pct_change"), month=F.col("month")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
 from sparkdesk.operators import numbering
-from sparkdesk.operators.facets import require_fields
+from sparkdesk.operators.facets import fields_present, require_fields
 from sparkdesk.operators.joins import join_skipping_null_keys
 
 CONTACT_SCHEMA = StructType([
@@ -67,21 +67,19 @@ def import_rows(existing: DataFrame, upload: DataFrame, order_by: str | list[str
 # Per upload row status: invalid / duplicate / inserted
 def import_report(existing: DataFrame, upload: DataFrame, validate: bool = True) -> DataFrame:
     up = upload.withColumn("phone", F.col("phone").cast("string"))
-    keys = existing.select("name", F.col("phone").cast("string").alias("phone"))
-    if validate:
-        ok, bad = require_fields(up, FIELDS)
-    else:
-        ok, bad = up, up.limit(0)
-    dup = join_skipping_null_keys(ok, keys, ["name", "phone"], "left_semi").withColumn("status", F.lit("duplicate"))
-    ins = join_skipping_null_keys(ok, keys, ["name", "phone"], "left_anti").withColumn("status", F.lit("inserted"))
-    return bad.withColumn("status", F.lit("invalid")).unionByName(dup).unionByName(ins)
+    keys = (existing.select("name", F.col("phone").cast("string").alias("phone")).distinct()
+            .withColumn("_known", F.lit(True)))
+    ok = fields_present(FIELDS) if validate else F.lit(True)
+    status = F.when(~ok, "invalid").when(F.col("_known"), "duplicate").otherwise("inserted")
+    return (join_skipping_null_keys(up, keys, ["name", "phone"], "left")
+            .select(*up.columns, status.alias("status")))
 
 
 # K4 + J5: keyed update of name/phone/city; last seq per key wins; an edit to
-# null sticks; unmatched or null keys change nothing; created_at kept
+# null sticks; an edit without a seq comes before all others; unmatched or null keys change nothing; created_at kept
 def update_rows(existing: DataFrame, edits: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     latest = (edits.where(F.col(key).isNotNull()).groupBy(key)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in FIELDS]), seq).alias("_e")))
+              .agg(F.max_by(F.struct(*[F.col(c) for c in FIELDS]), F.struct(F.col(seq).isNotNull(), seq)).alias("_e")))
     hit = F.col("_e").isNotNull()
     cols = [F.when(hit, F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c)
             for c in existing.columns]

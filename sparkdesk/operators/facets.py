@@ -6,7 +6,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.operators import numbering
 
@@ -25,9 +26,9 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
             .orderBy(F.desc(out), F.asc(col)))
 
 
-# Share of total; the total is a one-row aggregate read as a scalar
+# Share of total over the aggregated rows (one per key), which are read once
 def share_of_total(df: DataFrame, key: str, value: str, out: str = "share") -> DataFrame:
-    total = df.agg(F.sum(value).cast("double")).scalar()
+    total = F.sum(value).over(Window.partitionBy()).cast("double")
     return df.withColumn(out, F.try_divide(F.col(value).cast("double"), total))   # 0 total -> null
 
 
@@ -40,10 +41,15 @@ def growth_by_day(df: DataFrame, ts: str = "created_at", out: str = "contacts")
             .groupBy(ts).agg(F.count(F.lit(1)).alias(out)).orderBy(ts))
 
 
-def _check_regex(pattern: str) -> None:
+# letter case and classes as in Python's str patterns, not ASCII only
+REGEX_FLAGS = "(?iuU)"
+
+
+def _check_regex(spark, pattern: str) -> None:
+    """Compile the pattern where it will run, before any job starts."""
     try:
-        re.compile(pattern)
-    except re.error as e:  # fail before any job starts
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(REGEX_FLAGS + pattern)
+    except IllegalArgumentException as e:
         raise ValueError(f"bad search pattern {pattern!r}: {e}") from None
 
 
@@ -55,8 +61,8 @@ def search(df: DataFrame, text: str | None, col: str = "name", literal: bool = F
     if literal:
         cond = F.lower(c).contains(text.lower())
     else:
-        _check_regex(text)
-        cond = c.rlike("(?i)" + text)
+        _check_regex(df.sparkSession, text)
+        cond = c.rlike(REGEX_FLAGS + text)
     return df.where(F.coalesce(cond, F.lit(False)))
 
 
@@ -77,10 +83,15 @@ def facet_options(df: DataFrame, col: str, all_value: str = "All") -> DataFrame:
 
 # required fields present and non-empty; returns (accepted, rejected)
 def require_fields(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    ok = fields_present(cols)
+    return df.where(ok), df.where(~ok)
+
+
+def fields_present(cols: list[str]) -> Column:
     ok = F.lit(True)
     for c in cols:
         ok = ok & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-    return df.where(ok), df.where(~ok)
+    return ok
 
 
 # P8: "id : name" option label (null name -> null label, as string '+')
@@ -103,18 +114,18 @@ def label_id(label_col: str = "label", sep: str = ":"):
 
 
 # W1 + O1: serial number in key order, as the first column
-def numbered(df: DataFrame, order_by: list[str] | str = "id", out: str = "s_no", **kw) -> DataFrame:
-    out_df = numbering.number_rows(df, order_by, out=out, **kw)
+def numbered(df: DataFrame, order_by: list[str] | str = "id", out: str = "s_no") -> DataFrame:
+    out_df = numbering.number_rows(df, order_by, out=out)
     return out_df.select(out, *[c for c in df.columns])
 
 
 # One page (1-based) of the rows in key order
 def page(df: DataFrame, page_number: int, page_size: int, order_by: list[str] | str = "id",
-         out: str = "s_no", **kw) -> DataFrame:
+         out: str = "s_no") -> DataFrame:
     if page_size <= 0 or page_number <= 0:
         raise ValueError("page_number and page_size must be positive")
     start = (page_number - 1) * page_size
-    return numbering.slice_rows(df, order_by, start + 1, start + page_size, out=out, **kw)
+    return numbering.slice_rows(df, order_by, start + 1, start + page_size, out=out)
 
 
 # Page count per size; original rule max(1, n // size + 1) (an exact multiple

@@ -1,23 +1,16 @@
-"""Ordered numbering and previous-row values without a one-partition window.
+"""Ordered numbering, running sums and previous-row values without a one-partition window.
 
 A window with ``orderBy`` and no ``partitionBy`` moves every row into one
-task.  Here rows are cut into ordered *buckets* instead:
-
-1. sample the sort key and take quantile boundaries (a few hundred values
-   at most reach the driver);
-2. ``bucket`` is a pure function of the row's own key (count of boundaries
-   at or below it), so a retried task puts every row in the same bucket;
-3. count rows per bucket (an aggregate with map-side combine), turn the
-   counts into running offsets with a window over the small count table;
-4. number rows inside each bucket and add the bucket offset.
-
-The same cut carries the previous value across bucket edges for ``lag``-
-style operators (percent change).  Group columns are put in front of the
-sort key, so a group that holds a third of all rows spans many buckets
-instead of landing in one task.
-
-Below ``small_rows`` input rows the plain window is used: its single task is
-then provably small.
+task, and a group that holds a third of the rows does the same within its
+group.  Here, at every size, the rows are range-partitioned by group and sort
+key, sorted inside the partitions and written once to the shared checkpoint
+folder with ``_mid`` (partition number and place in it).  What a partition
+needs from the ones before it - a row count, a running sum, the last value -
+is one small row per partition, and only for the groups that a partition
+boundary cuts, of which there are fewer than partitions.
+
+Sort keys that are not unique are spread by a hash of the row, so equal keys
+do not meet in one partition; their order among themselves is that hash's.
 """
 
 from __future__ import annotations
@@ -25,189 +18,139 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
 from sparkdesk.operators.joins import join_null_safe
+from sparkdesk.session import materialize
 
-SMALL_ROWS = 200_000
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 65_536
-SAMPLES_PER_BUCKET = 64
-MAX_SAMPLE_ROWS = 500_000       # sampled sort keys that reach the driver
-FINE = 64                       # bounds per second-level group
-
-
-def _small(small_rows: int | None) -> int:
-    """Row count up to which the plain one-partition window is used."""
-    return SMALL_ROWS if small_rows is None else small_rows
+# a page that ends within this many rows is taken with a top-k instead of numbering all rows
+TOP_ROWS = 10_000
 
 
 def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _bucket_count(df: DataFrame, total: int, buckets: int | None) -> int:
-    if buckets:
-        return max(1, int(buckets))
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, max(base, -(-total // ROWS_PER_BUCKET))))
+def _spread(df: DataFrame):
+    """Hash of the row, the last sort key."""
+    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*cols)
 
 
-def with_buckets(df: DataFrame, key_cols: Sequence[str], buckets: int | None = None,
-                 total: int | None = None, seed: int = 17) -> tuple[DataFrame, int]:
-    """Add ``_bucket`` (0-based) so that buckets follow ascending ``key_cols``.
+def _ordered(df: DataFrame, groups: list[str], order_by: list[str]) -> DataFrame:
+    """``df`` written in order with ``_mid`` (ascending in that order) and ``_part``."""
+    keys = [*groups, *order_by, "_tie"]
+    return materialize(df.withColumn("_tie", _spread(df))
+                       .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+                       .withColumn("_mid", F.monotonically_increasing_id())
+                       .withColumn("_part", F.shiftright("_mid", 33)))
+
+
+def _cut_groups(rows: DataFrame, groups: list[str], *aggs) -> DataFrame:
+    """One row per partition and group, of the groups that lie in several partitions."""
+    per = rows.groupBy(*groups, "_part").agg(*aggs)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*groups)) if groups else F.lit(2)
+    return per.withColumn("_parts", n).where("_parts > 1").drop("_parts")
 
-    Returns the frame and the number of buckets used.
-    """
-    key_cols = list(key_cols)
-    if total is None:
-        total = df.count()
-    n = _bucket_count(df, total, buckets)
-    key = F.struct(*[F.col(c) for c in key_cols])
-    if n <= 1 or total == 0:
-        return df.withColumn("_bucket", F.lit(0)), 1
-    want = min(n * SAMPLES_PER_BUCKET, MAX_SAMPLE_ROWS)
-    frac = min(1.0, want / max(total, 1))
-    sample = (df.select(key.alias("k")).sample(False, frac, seed)
-              .orderBy("k").collect())
-    if not sample:
-        return df.withColumn("_bucket", F.lit(0)), 1
-    step = len(sample) / n
-    bounds = []
-    for i in range(1, n):
-        b = sample[min(len(sample) - 1, int(i * step))]["k"]
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    schema = df.select(key.alias("k")).schema["k"].dataType
-    lits = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name)
-                       for f in schema.fields]) for b in bounds]
-    return df.withColumn("_bucket", _bucket_of(key, lits)), len(bounds) + 1
-
-
-def _bucket_of(key, lits):
-    """Number of sorted bounds <= key, in about 2*sqrt(n) comparisons:
-    every FINE-th bound picks a group, then the bounds inside it are counted."""
-    if len(lits) <= 2 * FINE:
-        return F.size(F.filter(F.array(*lits), lambda b: b <= key)).cast("int")
-    tops = lits[FINE - 1::FINE]                    # bounds FINE-1, 2*FINE-1, ...
-    groups = [lits[g * FINE:g * FINE + FINE - 1] for g in range(len(tops) + 1)]
-    coarse = F.size(F.filter(F.array(*tops), lambda b: b <= key))
-    empty = F.filter(F.array(lits[0]), lambda b: F.lit(False))   # typed empty group
-    fine_arr = F.array(*[F.array(*g) if g else empty for g in groups])
-    inner = F.element_at(fine_arr, coarse + 1)
-    return (coarse * FINE + F.size(F.filter(inner, lambda b: b <= key))).cast("int")
+
+def _with_carry(rows: DataFrame, carry: DataFrame, groups: list[str]) -> DataFrame:
+    """Join what earlier partitions leave to each row; the carry is smaller than the
+    number of partitions, which Spark sees when it has run."""
+    return join_null_safe(rows, carry, [*groups, "_part"], "left")
+
+
+def _before(groups: list[str]):
+    w = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    return w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_sum(df: DataFrame, value: str, order_by: Sequence[str] | str, out: str,
+                partition_by: Sequence[str] | str = ()) -> DataFrame:
+    """Add ``out``: the sum of ``value`` (a long) up to and with each row, in order."""
+    order_by, groups = _names(order_by), _names(partition_by)
+    rows = _ordered(df, groups, order_by)
+    cut = _cut_groups(rows, groups, F.sum(value).alias("_s"))
+    carry = cut.select(*groups, "_part", F.coalesce(F.sum("_s").over(_before(groups)), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*groups, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (_with_carry(rows, carry, groups)
+            .withColumn(out, (F.sum(value).over(inner) + F.coalesce("_off", F.lit(0))).cast("long"))
+            .select(*df.columns, out))
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str] | str, out: str = "row_no",
-                partition_by: Sequence[str] | str = (), buckets: int | None = None,
-                small_rows: int | None = None, total: int | None = None) -> DataFrame:
+                partition_by: Sequence[str] | str = ()) -> DataFrame:
     """1-based row number in ascending ``order_by`` (per group if given).
 
     Give a unique tie-break in ``order_by`` for a total order.
     """
     order_by, groups = _names(order_by), _names(partition_by)
-    total = df.count() if total is None else total
-    if total <= _small(small_rows):
-        w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    b, _ = with_buckets(df, groups + order_by, buckets, total)
-    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_bucket",
-                            F.coalesce(F.sum("_n").over(wg), F.lit(0)).alias("_off"))
-    if not groups:
-        # one row per bucket: the broadcast side is bounded by the bucket count
-        offsets = F.broadcast(offsets)
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_by)
-    return (join_null_safe(b, offsets, [*groups, "_bucket"], "inner")
-            .withColumn(out, (F.row_number().over(inner) + F.col("_off")).cast("long"))
-            .select(*df.columns, out))
+    return _numbered(_ordered(df, groups, order_by), groups, out).select(*df.columns, out)
+
+
+def _numbered(rows: DataFrame, groups: list[str], out: str) -> DataFrame:
+    counts = (F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    cut = _cut_groups(rows, groups, *counts)
+    carry = cut.select(*groups, "_part", (F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)))
+                       .alias("_off"), "_first")
+    joined = _with_carry(rows, carry, groups)
+    if not groups:              # the place in the partition is in _mid: no window needed
+        return joined.withColumn(out, (F.col("_mid") - F.col("_first") + F.col("_off") + 1).cast("long")).drop(
+            "_off", "_first")
+    inner = Window.partitionBy(*groups, "_part").orderBy("_mid")
+    return joined.withColumn(out, (F.row_number().over(inner) + F.coalesce("_off", F.lit(0))).cast("long")).drop(
+        "_off", "_first")
 
 
 def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
                     partition_by: Sequence[str] | str = (), fill: str = "pad",
-                    buckets: int | None = None, small_rows: int | None = None,
-                    total: int | None = None) -> DataFrame:
+                    number: str | None = None) -> DataFrame:
     """Add ``_cur`` and ``_prev`` for a change computation in row order.
 
     ``fill='pad'`` forward-fills nulls first (pandas ``pct_change`` default),
     so ``_cur``/``_prev`` are the padded current and previous values;
-    ``fill='none'`` uses the raw value and the raw previous row.
+    ``fill='none'`` uses the raw value and the raw previous row.  ``number``
+    adds the row number too, from the same written rows.
     """
     if fill not in ("pad", "none"):
         raise ValueError("fill must be 'pad' or 'none'")
     order_by, groups = _names(order_by), _names(partition_by)
     v = F.col(value)
-    total = df.count() if total is None else total
-    if total <= _small(small_rows):
-        w = Window.partitionBy(*groups).orderBy(*order_by) if groups else Window.orderBy(*order_by)
-        if fill == "none":
-            return df.withColumn("_cur", v).withColumn("_prev", F.lag(v).over(w))
-        wr = w.rowsBetween(Window.unboundedPreceding, 0)
-        out = df.withColumn("_cur", F.last(v, ignorenulls=True).over(wr))
-        return out.withColumn("_prev", F.lag("_cur").over(w))
-
-    b, _ = with_buckets(df, groups + order_by, buckets, total)
-    okey = F.struct(*[F.col(c) for c in order_by])
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(*order_by)
-    wb = Window.partitionBy(*groups).orderBy("_bucket")
-    if fill == "none":
-        # a bucket's first row looks at the previous bucket's last row
-        last = b.groupBy(*groups, "_bucket").agg(F.max_by(v, okey).alias("_last"))
-        carry = last.select(*groups, "_bucket", F.lag("_last").over(wb).alias("_carry"))
-    else:
-        # last non-null value per bucket (max_by skips null orderings), then
-        # the nearest earlier bucket that has one
-        last = b.groupBy(*groups, "_bucket").agg(
-            F.max_by(v, F.when(v.isNotNull(), okey)).alias("_last"))
-        before = wb.rowsBetween(Window.unboundedPreceding, -1)
-        carry = last.select(*groups, "_bucket",
-                            F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    if not groups:
-        # one row per bucket: bounded by the bucket count
-        carry = F.broadcast(carry)
-    out = join_null_safe(b, carry, [*groups, "_bucket"], "left")
+    rows = _ordered(df, groups, order_by)
+    if number:
+        rows = _numbered(rows, groups, number)
+    inner = Window.partitionBy(*groups, "_part").orderBy("_mid")
+    by_part = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("_part")
     if fill == "none":
-        out = out.withColumn("_cur", v).withColumn(
-            "_prev", F.when(F.row_number().over(inner) == 1, F.col("_carry"))
-            .otherwise(F.lag(v).over(inner)))
+        # a partition's first row looks at the row before, the last of an earlier partition
+        cut = _cut_groups(rows, groups, F.max_by(F.struct(v.alias("v")), "_mid").alias("_last"))
+        carry = cut.select(*groups, "_part", F.lag("_last").over(by_part)["v"].alias("_carry"))
+        out = _with_carry(rows, carry, groups).withColumn("_cur", v).withColumn(
+            "_prev", F.when(F.row_number().over(inner) == 1, F.col("_carry")).otherwise(F.lag(v).over(inner)))
     else:
-        running = inner.rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_cur", F.coalesce(F.last(v, ignorenulls=True).over(running),
-                                                F.col("_carry")))
+        # the last value that is not null (max_by skips null orderings), of the nearest
+        # earlier partition that has one
+        cut = _cut_groups(rows, groups, F.max_by(v, F.when(v.isNotNull(), F.col("_mid"))).alias("_last"))
+        carry = cut.select(*groups, "_part", F.last("_last", ignorenulls=True).over(_before(groups)).alias("_carry"))
+        upto = inner.rowsBetween(Window.unboundedPreceding, 0)
+        out = _with_carry(rows, carry, groups).withColumn(
+            "_cur", F.coalesce(F.last(v, ignorenulls=True).over(upto), F.col("_carry")))
         out = out.withColumn("_prev", F.coalesce(F.lag("_cur").over(inner), F.col("_carry")))
-    return out.select(*df.columns, "_cur", "_prev")
+    return out.select(*df.columns, *([number] if number else []), "_cur", "_prev")
 
 
 def slice_rows(df: DataFrame, order_by: Sequence[str] | str, lo: int, hi: int,
-               out: str = "row_no", buckets: int | None = None,
-               small_rows: int | None = None) -> DataFrame:
+               out: str = "row_no") -> DataFrame:
     """Rows at 1-based positions ``lo..hi`` (inclusive) in ``order_by``.
 
-    Only the buckets that overlap the range are numbered and shuffled; the
-    per-bucket counts that pick them are at most ``MAX_BUCKETS`` small rows.
+    Near pages are one top-k pass; a page that ends beyond ``TOP_ROWS`` rows
+    is cut from the numbered rows.
     """
-    order_by = _names(order_by)
-    if hi < lo:
-        return number_rows(df.limit(0), order_by, out=out)
-    total = df.count()
-    if total <= _small(small_rows):
-        w = Window.orderBy(*order_by)
-        return (df.withColumn(out, F.row_number().over(w).cast("long"))
-                .where(F.col(out).between(lo, hi)))
-    b, _ = with_buckets(df, order_by, buckets, total)
-    counts = sorted((r["_bucket"], r["_n"]) for r in
-                    b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).collect())
-    chosen, offs, run = [], {}, 0
-    for bk, n in counts:
-        if run < hi and run + n >= lo:
-            chosen.append(bk)
-            offs[bk] = run
-        run += n
-    if not chosen:
-        return number_rows(df.limit(0), order_by, out=out)
-    off = F.element_at(F.create_map(*[x for bk in chosen for x in (F.lit(bk), F.lit(offs[bk]))]),
-                       F.col("_bucket"))
-    inner = Window.partitionBy("_bucket").orderBy(*order_by)
-    return (b.where(F.col("_bucket").isin(chosen))
-            .withColumn(out, (F.row_number().over(inner) + off).cast("long"))
-            .where(F.col(out).between(lo, hi)).drop("_bucket"))
+    order_by, lo = _names(order_by), max(lo, 1)
+    if hi < lo or hi <= TOP_ROWS:
+        tied = df.withColumn("_tie", _spread(df))
+        keys = [*order_by, "_tie"]
+        top = tied.orderBy(*keys).offset(lo - 1).limit(max(hi - lo + 1, 0))
+        # at most a page of rows meets in this window
+        return (top.withColumn(out, (F.row_number().over(Window.orderBy(*keys)) + (lo - 1)).cast("long"))
+                .select(*df.columns, out))
+    return number_rows(df, order_by, out).where(F.col(out).between(lo, hi))

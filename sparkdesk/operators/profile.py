@@ -2,15 +2,15 @@
 
 ``describe`` reproduces pandas ``DataFrame.describe()`` (count, mean, sample
 std, min, 25/50/75 % with linear interpolation, max) as a long table.  The
-quantiles are exact: ``exact_quantiles`` finds the order statistics through
-ordered buckets, so no task ever holds more than one bucket of values.
+quantiles are exact: ``exact_quantiles`` places the order statistics by running
+counts over the distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from sparkdesk.functions import patterns as P
@@ -18,10 +18,6 @@ from sparkdesk.operators import numbering
 from sparkdesk.operators.joins import join_null_safe
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
-# Up to this many values Spark's exact ``percentile`` is used: it keeps one
-# value->count map per group, a few tens of MB at this size, and needs one
-# job instead of the bucketed path's five.
-QUANTILE_SMALL_ROWS = 2_000_000
 
 
 # Numeric columns (booleans are not numeric in Spark, as in pandas)
@@ -67,50 +63,28 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float] = DESCRIBE_PROBS,
-                    group: str = "metric", value: str = "v", buckets: int | None = None,
-                    small_rows: int | None = None) -> DataFrame:
+                    group: str = "metric", value: str = "v") -> DataFrame:
     """Exact linear-interpolated quantiles per group: (group, p, q).
 
-    Nulls and NaN are skipped, as pandas does.
+    Nulls and NaN are skipped, as pandas does.  Equal values are counted
+    first (with map-side combine), so a value that most rows share is one
+    row; running counts over the distinct values then place every rank.
     """
     base = long_df.select(group, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    probs = [float(p) for p in probs]
-    parr = F.array(*[F.lit(p) for p in probs])
-    total = base.count()
-    if total <= (QUANTILE_SMALL_ROWS if small_rows is None else small_rows):
-        q = base.groupBy(group).agg(F.percentile("_v", parr).alias("_q"))
-        return q.select(group, F.posexplode("_q").alias("_i", "q")).select(
-            group, F.element_at(parr, F.col("_i") + 1).alias("p"), "q")
-
-    b, _ = numbering.with_buckets(base, [group, "_v"], buckets, total)
-    stats = b.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"),
-                                            F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wg = Window.partitionBy(group).orderBy("_bucket")
-    stats = stats.select("*",
-                         F.coalesce(F.sum("_n").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
-                                    F.lit(0)).alias("_off"),
-                         F.sum("_n").over(Window.partitionBy(group)).alias("_total"))
+    counts = base.groupBy(group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbering.running_sum(counts, "_n", "_v", "_upto", partition_by=group)
+    total = placed.groupBy(group).agg(F.max("_upto").alias("_total"))
     # target ranks (0-based) below and above p*(N-1) for every group and p
-    per_group = stats.select(group, "_total").distinct()
-    tg = per_group.select(group, F.explode(parr).alias("p"), "_total")
+    tg = total.select(group, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_total")
     tg = tg.select(group, "p", (F.col("p") * (F.col("_total") - 1)).alias("_pos"))
     tg = tg.select(group, "p", "_pos", F.explode(F.array_distinct(F.array(
         F.floor("_pos").cast("long"), F.ceil("_pos").cast("long")))).alias("_r"))
-    nsj = join_null_safe
-    loc = nsj(tg, stats.select(group, "_bucket", "_off", "_n", "_lo", "_hi"), [group], "inner").where(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_n")))
-    # a bucket holding one distinct value answers directly; others are ranked
-    flat = loc.where(F.col("_lo") == F.col("_hi")).select(group, "p", "_pos", "_r", F.col("_lo").alias("_val"))
-    need = loc.where(F.col("_lo") != F.col("_hi"))
-    # at most (#groups x #probs x 2) buckets: bounded by the schema, not the data
-    want = F.broadcast(need.select(group, "_bucket", "_off").distinct())
-    ranked = nsj(b, want, [group, "_bucket"], "inner").withColumn(
-        "_r", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_v")) - 1 + F.col("_off"))
-    exact = nsj(need.select(group, "p", "_pos", "_r", "_bucket"),
-                ranked.select(group, "_bucket", "_r", F.col("_v").alias("_val")),
-                [group, "_bucket", "_r"], "inner").drop("_bucket")
-    vals = flat.unionByName(exact)
+    # a group has as many targets as probabilities, twice
+    wanted = tg.groupBy(group).agg(F.collect_set(F.struct("p", "_pos", "_r")).alias("_t"))
+    hits = join_null_safe(placed, wanted, [group], "inner").select(group, "_v", F.explode(F.filter(
+        "_t", lambda t: (t["_r"] < F.col("_upto")) & (t["_r"] >= F.col("_upto") - F.col("_n")))).alias("_t"))
+    vals = hits.select(group, "_t.*", F.col("_v").alias("_val"))
     return (vals.groupBy(group, "p").agg(
         F.first("_pos").alias("_pos"), F.min_by("_val", "_r").alias("_a"), F.max_by("_val", "_r").alias("_b"),
         F.min("_r").alias("_ra"))
@@ -123,8 +97,7 @@ def _pct_name(p: float) -> str:
 
 
 # Pandas describe() of numeric columns as (metric, stat, value)
-def describe(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[float] = DESCRIBE_PROBS,
-             **kw) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[float] = DESCRIBE_PROBS) -> DataFrame:
     cols = list(cols) if cols else numeric_columns(df)
     long_df = _long(df, cols)
     # values are masked, not filtered: an all-null column still reports count 0
@@ -136,7 +109,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, probs: Sequence[f
         F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
         for s in ["count", "mean", "std", "min", "max"]])).alias("_s")).select("metric", "_s.stat", "_s.value")
     names = F.create_map(*[x for p in probs for x in (F.lit(float(p)), F.lit(_pct_name(p)))])
-    qs = exact_quantiles(long_df, probs, **kw).select(
+    qs = exact_quantiles(long_df, probs).select(
         "metric", F.try_element_at(names, F.col("p")).alias("stat"), F.col("q").alias("value"))
     return basic.unionByName(qs)
 

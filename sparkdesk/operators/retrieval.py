@@ -2,16 +2,14 @@
 assembly, answer routing and an idempotent chunk store.
 
 Chunking is ``sequence`` + ``transform`` + ``posexplode`` (JVM only).
-Search never forms query x vector pairs as a join: the query block is
-broadcast (its size is checked, larger query sets run block by block), each
-vector partition computes distances with numpy in ``mapInPandas`` and keeps
-its own best k per query, and a per-query window keeps the global best k
-out of (k x partitions) candidates.
+Search never forms query x vector pairs as a join: vectors and queries are
+cut into blocks, each pair of blocks is one bounded group whose distances
+numpy computes and of which the best k per query are kept, and a per-query
+window keeps the global best k out of (k x blocks) candidates.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Callable, Sequence
@@ -19,15 +17,15 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, FloatType, LongType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from sparkdesk.functions import patterns as P
 from sparkdesk.operators import numbering
 from sparkdesk.session import materialize, spread
 
-MAX_QUERY_BLOCK_BYTES = 64 << 20
-SCAN_ROWS = 4096
+VECTOR_ROWS = 16_384             # vectors of a block, in expectation
+QUERY_ROWS = 4_096               # queries of a block
+QUERY_CHUNK = 128                # queries compared with a block at once
 
 
 # T4 + W8 + X16 + D3: overlapping fixed-size chunks by code point
@@ -82,112 +80,82 @@ def centroids(df: DataFrame, group: str, vec: str = "embedding", out: str = "emb
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(out))
 
 
-def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
-    """Per partition: best k (exact squared L2, ties by id) per query.
+def _block_topk(k: int):
+    """Best k (exact squared L2, ties by id) of every query of a block among its vectors.
 
-    Candidates come from one matrix product per chunk, |x|^2 - 2 x.q + |q|^2;
-    every vector within a tolerance of the chunk's k-th value is kept (the
-    tolerance is far above the expansion's rounding error), then candidates
-    get the exact distance sum((x - q)^2) and the running best k is merged by
-    (distance, id).  So the result equals a full exact sort.
+    Candidates come from one matrix product, |x|^2 - 2 x.q + |q|^2; every
+    vector within a tolerance of the k-th value is kept (the tolerance is far
+    above the expansion's rounding error), then all candidates get the exact
+    distance sum((x - q)^2) together.  So the result equals a full exact sort.
     """
-    nq, dim = qmat.shape
-    qn = (qmat ** 2).sum(axis=1)
-    rows = max(1, min(SCAN_ROWS, 8_000_000 // max(1, nq)))     # chunk x queries <= 64 MB
-
-    def run(batches):
-        best_d = [np.empty(0) for _ in range(nq)]
-        best_i = [np.empty(0, dtype=np.int64) for _ in range(nq)]
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            dims = {len(v) for v in pdf[vec_col]}
-            if dims != {dim}:
-                raise ValueError(f"vector dimensions {sorted(dims)} differ from the query dimension {dim}")
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            for lo in range(0, len(ids), rows):
-                xs, ix = x[lo:lo + rows], ids[lo:lo + rows]
-                xn = (xs ** 2).sum(axis=1)
-                approx = xn[:, None] - 2.0 * (xs @ qmat.T) + qn[None, :]
-                kk = min(k, len(ix))
-                kth = np.partition(approx, kk - 1, axis=0)[kk - 1]
-                tol = 1e-9 * (xn.max() + qn) + 1e-12
-                keep = approx <= (kth + tol)[None, :]
-                for j in range(nq):
-                    cand = np.flatnonzero(keep[:, j])
-                    d = ((xs[cand] - qmat[j]) ** 2).sum(axis=1)
-                    cd = np.concatenate([best_d[j], d])
-                    ci = np.concatenate([best_i[j], ix[cand]])
-                    if len(cd) > k:
-                        order = np.lexsort((ci, cd))[:k]   # distance, then id
-                        cd, ci = cd[order], ci[order]
-                    best_d[j], best_i[j] = cd, ci
-        rows_out = [(int(q), int(i), float(dd)) for q, ds, is_ in zip(qids, best_d, best_i)
-                    for dd, i in zip(ds, is_)]
-        yield pd.DataFrame(rows_out, columns=["query_id", id_col, "distance"])
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        have, asks, out = group[~group["asks"]], group[group["asks"]], []
+        x = np.array(have["vec"].to_list(), np.float64)
+        ids, xn = have["id"].to_numpy(), (x ** 2).sum(axis=1) if len(have) else None
+        for lo in range(0, len(asks) if len(have) else 0, QUERY_CHUNK):
+            part = asks.iloc[lo:lo + QUERY_CHUNK]
+            q = np.array(part["vec"].to_list(), np.float64)
+            if q.shape[1:] != x.shape[1:]:
+                raise ValueError(f"vector dimension {x.shape[1:]} differs from the query dimension {q.shape[1:]}")
+            qn = (q ** 2).sum(axis=1)
+            approx = qn[:, None] - 2.0 * (q @ x.T) + xn
+            kk = min(k, len(ids))
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            tol = 1e-9 * (xn.max() + qn) + 1e-12
+            j, i = np.nonzero(approx <= (kth + tol)[:, None])
+            d = ((x[i] - q[j]) ** 2).sum(axis=1)
+            order = np.lexsort((ids[i], d, j))              # query, distance, id
+            j, i, d = j[order], i[order], d[order]
+            nth = np.arange(len(j)) - np.searchsorted(j, j)
+            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[j], "id": ids[i], "distance": d})[nth < k])
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
     return run
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, max_bytes: int):
-    # the query table is read several times below (size, blocks): compute it once
-    queries = materialize(queries.select(qid, qvec))
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
-    n, dim = stats["n"], stats["dim"] or 0
-    if n == 0:
-        return []
-    per_block = max(1, int(max_bytes // max(1, dim * 8)))
-    blocks = math.ceil(n / per_block)
-    if blocks == 1:
-        parts = [queries]
-    else:
-        numbered = numbering.number_rows(queries.select(qid, qvec), [qid], out="_qn")
-        parts = [numbered.where(F.col("_qn").between(b * per_block + 1, (b + 1) * per_block))
-                 for b in range(blocks)]
-    for p in parts:
-        pdf = p.select(qid, qvec).toPandas()
-        yield pdf[qid].to_numpy(dtype=np.int64), np.stack(pdf[qvec].to_numpy()).astype(np.float64)
+def finite(vec: str):
+    """Whether a vector can be compared: not null, all components finite."""
+    return F.col(vec).isNotNull() & ~F.coalesce(F.exists(
+        vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))), F.lit(True))
 
 
 # T7 (J7, W7, X36, O7): exact k nearest vectors per query by squared L2
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: str = "vec_id",
-            vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
-            max_query_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
+            vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding", **blocks) -> DataFrame:
     """(query_id, rank, id, distance); fewer than k rows when the store is small
     (never padded).  At most (#queries x k) rows, written once so later
     lookups reuse them."""
-    return materialize(nearest_plan(vectors, queries, k, id_col, vec_col, qid, qvec, max_query_bytes))
+    return materialize(nearest_plan(vectors, queries, k, id_col, vec_col, qid, qvec, **blocks))
 
 
 def nearest_plan(vectors: DataFrame, queries: DataFrame, k: int = P.TOP_K, id_col: str = "vec_id",
                  vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
-                 max_query_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
-    """The lazy search plan behind ``nearest``."""
-    schema = StructType([StructField("query_id", LongType()), StructField(id_col, LongType()),
-                         StructField("distance", DoubleType())])
-    spark = vectors.sparkSession
-    vec = spread(vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()))
-    found = None
-    for qids, qmat in _query_blocks(queries, qid, qvec, max_query_bytes):
-        part = vec.mapInPandas(_partition_topk(qids, qmat, k, id_col, vec_col), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long"))
+                 vector_rows: int = VECTOR_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """The lazy search plan behind ``nearest``.
+
+    Vectors and queries are cut into blocks by hash, and each pair of blocks is
+    one bounded group: a single scan of the vectors whatever the number of
+    queries, and no query passes through the driver.  Vectors and queries
+    that are null or not finite take no part.
+    """
+    store = vectors.where(finite(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    asks = materialize(queries.where(finite(qvec)).select(F.col(qid).alias("id"), F.col(qvec).alias("vec")))
+    vector_blocks = max(1, -(-store.count() // vector_rows))
+    query_blocks = max(1, -(-asks.count() // query_rows))
+    block = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")             # noqa: E731
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                     # noqa: E731
+    cells = (store.select("*", block(vector_blocks).alias("vb"), every(query_blocks).alias("qb"),
+                          F.lit(False).alias("asks"))
+             .unionByName(asks.select("*", block(query_blocks).alias("qb"), every(vector_blocks).alias("vb"),
+                                      F.lit(True).alias("asks"))))
+    found = (cells.groupBy("vb", "qb").applyInPandas(_block_topk(k), "query_id long, id long, distance double")
+             .withColumnRenamed("id", id_col))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-MAX_ID_FILTER = 100_000
-
-
-# Ids -> stored texts.  The hit ids (at most #queries x k) are pushed into
-# the text scan as a filter, so the store is not read in full for a few texts.
+# Ids -> stored texts; a hit whose text is missing stays, with a null text
 def attach_texts(hits: DataFrame, texts: DataFrame, id_col: str = "vec_id", text: str = "text") -> DataFrame:
-    ids = [r[0] for r in hits.select(id_col).distinct().limit(MAX_ID_FILTER + 1).collect()]
-    t = texts.select(id_col, text)
-    if len(ids) <= MAX_ID_FILTER:
-        t = t.where(F.col(id_col).isin(ids)) if ids else t.limit(0)
-    return hits.join(t, id_col)
+    return hits.join(texts.select(id_col, text), id_col, "left")
 
 
 # A18 + T8 + T9: context per query in rank order, prompt, and route

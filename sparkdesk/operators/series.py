@@ -53,9 +53,9 @@ def alerts(df: DataFrame, rules: Sequence[tuple] = P.HEALTH_ALERTS) -> DataFrame
 
 # inclusive positional slice [start, end] (0-based) in x order
 def position_slice(df: DataFrame, start: int, end: int, order_by: Sequence[str] | str | None = None,
-                   out: str = "pos", **kw) -> DataFrame:
+                   out: str = "pos") -> DataFrame:
     order_by = order_by or df.columns[0]
-    s = numbering.slice_rows(df, order_by, start + 1, end + 1, out="_rn", **kw)
+    s = numbering.slice_rows(df, order_by, start + 1, end + 1, out="_rn")
     return s.select((F.col("_rn") - 1).alias(out), *df.columns)
 
 

@@ -43,7 +43,7 @@ sql("contact_labels", """
     FROM contacts""", "contacts")
 sql("label_ids", """
     SELECT label, TRY_CAST(trim(split_part(label, ':', 1)) AS BIGINT) AS label_id
-    FROM (SELECT CAST(id AS VARCHAR) || ' : ' || name AS label FROM contacts) WHERE label IS NOT NULL""",
+    FROM (SELECT CAST(id AS VARCHAR) || ' : ' || name AS label FROM contacts)""",
     "contacts")
 sql("contact_numbered", "SELECT row_number() OVER (ORDER BY id) AS s_no, * FROM contacts", "contacts")
 sql("contact_page", f"""
@@ -417,6 +417,14 @@ sql("latest_attachment_per_user", """
 
 # --- files, tables, streaming --------------------------------------------
 sql("csv_roundtrip", "SELECT * FROM health", "health")
+sql("csv_encodings", r"""
+    SELECT doc_id, lang,
+           CASE WHEN lang IN ('en', 'es') THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END AS text,
+           CASE WHEN lang IN ('en', 'es') THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding FROM documents""")
+sql("csv_text_roundtrip", r"""
+    SELECT doc_id, text || chr(10) || '"a", \ "b""c"\' AS text, 'end' AS tail FROM documents""")
+sql("unicode_search", f"""
+    SELECT doc_id FROM documents WHERE regexp_matches(substr(text, 1, 200), '{Q.UNICODE_SEARCH}', 'i')""")
 sql("stream_landing", "SELECT * FROM health", "health")
 sql("create_table", "SELECT * FROM contacts", "contacts")
 _STATS = ", ".join(f"('{s}', {i})" for i, s in enumerate(

@@ -108,7 +108,7 @@ def contact_labels(spark, d):
 @query
 def label_ids(spark, d):
     c = facets.option_label(V.contacts(spark, d), "id", "name", " : ", "label")
-    return c.select("label", facets.label_id("label").alias("label_id")).where(F.col("label").isNotNull())
+    return c.select("label", facets.label_id("label").alias("label_id"))
 
 
 @query
@@ -419,6 +419,25 @@ def csv_roundtrip(spark, d):
     return Fi.read_csv(spark, path, HEALTH_SCHEMA)
 
 
+# quotes, backslashes, separators and line breaks inside fields come back as written
+@query
+def csv_text_roundtrip(spark, d):
+    text = F.concat(F.col("text"), F.lit('\n"a", \\ "b""c"\\'))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"), F.lit("end").alias("tail"))
+    path = Fi.write_csv(docs, scratch_dir(spark, "csvtext") + "/docs")
+    return Fi.read_csv(spark, path, "doc_id long, text string, tail string", multiline=True)
+
+
+# search with non-ASCII letters in either case
+UNICODE_SEARCH = "ÈRÉ|ÜBER|ÓCI"
+
+
+@query
+def unicode_search(spark, d):
+    docs = V.docs(spark, d).select("doc_id", F.substring("text", 1, 200).alias("text"))
+    return facets.search(docs, UNICODE_SEARCH, "text").select("doc_id")
+
+
 def _encoded_docs(spark, d):
     root = scratch_dir(spark, "enc")
     docs = V.docs(spark, d).select("doc_id", "lang", "text")
@@ -430,7 +449,7 @@ def _encoded_docs(spark, d):
 @query
 def csv_encodings(spark, d):
     root = _encoded_docs(spark, d)
-    return Fi.read_csv_any_encoding(spark, [root + "/utf8", root + "/latin1"], DOC_SCHEMA)
+    return Fi.read_csv_any_encoding(spark, [root + "/utf8", root + "/latin1"], DOC_SCHEMA, multiline=True)
 
 
 @query

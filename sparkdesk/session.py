@@ -62,14 +62,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) do we create
-    one of our own.
+    The cluster names it; only when it is unset in local mode (tests) do we
+    create one of our own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="sparkdesk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -79,6 +82,10 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     path = f"{base.rstrip('/')}/sparkdesk-{name}-{uuid.uuid4().hex[:12]}"
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
+    # removed when the application ends
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
 
 

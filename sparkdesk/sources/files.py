@@ -15,11 +15,17 @@ from pyspark.sql.types import StructType
 from sparkdesk.functions import patterns as P
 
 
-# CSV with header; explicit schema, inference only when asked (profiling)
+# a quote inside a quoted field is doubled and a backslash is a plain character, as in
+# RFC 4180 and pandas
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+# CSV with header; explicit schema, inference only when asked (profiling).  A file with
+# line breaks inside fields needs ``multiline``, which reads each file in one task.
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str | None = None,
-             encoding: str = "UTF-8", multiline: bool = True, source_col: str | None = None) -> DataFrame:
+             encoding: str = "UTF-8", multiline: bool = False, source_col: str | None = None) -> DataFrame:
     r = (spark.read.option("header", True).option("encoding", encoding)
-         .option("multiLine", multiline).option("mode", "PERMISSIVE"))
+         .options(**QUOTING).option("multiLine", multiline).option("mode", "PERMISSIVE"))
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = r.csv(paths if isinstance(paths, str) else list(paths))
     if source_col:
@@ -47,14 +53,14 @@ def file_encodings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str],
-                          schema: StructType | str | None = None) -> DataFrame:
+                          schema: StructType | str | None = None, multiline: bool = False) -> DataFrame:
     enc = file_encodings(spark, paths).collect()        # one small row per file
     out = None
     for name in ("UTF-8", "ISO-8859-1"):
         files = [r["path"] for r in enc if r["encoding"] == name]
         if not files:
             continue
-        part = read_csv(spark, files, schema, encoding=name).withColumn("encoding", F.lit(name))
+        part = read_csv(spark, files, schema, encoding=name, multiline=multiline).withColumn("encoding", F.lit(name))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError("no input files")
@@ -63,7 +69,7 @@ def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str],
 
 # K1: CSV sink with header, no index; a directory of part files
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).option("encoding", encoding).csv(path)
+    df.write.mode(mode).options(**QUOTING).option("header", True).option("encoding", encoding).csv(path)
     return path
 
 

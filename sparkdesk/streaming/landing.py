@@ -14,17 +14,24 @@ from pyspark.sql.types import StructType
 
 
 def land_csv(spark: SparkSession, inbox: str, schema: StructType | str, table_path: str,
-             checkpoint: str, source_col: str = "source_file", timeout_s: int = 600) -> int:
-    """Run one ``availableNow`` pass; returns the number of micro-batches."""
+             checkpoint: str, source_col: str = "source_file", timeout_s: float | None = None) -> int:
+    """Run one ``availableNow`` pass to its end (or, if given, for ``timeout_s`` seconds at
+    most); returns the number of micro-batches."""
     stream = (spark.readStream.schema(schema).option("header", True).csv(inbox)
               .withColumn(source_col, F.col("_metadata.file_name")))
     q = (stream.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
+    first = q.lastProgress["batchId"] if q.lastProgress else None
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError("landing did not finish")
     if q.exception() is not None:
         raise q.exception()
-    return len(q.recentProgress)
+    if not q.lastProgress:
+        return 0
+    # progress is kept for the last batches only; their ids count all of them
+    first = q.recentProgress[0]["batchId"] if first is None else first
+    return q.lastProgress["batchId"] - first + 1

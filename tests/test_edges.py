@@ -462,14 +462,13 @@ def test_change_and_label_match_pandas(spark, values):
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-50, 50)),
                           st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False))), min_size=1, max_size=60),
-       st.booleans())
-def test_describe_matches_pandas(spark, rows, bucketed):
+       )
+def test_describe_matches_pandas(spark, rows):
     import pandas as pd
     pdf = pd.DataFrame(rows, columns=["a", "b"], dtype="float64")
     want = pdf.describe()
     df = spark.createDataFrame([(None if a is None else int(a), b) for a, b in rows], "a long, b double")
-    kw = {"buckets": 5, "small_rows": 0} if bucketed else {}
-    got = {(r.metric, r.stat): r.value for r in profile.describe(df, ["a", "b"], **kw).collect()}
+    got = {(r.metric, r.stat): r.value for r in profile.describe(df, ["a", "b"]).collect()}
     for col in ["a", "b"]:
         for stat in want.index:
             w, g = want.loc[stat, col], got.get((col, stat))
@@ -488,3 +487,40 @@ def test_py_round_and_fixed_match_python(spark, xs):
     rows = df.select("i", X.py_round("x", 1).alias("r"), X.py_fixed("x", 1).alias("f")).orderBy("i").collect()
     assert [r.r for r in rows] == [round(x, 1) for x in xs]
     assert [r.f for r in rows] == [f"{x:.1f}" for x in xs]
+
+
+def test_csv_agrees_with_pandas(spark, tmp_path):
+    import glob
+    from sparkdesk.sources import files as Fi
+    import pandas as pd
+    rows = [(1, 'Bob "Bo" Ray', "x"), (2, "end\\", "y"), (3, 'a,b\\"', "z"), (4, "plain", "w")]
+    df = spark.createDataFrame(rows, "id long, name string, t string").coalesce(1)
+    Fi.write_csv(df, str(tmp_path / "out"))
+    back = pd.concat(pd.read_csv(f) for f in glob.glob(str(tmp_path / "out" / "*.csv")))
+    assert sorted(back.itertuples(index=False, name=None)) == rows
+    back.to_csv(tmp_path / "pandas.csv", index=False)
+    got = Fi.read_csv(spark, str(tmp_path / "pandas.csv"), "id long, name string, t string")
+    assert sorted(map(tuple, got.collect())) == rows
+
+
+def test_vectors_that_are_not_finite_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    v = spark.createDataFrame([(0, [0.0, 0.0]), (1, [nan, 1.0]), (2, [1.0, 0.0]), (3, [inf, 0.0]), (4, None),
+                               (5, [None, 1.0]), (6, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [0.0, 0.0]), (8, [nan, 0.0])], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id) for r in retrieval.nearest(v, q, 3).orderBy("rank").collect()] == [
+        (7, 0), (7, 2), (7, 6)]
+
+
+def test_edit_without_a_seq_is_not_lost(spark):
+    c = spark.createDataFrame([(1, "a", "1", "x", None)], contacts.CONTACT_SCHEMA)
+    edits = spark.createDataFrame([(1, "b", "2", "y", None)], "id long, name string, phone string, city string, seq long")
+    assert contacts.update_rows(c, edits).first().name == "b"
+
+
+def test_strip_of_a_long_run_of_blanks(spark):
+    import time
+    df = spark.createDataFrame([("x" + " " * 1_000_000 + "y　\x1c",)], "t string")
+    t0 = time.time()
+    assert df.select(F.length(X.py_strip("t")).alias("n")).first().n == 1_000_002
+    assert time.time() - t0 < 10

@@ -37,19 +37,6 @@ def test_entry_smoke(spark):
     assert df.schema == entry.entry(spark).schema
 
 
-BUCKETED = ["contact_numbered", "contact_page", "city_options", "contact_import", "bill_anomalies",
-            "bill_anomalies_by_account", "bill_insights_by_account",
-            "bill_insights", "health_slice", "health_describe", "chat_append", "chunk_store_append"]
-
-
-@pytest.mark.parametrize("name", BUCKETED)
-def test_bucketed_path_matches_oracle(spark, con, name, monkeypatch):
-    from sparkdesk.operators import numbering, profile
-    monkeypatch.setattr(numbering, "SMALL_ROWS", 0)
-    monkeypatch.setattr(profile, "QUANTILE_SMALL_ROWS", 0)
-    test_query_matches_oracle(spark, con, name)
-
-
 def test_csv_encodings_round_trip(spark):
     from pyspark.sql import functions as F
     from sparkdesk.sources import views as V
