@@ -128,8 +128,32 @@ def read_latest(spark, base: str, schema=CONTACT_SCHEMA) -> tuple[DataFrame, int
     return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}"), versions[-1]
 
 
-def commit(spark, base: str, change) -> str:
+def id_mark(spark, base: str, key: str = "id") -> int:
+    """Highest id ever given out under ``base``: the stored marks and the newest snapshot
+    (which covers a snapshot whose mark was not written any more)."""
+    current, _ = read_latest(spark, base)
+    path = f"{base.rstrip('/')}/marks"
+    top = current.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("mark"))
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        top = top.unionByName(spark.read.schema("mark long").parquet(path))
+    return top.agg(F.max("mark")).first()[0]
+
+
+def commit(spark, base: str, change, key: str = "id") -> str:
     """Apply ``change`` (snapshot -> snapshot) to the newest version and write
-    the result as the next version; the input version stays untouched."""
+    the result as the next version; the input version stays untouched.  The
+    highest id so far is stored beside it, so deleted ids are not given out again."""
     current, v = read_latest(spark, base)
-    return write_snapshot(change(current), base, v + 1)
+    mark = id_mark(spark, base, key)
+    path = write_snapshot(change(current), base, v + 1)
+    (spark.read.parquet(path).agg(F.greatest(F.max(key).cast("long"), F.lit(mark)).alias("mark"))
+     .write.mode("append").parquet(f"{base.rstrip('/')}/marks"))
+    return path
+
+
+def commit_import(spark, base: str, upload: DataFrame, order_by: str | list[str] = "upload_pos", **kw) -> str:
+    """``import_rows`` on the newest snapshot, with ids after the stored mark."""
+    mark = id_mark(spark, base)
+    return commit(spark, base, lambda cur: import_rows(cur, upload, order_by, id_mark=mark, **kw))

@@ -69,6 +69,14 @@ sql("contact_import_all", f"""
     UNION ALL
     SELECT (SELECT max(id) FROM contacts) + row_number() OVER (ORDER BY upload_pos), name, phone, city, {_RUN}
     FROM uploads u""", "contacts", "uploads")
+sql("contact_import_after_delete", f"""
+    SELECT id, name, phone, city, created_at FROM kept
+    UNION ALL
+    SELECT (SELECT max(id) FROM contacts) + row_number() OVER (ORDER BY upload_pos), name, phone, city, {_RUN}
+    FROM uploads u
+    WHERE NOT EXISTS (SELECT 1 FROM kept c WHERE c.name = u.name AND c.phone = u.phone)""",
+    "contacts", "uploads",
+    ctes="kept AS (SELECT * FROM contacts WHERE id NOT IN (SELECT id FROM contacts ORDER BY id DESC LIMIT 10))")
 sql("import_report", """
     SELECT upload_pos, name, phone, city,
       CASE WHEN name IS NULL OR name = '' OR phone IS NULL OR phone = '' OR city IS NULL OR city = '' THEN 'invalid'

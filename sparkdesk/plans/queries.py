@@ -142,6 +142,16 @@ def contact_import_all(spark, d):
                          dedup=False, validate=False, run_ts=RUN_TS)
 
 
+# the contacts with the ten highest ids are deleted before the import: their ids stay taken
+@query
+def contact_import_after_delete(spark, d):
+    base = scratch_dir(spark, "contacts")
+    K.commit(spark, base, lambda cur: V.contacts(spark, d))
+    K.commit(spark, base, lambda cur: K.delete_rows(cur, cur.orderBy(F.desc("id")).limit(10)))
+    K.commit_import(spark, base, V.uploads(spark, d), run_ts=RUN_TS)
+    return K.read_latest(spark, base)[0]
+
+
 @query
 def import_report(spark, d):
     return K.import_report(V.contacts(spark, d), V.uploads(spark, d), validate=True)
