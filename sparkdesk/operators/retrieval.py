@@ -180,12 +180,21 @@ def prompts(questions: DataFrame, hits_with_text: DataFrame, qid: str = "query_i
         .otherwise(F.col(question)).alias("prompt"))
 
 
+# T6 (second form): vectors by key; a vector of another dimension is an error
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, on: Sequence[str], dim: int,
+                   vec: str = "embedding") -> DataFrame:
+    right = vectors.select(*on, F.when(F.col(vec).isNull() | (F.size(vec) == dim), F.col(vec)).otherwise(
+        F.raise_error(F.lit(f"vector dimension differs from {dim}"))).alias(vec))
+    return chunks.join(right, list(on), "left")
+
+
 # T5 + K8 + U2: append chunks to a store keyed by chunk_id; texts already
 # stored (same sha2) or repeated inside the batch are skipped, so re-ingest
-# is idempotent
+# is idempotent.  ``keep`` names the columns stored with each chunk (its text,
+# its vector); ``order_by`` is the key of a chunk within the batch.
 def ingest_chunks(store: DataFrame | None, chunks: DataFrame, text: str = "chunk",
-                  order_by: Sequence[str] = ("doc_id", "chunk_no")) -> DataFrame:
-    order_by = list(order_by)
+                  order_by: Sequence[str] = ("doc_id", "chunk_no"), keep: Sequence[str] = ()) -> DataFrame:
+    order_by, keep = list(order_by), list(keep)
     h = chunks.select(*order_by, F.sha2(F.col(text), 256).alias("text_hash"))
     first = h.groupBy("text_hash").agg(F.min(F.struct(*order_by)).alias("_f")).select(
         "text_hash", *[F.col(f"_f.{c}").alias(c) for c in order_by])
@@ -194,8 +203,8 @@ def ingest_chunks(store: DataFrame | None, chunks: DataFrame, text: str = "chunk
         mark = F.coalesce(store.agg(F.max("chunk_id")).scalar(), F.lit(0).cast("long"))
     else:
         mark = F.lit(0).cast("long")
-    # hashing every chunk is the heavy part: do it once, then count and number
-    first = materialize(first)
-    new = numbering.number_rows(first, order_by, out="_k").select(
-        (mark + F.col("_k")).alias("chunk_id"), *order_by, "text_hash")
-    return new if store is None else store.select("chunk_id", *order_by, "text_hash").unionByName(new)
+    cols = ["chunk_id", *order_by, "text_hash", *keep]
+    new = numbering.number_rows(first, order_by, out="_k").withColumn("chunk_id", mark + F.col("_k"))
+    if keep:                    # texts and vectors travel once, for the new chunks only
+        new = new.join(chunks.select(*order_by, *keep), order_by)
+    return new.select(*cols) if store is None else store.select(*cols).unionByName(new.select(*cols))

@@ -355,18 +355,34 @@ _RAG = """
            FROM q LEFT JOIN ctx ON q.query_id = ctx.query_id)"""
 sql("vector_topk", "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(distance, 6) AS distance, text FROM hits",
     ctes=_RAG)
+_STORED = _RAG[:_RAG.index("    dist AS")] + """
+    un AS (SELECT arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no, chunk
+           FROM ch GROUP BY chunk),
+    st AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS chunk_id, un.*, e.embedding
+           FROM un LEFT JOIN embeddings e ON e.vec_id = un.doc_id),
+    ve AS (SELECT q.query_id, e.vec_id,
+                  list_sum(list_transform(generate_series(1, len(e.embedding)),
+                           lambda j: pow(CAST(e.embedding[j] AS DOUBLE) - CAST(q.qv[j] AS DOUBLE), 2))) AS distance
+           FROM q, embeddings e),
+    top AS (SELECT ve.query_id, st.chunk_id, st.chunk AS text, ve.distance,
+                   row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank
+            FROM ve JOIN st ON st.doc_id = ve.vec_id QUALIFY rank <= 3),
+    hits AS (SELECT * FROM top WHERE distance <= """ + str(Q.RAG_MAX_DISTANCE) + "),\n" + _RAG[_RAG.index("    ctx AS"):]
+sql("chunk_store_prompts", "SELECT * FROM pr", "docs", ctes=_CHUNKS + "," + _STORED)
 sql("rag_prompts", "SELECT * FROM pr", ctes=_RAG)
 sql("rag_routes", "SELECT query_id, n_hits, route FROM pr", ctes=_RAG)
 sql("chunk_store_append", """
-    SELECT chunk_id, doc_id, chunk_no, text_hash FROM store
+    SELECT chunk_id, doc_id, chunk_no, text_hash, chunk FROM store
     UNION ALL
-    SELECT (SELECT max(chunk_id) FROM store) + row_number() OVER (ORDER BY doc_id, chunk_no), doc_id, chunk_no, h
+    SELECT (SELECT max(chunk_id) FROM store) + row_number() OVER (ORDER BY doc_id, chunk_no), doc_id, chunk_no, h, chunk
     FROM b1 WHERE h NOT IN (SELECT text_hash FROM store)""", "docs", ctes=_CHUNKS + """,
     chh AS (SELECT *, sha256(chunk) AS h FROM ch),
-    s1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no
+    s1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no,
+                  any_value(chunk) AS chunk
            FROM chh WHERE doc_id IN (SELECT doc_id FROM docs WHERE lang = 'en') GROUP BY h),
-    store AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS chunk_id, doc_id, chunk_no, h AS text_hash FROM s1),
-    b1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no
+    store AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_no) AS chunk_id, doc_id, chunk_no, h AS text_hash, chunk FROM s1),
+    b1 AS (SELECT h, arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no,
+                  any_value(chunk) AS chunk
            FROM chh GROUP BY h)""")
 
 # --- health measurements -------------------------------------------------

@@ -341,8 +341,25 @@ def rag_routes(spark, d):
 def chunk_store_append(spark, d):
     docs = V.docs(spark, d)
     # the store as it stood before the re-ingest (a written table in practice)
-    first = materialize(R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text")))
-    return R.ingest_chunks(first, R.chunk_text(docs, "text"))
+    keep = ("chunk",)
+    first = materialize(R.ingest_chunks(None, R.chunk_text(docs.where(F.col("lang") == "en"), "text"), keep=keep))
+    return R.ingest_chunks(first, R.chunk_text(docs, "text"), keep=keep)
+
+
+# chunks -> vectors by key -> store -> search -> prompts; a distance limit sends the
+# questions without a near chunk the direct way
+RAG_MAX_DISTANCE = 0.9
+
+
+@query
+def chunk_store_prompts(spark, d):
+    vectors = V.embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = R.attach_vectors(R.chunk_text(V.docs(spark, d), "text"), vectors, ["doc_id"], 64)
+    store = materialize(R.ingest_chunks(None, chunks, keep=("chunk", "embedding")))
+    questions = _rag_questions(spark, d)
+    hits = R.nearest(store, questions, k=3, id_col="chunk_id")
+    texts = store.select("chunk_id", F.col("chunk").alias("text"))
+    return R.prompts(questions, R.attach_texts(hits, texts, "chunk_id", "text"), max_distance=RAG_MAX_DISTANCE)
 
 
 @query

@@ -524,3 +524,14 @@ def test_strip_of_a_long_run_of_blanks(spark):
     t0 = time.time()
     assert df.select(F.length(X.py_strip("t")).alias("n")).first().n == 1_000_002
     assert time.time() - t0 < 10
+
+
+def test_store_keeps_texts_and_vectors_of_one_dimension(spark):
+    docs = spark.createDataFrame([(1, "a" * 700), (2, "b"), (3, "b")], "doc_id long, text string")
+    vecs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "doc_id long, embedding array<float>")
+    chunks = retrieval.attach_vectors(retrieval.chunk_text(docs), vecs, ["doc_id"], 2)
+    store = retrieval.ingest_chunks(None, chunks, keep=("chunk", "embedding"))
+    rows = [(r.chunk_id, r.doc_id, r.chunk_no, r.chunk, r.embedding) for r in store.orderBy("chunk_id").collect()]
+    assert rows == [(1, 1, 0, "a" * 500, [1.0, 2.0]), (2, 1, 1, "a" * 250, [1.0, 2.0]), (3, 2, 0, "b", [3.0, 4.0])]
+    with pytest.raises(Exception, match="dimension"):
+        retrieval.attach_vectors(chunks.drop("embedding"), vecs, ["doc_id"], 3).collect()
