@@ -445,6 +445,8 @@ sql("csv_encodings", r"""
     SELECT doc_id, lang,
            CASE WHEN lang IN ('en', 'es') THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END AS text,
            CASE WHEN lang IN ('en', 'es') THEN 'UTF-8' ELSE 'ISO-8859-1' END AS encoding FROM documents""")
+sql("csv_bad_rows", """
+    SELECT strftime(date, '%Y-%m-%d') AS day, day(date) % 7 = 0 AS bad FROM health""", "health")
 sql("csv_text_roundtrip", r"""
     SELECT doc_id, text || chr(10) || '"a", \ "b""c"\' AS text, 'end' AS tail FROM documents""")
 sql("unicode_search", f"""

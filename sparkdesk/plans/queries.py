@@ -446,6 +446,18 @@ def csv_roundtrip(spark, d):
     return Fi.read_csv(spark, path, HEALTH_SCHEMA)
 
 
+# every seventh day's heart rate is not a number: those lines come back whole, as bad rows
+@query
+def csv_bad_rows(spark, d):
+    h = V.health(spark, d)
+    rate = F.when(F.dayofmonth("date") % 7 == 0, F.lit("n/a bpm")).otherwise(F.col("heart_rate").cast("string"))
+    path = Fi.write_csv(h.withColumn("heart_rate", rate), scratch_dir(spark, "csvbad") + "/health")
+    good, bad = Fi.read_csv_checked(spark, path, HEALTH_SCHEMA)
+    return good.select(F.col("date").cast("string").alias("day"), F.lit(False).alias("bad")).unionByName(
+        bad.where(F.col("line").contains("n/a bpm")).select(
+            F.split("line", ",").getItem(0).alias("day"), F.lit(True).alias("bad")))
+
+
 # quotes, backslashes, separators and line breaks inside fields come back as written
 @query
 def csv_text_roundtrip(spark, d):

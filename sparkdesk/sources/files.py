@@ -13,19 +13,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from sparkdesk.functions import patterns as P
+from sparkdesk.session import materialize
 
 
 # a quote inside a quoted field is doubled and a backslash is a plain character, as in
 # RFC 4180 and pandas
+BAD_LINE = "_bad_line"
 QUOTING = {"quote": '"', "escape": '"'}
 
 
 # CSV with header; explicit schema, inference only when asked (profiling).  A file with
 # line breaks inside fields needs ``multiline``, which reads each file in one task.
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str | None = None,
-             encoding: str = "UTF-8", multiline: bool = False, source_col: str | None = None) -> DataFrame:
+             encoding: str = "UTF-8", multiline: bool = False, source_col: str | None = None,
+             bad_col: str | None = None) -> DataFrame:
     r = (spark.read.option("header", True).option("encoding", encoding)
          .options(**QUOTING).option("multiLine", multiline).option("mode", "PERMISSIVE"))
+    if bad_col:
+        r = r.option("columnNameOfCorruptRecord", bad_col)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = r.csv(paths if isinstance(paths, str) else list(paths))
     if source_col:
@@ -33,6 +38,16 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
     return df
 
 
+# Rows that fit the schema, and the raw lines of those that do not, from one definition
+def read_csv_checked(spark: SparkSession, paths: str | Sequence[str], schema_ddl: str,
+                     **kw) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows as ``line``); no row is dropped or half read.  The files are
+    parsed once, into a written table that both read."""
+    df = materialize(read_csv(spark, paths, f"{schema_ddl}, {BAD_LINE} string", bad_col=BAD_LINE, **kw))
+    bad = F.col(BAD_LINE).isNotNull()
+    return df.where(~bad).drop(BAD_LINE), df.where(bad).select(F.col(BAD_LINE).alias("line"))
+
+
 # S3: pandas default missing tokens -> null on every string column
 def normalize_missing(df: DataFrame, tokens: Sequence[str] = P.MISSING_TOKENS) -> DataFrame:
     out = []
