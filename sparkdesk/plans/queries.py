@@ -473,8 +473,7 @@ UNICODE_SEARCH = "ÈRÉ|ÜBER|ÓCI"
 
 @query
 def unicode_search(spark, d):
-    docs = V.docs(spark, d).select("doc_id", F.substring("text", 1, 200).alias("text"))
-    return facets.search(docs, UNICODE_SEARCH, "text").select("doc_id")
+    return facets.search(V.docs(spark, d), UNICODE_SEARCH, "text").select("doc_id")
 
 
 def _encoded_docs(spark, d):
