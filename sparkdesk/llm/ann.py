@@ -14,12 +14,17 @@ Places are cut into slabs of ``SLAB`` rows; a query goes to the slabs its
 window touches, and each (curve, slab, block of queries) is one bounded group
 scored in numpy.  Only the best ``k`` of each group leave it.
 
-Equal vectors are indexed once with their ``k + 1`` smallest ids, so a vector
+Rows of one cell are ordered by the curve's further course inside it (``FINE``
+bits a direction), so each curve orders a group of near copies in its own way.
+
+Equal vectors, and vectors that are equal over their largest magnitude (exact
+multiples), are indexed once with their ``k + 1`` smallest ids, so a direction
 that a third of all rows share is one point on the curves, and ties go to the
-smaller id whatever the size of the group.
+smaller id whatever the size of the group.  Multiples that rounding has changed
+are near copies.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part; repeated rows (same id and vector) count once; a
+components take no part; repeated rows (same id and direction) count once; a
 query never finds a row of its own id; rows with a null id take no part; fewer
 candidates than ``k`` are all returned where the windows reach them; an empty
 table gives an empty result; extra columns are ignored.
@@ -40,14 +45,16 @@ WINDOW = 0.07                   # share of all vectors in a query's window on on
 LEAST = 100                     # but at least this many rows to either side
 DIMS = 8
 BITS = 6                        # cells per direction: 2**BITS
+WORD = 7                        # further bits a direction in each word of the finer key
+FINE = 3 * WORD                 # bits inside a cell: below what a cosine can tell apart
+KEYS = ["key", *(f"key{w}" for w in range(1, FINE // WORD + 1))]
 REACH = 3.0                     # cells span this many standard deviations to either side
 SLAB = 2048
 QUERY_BLOCK = 2048
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Position of integer cells (rows, ``bits`` bits a coordinate) on the Hilbert curve:
-    Skilling's transposed form, worked on all rows at once."""
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Skilling's transposed form of the Hilbert positions, a row for each coordinate."""
     x = cells.astype(np.int64).T.copy()
     n = len(x)
     for level in range(bits - 1, 0, -1):
@@ -63,24 +70,42 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         turn ^= np.where(x[n - 1] & (1 << level), (1 << level) - 1, 0)
     x ^= turn
+    return x
+
+
+def _word(x: np.ndarray, high: int, low: int) -> np.ndarray:
+    """The part of the positions that the bits from ``high`` (without) down to ``low`` give."""
     key = np.zeros_like(x[0])
-    for level in range(bits - 1, -1, -1):
-        for i in range(n):
+    for level in range(high - 1, low - 1, -1):
+        for i in range(len(x)):
             key = (key << 1) | ((x[i] >> level) & 1)
     return key
 
 
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Position of integer cells (rows, ``bits`` bits a coordinate) on the Hilbert curve:
+    Skilling's transposed form, worked on all rows at once."""
+    return _word(_transposed(cells, bits), bits, 0)
+
+
 def curve_keys(unit: np.ndarray, curves: int, seed: int = 0, dims: int = DIMS) -> np.ndarray:
-    """Hilbert keys of unit vectors on every curve (rows x curves)."""
+    """Hilbert keys of unit vectors on every curve (rows x curves x words): the cell's key,
+    then the words of the curve's course inside the cell."""
     d = unit.shape[1]
     dims = min(dims, d)
     width = 2 * REACH / np.sqrt(d) / (1 << BITS)
-    out = np.empty((len(unit), curves), np.int64)
+    out = np.empty((len(unit), curves, len(KEYS)), np.int64)
     for c in range(curves):
         rng = np.random.default_rng([seed, d, c])
         basis = np.linalg.qr(rng.standard_normal((d, dims)))[0]
-        cells = np.floor(unit @ basis / width + rng.random(dims)) + (1 << (BITS - 1))
-        out[:, c] = hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1), BITS)
+        at = unit @ basis / width + rng.random(dims)
+        cells = np.floor(at)
+        inside = np.minimum((at - cells) * (1 << FINE), (1 << FINE) - 1).astype(np.int64)
+        cells = np.clip(cells + (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
+        x = _transposed(cells << FINE | inside, BITS + FINE)
+        out[:, c, 0] = _word(x, BITS + FINE, FINE)
+        for w in range(1, len(KEYS)):
+            out[:, c, w] = _word(x, FINE - (w - 1) * WORD, FINE - w * WORD)
     return out
 
 
@@ -90,6 +115,12 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
+def direction(vec: Column) -> Column:
+    """A vector over its largest magnitude: bitwise equal for exact multiples of one vector."""
+    top = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double"))))
+    return F.zip_with(vec, F.array_repeat(top, F.size(vec)), lambda x, t: x.cast("double") / t + F.lit(0.0))
+
+
 def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in vectors])
 
@@ -113,13 +144,14 @@ def _places(reps: DataFrame, curves: int) -> DataFrame:
                 unit = _unit(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d))
                 keys = curve_keys(unit, curves)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.tile(np.arange(curves, dtype=np.int32), len(at))), pa.array(keys.ravel()),
-                    batch.column(0).take(pa.array(np.repeat(at, curves)))], ["curve", "key", "rid"])
+                    pa.array(np.tile(np.arange(curves, dtype=np.int32), len(at))),
+                    *(pa.array(keys[:, :, w].ravel()) for w in range(len(KEYS))),
+                    batch.column(0).take(pa.array(np.repeat(at, curves)))], ["curve", *KEYS, "rid"])
 
     id_type = reps.schema["rid"].dataType.simpleString()
-    keys = reps.select("rid", "vec").mapInArrow(run, f"curve int, key bigint, rid {id_type}")
-    ordered = materialize(keys.repartitionByRange("curve", "key", "rid")
-                          .sortWithinPartitions("curve", "key", "rid")
+    keys = reps.select("rid", "vec").mapInArrow(run, f"curve int, {', '.join(f'{k} bigint' for k in KEYS)}, rid {id_type}")
+    ordered = materialize(keys.repartitionByRange("curve", *KEYS, "rid")
+                          .sortWithinPartitions("curve", *KEYS, "rid")
                           .select("curve", "rid", F.monotonically_increasing_id().alias("mid"))
                           .withColumn("part", F.shiftright("mid", 33)))
     counts = ordered.groupBy("curve", "part").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -136,15 +168,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     rows = (vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)))
             .select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
                     F.col(vec_col).alias("vec"))
-            .distinct())
-    in_group = Window.partitionBy("vec").orderBy("id")
-    first = (rows.select("vec", "id", F.row_number().over(in_group).alias("nth"))
+            .groupBy("id", "asks", direction(F.col("vec")).alias("dir")).agg(F.min("vec").alias("vec")))
+    in_group = Window.partitionBy("dir").orderBy("id")
+    first = (rows.select("dir", "vec", "id", F.row_number().over(in_group).alias("nth"))
              .where(F.col("nth") <= k + 1))
-    members = materialize(first.select(F.xxhash64("vec").alias("h"), "vec", "id", "nth"))
-    reps = members.where("nth = 1").select("h", "vec", F.col("id").alias("rid"))
-    members = members.select("h", "vec", "id").join(reps, ["h", "vec"]).select("rid", "id")
-    asking = materialize(rows.where("asks").select(F.xxhash64("vec").alias("h"), "vec", F.col("id").alias("query_id"))
-                         .join(reps, ["h", "vec"]).select("rid", "query_id"))
+    members = materialize(first.select(F.xxhash64("dir").alias("h"), "dir", "vec", "id", "nth"))
+    points = members.where("nth = 1").select("h", "dir", F.col("id").alias("rid"))
+    reps = members.where("nth = 1").select("vec", F.col("id").alias("rid"))
+    members = members.select("h", "dir", "id").join(points, ["h", "dir"]).select("rid", "id")
+    asking = materialize(rows.where("asks").select(F.xxhash64("dir").alias("h"), "dir", F.col("id").alias("query_id"))
+                         .join(points, ["h", "dir"]).select("rid", "query_id"))
     n, n_asking = reps.count(), asking.select("rid").distinct().count()
     half = max(int(np.ceil(n * window / 2)), LEAST)
     blocks = max(1, int(np.ceil(n_asking * (2 * half + SLAB) / max(n, 1) / QUERY_BLOCK)))

@@ -78,3 +78,42 @@ def test_recall(spark):
     assert len(got) == 5 * len(want)
     hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
     assert hits / len(got) >= 0.9
+
+
+def test_first_word_is_the_cell():
+    """The words after the first only order the rows of one cell."""
+    cells = np.random.default_rng(1).integers(0, 1 << 6, (500, 8))
+    deep = cells << ann.FINE | np.random.default_rng(2).integers(0, 1 << ann.FINE, cells.shape)
+    whole = ann._word(ann._transposed(deep, 6 + ann.FINE), 6 + ann.FINE, ann.FINE)
+    assert (whole == ann.hilbert_keys(cells, 6)).all()
+
+
+@pytest.mark.parametrize("noise", [1e-3, 1e-4, 1e-5])
+def test_recall_among_near_copies(spark, noise):
+    """At least 0.9 of the true nearest where a third of the rows are near copies of one vector."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((3000, 64))
+    hot = r.permutation(3000)[:1000]
+    x[hot] = x[hot[0]] + noise * r.standard_normal((1000, 64))
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    asks = sorted(int(i) for i in hot if i % 20 == 0)
+    score = unit[asks] @ unit.T
+    score[np.arange(len(asks)), asks] = -1
+    want = {q: set(row) for q, row in zip(asks, np.argsort(-score, axis=1, kind="stable")[:, :5].tolist())}
+    got = [x for x in ann.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]),
+                                  F.col("vec_id") % 20 == 0).collect() if x.query_id in want]
+    assert len(got) == 5 * len(asks)
+    assert sum(x.vec_id in want[x.query_id] for x in got) / len(got) >= 0.9
+
+
+def test_multiples_are_one_point(spark):
+    """Rows that are multiples of one vector are found by their ids, as equal rows are."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(1200)]
+    rows[300:900] = [(i, [c * x for x in (1.0, 2, 0, -3, 0, 0, 5, 1)]) for c, i in enumerate(range(300, 900), 1)]
+    got = found(frame(spark, rows), 5, 4)
+    for q in range(300, 900, 5):
+        assert [i for i, _ in got[q]] == [i for i in range(300, 305) if i != q][:4]
+    assert found(frame(spark, [(0, [1.0, 2.0]), (0, [2.0, 4.0]), (1, [3.0, 6.0]), (1, [0.5, 1.0]), (2, [1.0, 0.0])]),
+                 5, 2) == {0: [(1, 1.0), (2, 0.447213595)]}
