@@ -17,7 +17,9 @@ and one Arrow batch; nothing is shuffled or gathered.  A sequence number is
 the task's partition number and a counter, so a task that is run again gives
 the same sequences from the same split.
 
-Defined results: null and empty texts are the closing id alone; repeated rows
+Defined results: ids are those of the tokenizer library without its closing
+tokens, so an added token written in a text gives its own id; null and empty
+texts are the closing id alone; repeated rows
 are packed as often as they occur; a null key stays null; an empty table gives
 no pieces; extra columns are ignored.
 """
@@ -63,14 +65,28 @@ class WordTokenizer:
     A word of plain Latin-1 letters is one pre-token and no normalizer changes it, so the
     merges of all such new words of a batch are applied together in numpy; every other
     word goes through the tokenizer library.
+
+    The vocabulary's added tokens are cut out of the text as it is, before case is folded,
+    and stand for their own ids; ``encode_special_tokens``, the library's switch of that
+    name, takes the special ones as ordinary text instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # what the cut leaves is text, also where folded case makes it look like a token
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            parts = json.load(f)
+        model = parts["model"]
+        added = [t for t in parts.get("added_tokens") or () if not (t["special"] and encode_special_tokens)]
+        for t in added:
+            if any(t[k] for k in ("normalized", "single_word", "lstrip", "rstrip")) or BLANK.search(t["content"].encode()):
+                raise ValueError(f"added token {t['content']!r} is not matched as plain text")
+        # under a key with a blank, which no word holds
+        self.added = {b" " + t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.plain = [key[1:] for key in self.added]
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.plain, key=len, reverse=True))) + b")")
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.inner = np.array([vocab[c] for c in byte_letters()], np.int64)
         self.last = np.array([vocab[c + end] for c in byte_letters()], np.int64)
@@ -162,6 +178,8 @@ class WordTokenizer:
     def _learn(self, words) -> dict[bytes, bytes]:
         plain, other = {}, []
         for w in words:
+            if w in self.added:
+                continue
             if len(w) > MEMO_BYTES:
                 other.append(w)
             elif w.isalpha():                                   # ASCII letters only
@@ -171,6 +189,7 @@ class WordTokenizer:
             else:
                 other.append(w)
         out = dict(zip(plain, self._merge(list(plain.values())))) if plain else {}
+        out.update((w, self.added[w]) for w in words if w in self.added)
         if other:
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other],
                                                      add_special_tokens=False)
@@ -193,9 +212,17 @@ class WordTokenizer:
                 size += len(body)
         return out + self._encode(group)
 
+    def _words(self, body: bytes) -> list[bytes]:
+        if not any(t in body for t in self.plain):
+            return STOP.sub(rb" \g<0>", body.lower()).split()
+        out = []
+        for i, part in enumerate(self.cut.split(body)):         # text and tokens in turn
+            out += [b" " + part] if i % 2 else STOP.sub(rb" \g<0>", part.lower()).split()
+        return out
+
     def _encode(self, bodies: list[bytes]) -> list[np.ndarray]:
         memo = self.memo
-        split = [STOP.sub(rb" \g<0>", b.lower()).split() for b in bodies]
+        split = [self._words(b) for b in bodies]
         words = set().union(*split) if split else set()
         new = [w for w in words if w not in memo]
         if len(memo) + len(new) > MEMO:
@@ -219,7 +246,8 @@ def blocks(data: bytes):
 
 @functools.lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """The tokenizer as the library has it by default: added tokens count as such."""
+    return WordTokenizer(path, encode_special_tokens=False)
 
 
 class Packer:

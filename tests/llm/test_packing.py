@@ -120,3 +120,37 @@ def test_whole_table(spark):
     pieces = queries.op5_packing(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert check(pieces, [tuple(d) for d in docs]) == 0
+
+
+UNCHANGED = Tokenizer.from_file(queries.WORD_BPE)
+ADDED = ["a <|endoftext|> b", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "don't<|endoftext|>'s",
+         "e<|endoftext|>́ É.<|startoftext|>,", "<|endoftext|", "<<|endoftext|>>", "x" * 70 + "<|endoftext|>" + "y" * 70,
+         "<|endoftext|>" * 6, "<|startoftext|>\n\n<|endoftext|>"]
+
+
+def unchanged_ids(text):
+    return UNCHANGED.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_match_the_unchanged_library(monkeypatch):
+    r = random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "<", "endoftext", "a", "Été", "́",
+             " ", "\n", "'s", ".", "12", "中文", "x" * 70]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 15))) for _ in range(2000)] + ADDED
+    words = packing.word_tokenizer(queries.WORD_BPE)
+    for t, ids in zip(texts, words.encode([t.encode() for t in texts])):
+        assert ids.tolist() == unchanged_ids(t), repr(t)
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    monkeypatch.setattr(packing, "MEMO", 3)
+    long = " ".join(texts)
+    words = packing.WordTokenizer(queries.WORD_BPE, encode_special_tokens=False)
+    assert words.encode([long.encode()])[0].tolist() == unchanged_ids(long)
+
+
+def test_added_tokens_are_packed_as_such(spark):
+    pieces = packing.pack_documents(documents(spark, ADDED), queries.WORD_BPE).collect()
+    by_doc = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        by_doc.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, "<u4").tolist())
+        assert p.doc_tokens == len(unchanged_ids(ADDED[p.doc_id])) + 1
+    assert by_doc == {i: [*unchanged_ids(t), 1] for i, t in enumerate(ADDED)}
