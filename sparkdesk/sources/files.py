@@ -114,7 +114,8 @@ def dispatch(spark: SparkSession, root: str) -> DataFrame:
         return r
 
     txt = rows_per_file(spark.read, ".txt").text(root, wholetext=True)
-    csv = rows_per_file(spark.read.option("header", True).option("multiLine", True).schema("line string"),
+    csv = rows_per_file(spark.read.option("header", True).options(**QUOTING).option("multiLine", True)
+                         .schema("line string"),
                         ".csv").csv(root)
     counts = None
     for part in (txt, csv):

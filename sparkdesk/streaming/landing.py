@@ -12,12 +12,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from sparkdesk.sources.files import QUOTING
+
 
 def land_csv(spark: SparkSession, inbox: str, schema: StructType | str, table_path: str,
-             checkpoint: str, source_col: str = "source_file", timeout_s: float | None = None) -> int:
+             checkpoint: str, source_col: str = "source_file", timeout_s: float | None = None,
+             multiline: bool = False) -> int:
     """Run one ``availableNow`` pass to its end (or, if given, for ``timeout_s`` seconds at
-    most); returns the number of micro-batches."""
-    stream = (spark.readStream.schema(schema).option("header", True).csv(inbox)
+    most); returns the number of micro-batches.  Files are read as ``files.write_csv`` writes
+    them; line breaks inside fields need ``multiline``."""
+    stream = (spark.readStream.schema(schema).option("header", True).options(**QUOTING)
+              .option("multiLine", multiline).csv(inbox)
               .withColumn(source_col, F.col("_metadata.file_name")))
     q = (stream.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
