@@ -6,11 +6,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkdesk.llm import ann, bpe, chat, langid, line_dedup, packing, pii, simhash, topk, toxicity
+from sparkdesk.llm import (ann, bpe, chat, collocation, langid, line_dedup, packing, piece_bpe, pii, simhash,
+                           spelling, topk, toxicity)
 from sparkdesk.llm.common import crc_bucket
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +97,28 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "lang_pred", "score")
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the piece model, with an end id, and decoded again, as digests."""
+    encoded = piece_bpe.encode(_table(spark, sf_dir, "documents"), PIECE_BPE)
+    both = piece_bpe.decode(encoded, PIECE_BPE)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents, whose words lose a letter in
+    one of 31 (document, word) places."""
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"), drop_every=31)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two to three words of each language."""
+    found = collocation.best(collocation.collocations(_table(spark, sf_dir, "documents")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
@@ -106,9 +130,13 @@ LLM_QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_langid": op10_langid,
+    "op11_piece_bpe": op11_piece_bpe,
+    "op12_spelling": op12_spelling,
+    "op13_collocation": op13_collocation,
 }
 
 LLM_ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op13_collocation": collocation.ORACLE,
 }
