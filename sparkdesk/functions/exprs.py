@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
 from sparkdesk.functions import patterns as P
 
@@ -79,12 +80,6 @@ def category_member(c, categories: Sequence[str]) -> Column:
     return F.try_element_at(m, _c(c))
 
 
-# Squared L2 distance in double
-def squared_l2(a, b) -> Column:
-    diffs = F.zip_with(_c(a), _c(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
-    return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
 # Three-way change label, null change -> Normal; NaN never reaches here
 def change_label(change) -> Column:
     ch = _c(change)
@@ -104,11 +99,6 @@ def pct_change_expr(cur, prev) -> Column:
             .otherwise(F.lit(None).cast("double")))
 
 
-# Lenient timestamp parse: bad strings -> null
-def lenient_timestamp(c) -> Column:
-    return F.try_to_timestamp(_c(c).cast("string"))
-
-
 # Python's round(x, n) and f"{x:.nf}" round the exact binary value
 # (round(0.15, 1) == 0.1); bround rounds the shortest decimal form (0.2).
 # Java's DecimalFormat, behind format_number, also rounds the exact value.
@@ -124,24 +114,11 @@ def py_round(c, digits: int) -> Column:
     return F.when(special, x).otherwise(py_fixed(x, digits).try_cast("double"))
 
 
-# X37 / F6 helpers
-def is_blank(c) -> Column:
-    return _c(c).isNull() | (py_strip(c) == "")
-
-
-def nonempty(c) -> Column:
-    return _c(c).isNotNull() & (_c(c).cast("string") != "")
-
-
-# Python '{:,.2f}' and '{:.1f}'
-def money_text(c, currency: str = P.CURRENCY) -> Column:
-    return F.concat(F.lit(currency), F.format_number(_c(c), 2))
-
-
-def one_decimal(c) -> Column:
-    return F.format_string("%.1f", _c(c))
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever marks it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def missing_token_to_null(c, tokens: Sequence[str] = P.MISSING_TOKENS) -> Column:
-    """S3: pandas default missing tokens -> null before any cast."""
-    return F.when(~_c(c).isin(list(tokens)), _c(c))
+def row_hash(df: DataFrame) -> Column:
+    """Hash of the row: the last sort key where others tie."""
+    return F.xxhash64(*[named(f.name) for f in df.schema.fields if not isinstance(f.dataType, MapType)])

@@ -81,6 +81,13 @@ def facet_options(df: DataFrame, col: str, all_value: str = "All") -> DataFrame:
     return head.unionByName(vals)
 
 
+# A14, second form: the distinct values in the order they were first seen, by the smallest
+# position of each value (an aggregate with map-side combine)
+def first_seen(df: DataFrame, col: str, position: str, out: str = "ord") -> DataFrame:
+    first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("option")).agg(F.min(position).alias("_seen"))
+    return numbering.number_rows(first, ["_seen", "option"], out=out).select("option", out)
+
+
 # required fields present and non-empty; returns (accepted, rejected)
 def require_fields(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     ok = fields_present(cols)

@@ -18,29 +18,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import MapType
 
+from sparkdesk.functions.exprs import row_hash
+from sparkdesk.operators import pages
 from sparkdesk.operators.joins import join_null_safe
 from sparkdesk.session import materialize
 
-# a page that ends within this many rows is taken with a top-k instead of numbering all rows
-TOP_ROWS = 10_000
-
 
 def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _spread(df: DataFrame):
-    """Hash of the row, the last sort key."""
-    cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    return F.xxhash64(*cols)
-
-
 def _ordered(df: DataFrame, groups: list[str], order_by: list[str]) -> DataFrame:
     """``df`` written in order with ``_mid`` (ascending in that order) and ``_part``."""
     keys = [*groups, *order_by, "_tie"]
-    return materialize(df.withColumn("_tie", _spread(df))
+    return materialize(df.withColumn("_tie", row_hash(df))
                        .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
                        .withColumn("_mid", F.monotonically_increasing_id())
                        .withColumn("_part", F.shiftright("_mid", 33)))
@@ -140,17 +132,7 @@ def previous_values(df: DataFrame, value: str, order_by: Sequence[str] | str,
 
 def slice_rows(df: DataFrame, order_by: Sequence[str] | str, lo: int, hi: int,
                out: str = "row_no") -> DataFrame:
-    """Rows at 1-based positions ``lo..hi`` (inclusive) in ``order_by``.
-
-    Near pages are one top-k pass; a page that ends beyond ``TOP_ROWS`` rows
-    is cut from the numbered rows.
-    """
-    order_by, lo = _names(order_by), max(lo, 1)
-    if hi < lo or hi <= TOP_ROWS:
-        tied = df.withColumn("_tie", _spread(df))
-        keys = [*order_by, "_tie"]
-        top = tied.orderBy(*keys).offset(lo - 1).limit(max(hi - lo + 1, 0))
-        # at most a page of rows meets in this window
-        return (top.withColumn(out, (F.row_number().over(Window.orderBy(*keys)) + (lo - 1)).cast("long"))
-                .select(*df.columns, out))
-    return number_rows(df, order_by, out).where(F.col(out).between(lo, hi))
+    """Rows at 1-based positions ``lo..hi`` (inclusive) in ``order_by``: a stored order
+    (``pages.store``) of which the parts that hold them are read.  For many pages of one
+    table keep the store."""
+    return pages.store(df, order_by).rows(max(lo, 1), hi, out)

@@ -1,7 +1,7 @@
 """Document chunking, exact nearest-neighbour search, context and prompt
 assembly, answer routing and an idempotent chunk store.
 
-Chunking is ``sequence`` + ``transform`` + ``posexplode`` (JVM only).
+Chunking is one regex pass + ``transform`` + ``posexplode`` (JVM only).
 Search never forms query x vector pairs as a join: vectors and queries are
 cut into blocks, each pair of blocks is one bounded group whose distances
 numpy computes and of which the best k per query are kept, and a per-query
@@ -35,11 +35,14 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = P.CHUNK_SIZE,
     if not (0 <= overlap < size):
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
-    t = F.col(text)
-    n = F.length(t)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
-    pieces = F.transform(starts, lambda s: F.substr(t, s + 1, F.lit(size)))
-    return (spread(df).select(*keep, F.posexplode(pieces).alias("chunk_no", out))
+    # one pass cuts the text into steps; a chunk is a step and the start of what follows it
+    # (substr for every chunk would walk the text from its start each time)
+    steps = F.col("_steps")
+    more = -(-overlap // step)
+    follow = lambda i: F.substring(F.array_join(F.slice(steps, i + 2, F.lit(more)), ""), 1, overlap)
+    whole = F.transform(steps, lambda s, i: F.concat(s, follow(i))) if overlap else steps
+    cut = spread(df).select(*keep, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_steps"))
+    return (cut.select(*keep, F.posexplode(whole).alias("chunk_no", out))
             .withColumn("chunk_no", F.col("chunk_no").cast("long")))
 
 

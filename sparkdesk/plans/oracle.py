@@ -451,7 +451,7 @@ sql("csv_text_roundtrip", r"""
     SELECT doc_id, text || chr(10) || '"a", \ "b""c"\' AS text, 'end' AS tail FROM documents""")
 sql("unicode_search", f"""
     SELECT doc_id FROM documents WHERE regexp_matches(text, '{Q.UNICODE_SEARCH}', 'i')""")
-sql("stream_landing", "SELECT * FROM health", "health")
+sql("stream_landing", "SELECT *, true AS in_source FROM health", "health")
 sql("create_table", "SELECT * FROM contacts", "contacts")
 _STATS = ", ".join(f"('{s}', {i})" for i, s in enumerate(
     ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]))
@@ -471,3 +471,26 @@ sql("analysis_prompt", """
                  WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY metric)
                UNPIVOT INCLUDE NULLS (value FOR stat IN ("count", "mean", "std", "min", "25%", "50%", "75%", "max"))) l
             JOIN (VALUES """ + _STATS + """) so(s, o) ON l.stat = so.s))""", "health")
+
+sql("csv_typed_read", """
+    SELECT CAST(o_orderkey AS BIGINT) AS "order",
+           CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS BIGINT) END AS customer,
+           CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS price,
+           CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+           CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 2 = 0 END AS even,
+           CASE WHEN o_orderkey % 17 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)
+                + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL '10:20:30' ELSE INTERVAL 0 SECOND END END AS moment,
+           CASE WHEN o_orderkey % 19 <> 0 THEN o_orderstatus END AS status,
+           CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR)
+                ELSE strftime(o_orderdate, '%Y-%m-%d') END AS mixed,
+           CAST(NULL AS VARCHAR) AS nothing FROM orders""")
+sql("landing_statuses", """
+    SELECT 'good' AS source, 'ok' AS status, count(*) AS lines,
+           CAST(sum(octet_length(encode(concat_ws(',', id, name, city))) + 1) AS BIGINT) AS line_bytes
+    FROM contacts WHERE name IS NOT NULL AND city IS NOT NULL
+    UNION ALL SELECT * FROM (VALUES ('header_only', 'empty', CAST(0 AS BIGINT), CAST(NULL AS BIGINT)),
+        ('other', 'bad file', 0, NULL), ('blank', 'empty', 0, NULL), ('nothing', 'none found', 0, NULL))""", "contacts")
+ORACLE["bill_months_seen"] = _bills("""
+    SELECT month AS option, row_number() OVER (ORDER BY min(pos)) AS ord FROM bills
+    WHERE month IS NOT NULL GROUP BY month""")
+ORACLE["stream_first_bills"] = ORACLE["first_bill_per_file"]

@@ -27,6 +27,9 @@ from sparkdesk.operators.contacts import CONTACT_SCHEMA
 from sparkdesk.session import materialize, scratch_dir
 from sparkdesk.sources import files as Fi
 from sparkdesk.sources import views as V
+from sparkdesk.sources.ingest import landing_report
+from sparkdesk.sources.typed import read_csv_typed
+from sparkdesk.streaming.first_rows import first_rows, land_first_rows
 from sparkdesk.streaming.landing import land_csv
 
 # query parameters shared with the oracle
@@ -514,7 +517,11 @@ def stream_landing(spark, d):
     land_csv(spark, root + "/inbox", HEALTH_SCHEMA, root + "/table", root + "/ckpt")
     Fi.write_csv(h.where(F.dayofmonth("date") > 15), root + "/inbox", mode="append")
     land_csv(spark, root + "/inbox", HEALTH_SCHEMA, root + "/table", root + "/ckpt")
-    return spark.read.parquet(root + "/table").drop("source_file")
+    # P10: each landed row names the inbox file that holds it
+    inbox = Fi.read_csv(spark, root + "/inbox", HEALTH_SCHEMA, source_col="source_file")
+    held = inbox.select("date", "source_file").withColumn("in_source", F.lit(True))
+    return (spark.read.parquet(root + "/table").join(held, ["date", "source_file"], "left")
+            .withColumn("in_source", F.coalesce("in_source", F.lit(False))).drop("source_file"))
 
 
 @query
@@ -550,3 +557,57 @@ def bill_anomalies_by_account(spark, d):
 @query
 def bill_insights_by_account(spark, d):
     return B.insights(B.month_filter(_bills_by_month(spark, d)), partition_by="account")
+
+
+# S3 + S1: orders written as text with every missing token in them, read back with the
+# narrowest types
+@query
+def csv_typed_read(spark, d):
+    o = V.table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    tokens = F.array(*[F.lit(t) for t in P.MISSING_TOKENS])
+    token = F.get(tokens, F.pmod(key, F.lit(len(P.MISSING_TOKENS))).cast("int"))
+    gaps = lambda c, n: F.when(key % n == 0, token).otherwise(c.cast("string"))          # noqa: E731
+    day = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+    text = o.select(
+        key.alias("order"), gaps(F.col("o_custkey"), 5).alias("customer"), gaps(F.col("o_totalprice"), 7).alias("price"),
+        gaps(day, 11).alias("day"), gaps(F.col("o_custkey") % 2 == 0, 13).alias("even"),
+        gaps(F.concat(day, F.when(key % 2 == 0, F.lit(" 10:20:30")).otherwise(F.lit(""))), 17).alias("moment"),
+        gaps(F.col("o_orderstatus"), 19).alias("status"),
+        F.when(key % 3 == 0, F.col("o_custkey").cast("string")).otherwise(day).alias("mixed"),
+        token.alias("nothing"))
+    return read_csv_typed(spark, Fi.write_csv(text, scratch_dir(spark, "typed") + "/orders"))
+
+
+# S12 + F11 + A19: status, lines and bytes of landing folders
+@query
+def landing_statuses(spark, d):
+    root = scratch_dir(spark, "statuses")
+    names = V.contacts(spark, d).select("id", "name", "city").where(F.col("name").isNotNull() & F.col("city").isNotNull())
+    Fi.write_csv(names, root + "/good")
+    Fi.write_csv(names.limit(0), root + "/header_only")
+    V.table(spark, d, "labels").select(F.to_json(F.struct("*")).alias("value")).write.text(root + "/other")
+    spark.range(0).select(F.col("id").cast("string")).write.text(root + "/blank")
+    kinds = ["good", "header_only", "other", "blank", "nothing"]
+    report = landing_report(spark, {k: f"{root}/{k}" for k in kinds}, ["id", "name", "city"])
+    header = F.col("good_files") * len("id,name,city\n")
+    return report.select("source", "status", "lines",
+                         F.when(F.col("good_files") > 0, F.col("bytes") - header).alias("line_bytes"))
+
+
+# Months in the order the bills first name them
+@query
+def bill_months_seen(spark, d):
+    return facets.first_seen(_bills_by_month(spark, d), "month", "pos")
+
+
+# F9 + ST1: bills land twice, the first half in both runs; each file name's first row once
+@query
+def stream_first_bills(spark, d):
+    root = scratch_dir(spark, "firstbills")
+    bills = V.bill_text(spark, d)
+    half = bills.agg((F.max("pos") / 2).cast("long")).scalar()
+    for drop in (bills.where(F.col("pos") <= half), bills):
+        drop.write.mode("append").parquet(root + "/inbox")
+        land_first_rows(spark, root + "/inbox", bills.schema, root + "/bills")
+    return first_rows(spark, root + "/bills", bills.schema)

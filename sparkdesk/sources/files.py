@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkdesk.functions import patterns as P
+from sparkdesk.functions.exprs import named
 from sparkdesk.session import materialize
 
 
@@ -38,6 +39,13 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: StructType
     return df
 
 
+# S1 without types: every column a string, named by the header
+def read_csv_strings(spark: SparkSession, paths: str | Sequence[str], multiline: bool = False,
+                     encoding: str = "UTF-8") -> DataFrame:
+    return (spark.read.option("header", True).option("encoding", encoding).options(**QUOTING)
+            .option("multiLine", multiline).csv(paths if isinstance(paths, str) else list(paths)))
+
+
 # Rows that fit the schema, and the raw lines of those that do not, from one definition
 def read_csv_checked(spark: SparkSession, paths: str | Sequence[str], schema_ddl: str,
                      **kw) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +60,7 @@ def read_csv_checked(spark: SparkSession, paths: str | Sequence[str], schema_ddl
 def normalize_missing(df: DataFrame, tokens: Sequence[str] = P.MISSING_TOKENS) -> DataFrame:
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = named(f.name)
         if f.dataType.typeName() == "string":
             c = F.when(~c.isin(list(tokens)), c)
         out.append(c.alias(f.name))
@@ -68,18 +76,24 @@ def file_encodings(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def read_csv_any_encoding(spark: SparkSession, paths: str | Sequence[str],
-                          schema: StructType | str | None = None, multiline: bool = False) -> DataFrame:
-    enc = file_encodings(spark, paths).collect()        # one small row per file
-    out = None
-    for name in ("UTF-8", "ISO-8859-1"):
-        files = [r["path"] for r in enc if r["encoding"] == name]
-        if not files:
-            continue
-        part = read_csv(spark, files, schema, encoding=name, multiline=multiline).withColumn("encoding", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError("no input files")
-    return out
+                          schema: StructType | str, multiline: bool = False) -> DataFrame:
+    """Rows of all files with the ``encoding`` of their file.  Everything is parsed once as
+    Latin-1, which keeps every byte and the ASCII marks of CSV; fields of valid UTF-8 files
+    are then decoded from their bytes.  A file's encoding joins its rows by path on the
+    executors; no file list reaches the driver or the plan."""
+    fields = spark.createDataFrame([], schema).schema.fields
+    strings = StructType([StructField(f.name, StringType()) for f in fields])
+    path = "_path"
+    rows = read_csv(spark, paths, strings, encoding="ISO-8859-1", multiline=multiline).withColumn(
+        path, F.col("_metadata.file_path"))
+    both = rows.join(file_encodings(spark, paths).withColumnRenamed("path", path), path)
+    utf8 = F.col("encoding") == "UTF-8"
+
+    def decoded(f):
+        c = named(f.name)
+        return F.when(utf8, F.encode(c, "ISO-8859-1").cast("string")).otherwise(c).try_cast(f.dataType).alias(f.name)
+
+    return both.select(*[decoded(f) for f in fields], "encoding")
 
 
 # K1: CSV sink with header, no index; a directory of part files
@@ -137,13 +151,6 @@ def read_text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
                      F.when(ok, F.lit("ok")).otherwise(F.lit("quarantine")).alias("status"))
 
 
-# Ingest status for a landed frame: none found / empty / ok
-def ingest_status(df: DataFrame | None) -> str:
-    if df is None:
-        return "none found"
-    return "empty" if df.isEmpty() else "ok"
-
-
 # K2 + S7: create a Parquet table once, then scan it
 def create_table(spark: SparkSession, name: str, schema_ddl: str, location: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema_ddl}) USING parquet LOCATION '{location}'")
@@ -153,14 +160,6 @@ def scan_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-# S7 for an external database: a partitioned JDBC read (the driver jar must be
-# on the cluster classpath; none is bundled here, so this path is untested)
-def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int,
-              partitions: int, properties: dict | None = None) -> DataFrame:
-    return spark.read.jdbc(url, table, column=key, lowerBound=lower, upperBound=upper,
-                           numPartitions=partitions, properties=properties or {})
-
-
 # Co-location for recurring joins: write each side bucketed (and sorted) by
 # the join key into the same number of buckets; later joins on that key read
 # matching buckets and skip the shuffle.
