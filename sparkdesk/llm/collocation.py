@@ -7,7 +7,8 @@ but one.  Only edges are counted in the texts, together with the shorter grams
 that a piece ends in.  The count of every shorter gram follows from them: what
 flows out of its node over all edges, plus the pieces that end there.
 
-Edges are summed in the tasks that read the texts and sent, many to a row, to
+Edges are summed over some megabytes of text at a time (in numpy, over word
+numbers) by the tasks that read the texts and sent, many to a row, to
 the group of their first two words.  There Spark sorts them (and may spill), and
 one pass over the sorted rows sums edges and the flow of every node as runs, with
 nothing held but the current run's sum.  Groups are hashes, so a frequent word is
@@ -23,8 +24,7 @@ its two end nodes is kept, and the longest phrases are read off the paths.
 Scores are exact: products are computed in 38-digit decimals.
 
 Defined results: null and empty texts have no words; a null language is
-``und``; very long texts and pieces are read whole, a bounded number of words at
-a time; repeated rows count again; ties are ordered by count, then phrase; an
+``und``; very long texts and pieces are read whole; repeated rows count again; ties are ordered by count, then phrase; an
 empty table gives an empty result; extra columns are ignored, whatever their
 names.
 """
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,122 +44,149 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkdesk.llm.common import bounded_batches
 from sparkdesk.session import materialize
 
-PIECE_END = re.compile(rb"[.,;:!?\n-\r]")
-HELD = 300_000                 # different grams a task holds before it passes them on
-WORDS_AT_ONCE = 100_000        # words of a piece that are counted before the next look at HELD
+HELD = 4 << 20                 # bytes of text a task counts together before it passes grams on
+RUNS = 1 << 16                 # sorted rows that are summed together
 GROUPS = 1 << 14               # groups of nodes
+# Bytes of words, blanks and ends of pieces; A-Z in lower case.
+BLANKS, PIECE_ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
+LOWER = bytes(range(256)).lower()
+CLASS = np.zeros(256, np.int8)
+CLASS[list(BLANKS)], CLASS[list(PIECE_ENDS)] = 1, 2
 # Tabs part the words of a gram and sort before all else: lower bytes are written as
 # ESCAPE and the byte plus 64.
-ESCAPE, LOW = b"\x0e", re.compile(rb"[\x00-\x0a\x0e]")
-LOW_IN_TEXT = re.compile(rb"[\x00-\x08\x0e]")
+ESCAPE, LOW, LOW_IN_TEXT = b"\x0e", re.compile(rb"[\x00-\x0a\x0e]"), re.compile(rb"[\x00-\x08\x0e]")
 
 
 def _escaped(data: bytes, low: re.Pattern) -> bytes:
     return low.sub(lambda m: ESCAPE + bytes([m[0][0] + 64]), data)
 
 
-def _plain(data: bytes) -> str:
-    """A gram's text, its words parted by blanks."""
-    words = re.sub(rb"\x0e(.)", lambda m: bytes([m[1][0] - 64]), data.replace(b"\t", b" "))
-    return words.decode("utf-8", "replace")
-
-
-def grams(data: bytes, max_words: int) -> Iterator[Counter]:
-    """Counts of the longest grams of a text and of the shorter ones its pieces end in, as
-    tuples of ``max_words`` words, the last ones empty; long pieces come in parts."""
-    pieces = Counter(PIECE_END.split(_escaped(data.lower(), LOW_IN_TEXT)))
-    found: Counter = Counter()
-    for piece, times in pieces.items():
-        words = piece.split()
-        for first in range(0, len(words), WORDS_AT_ONCE):
-            part = words[first:first + WORDS_AT_ONCE + max_words - 1]
-            windows = zip(*(part[k:] for k in range(max_words)))
-            if times == 1:
-                found.update(windows)
-            else:
-                for w in windows:
-                    found[w] += times
-            if len(found) >= HELD:
-                yield found
-                found = Counter()
-        for size in range(1, min(max_words - 1, len(words)) + 1):
-            found[(*words[-size:], *[b""] * (max_words - size))] += times
-    yield found
-
-
-def _rows(held: dict[bytes, Counter], groups: int) -> pa.RecordBatch:
-    """One row per group: its grams, a sorted line each with the language first, and their counts."""
-    by_group = defaultdict(list)
-    for lang, found in held.items():
-        for words, n in found.items():
-            by_group[zlib.crc32(b" ".join(words[:2])) % groups].append((b"\t".join((lang, *words)), n))
-    texts, counts = [], []
-    for members in by_group.values():
-        members.sort()
-        texts.append(b"\n".join([m[0] for m in members]))
-        counts.append([m[1] for m in members])
+def _plain(data: bytes) -> bytes:
+    return re.sub(rb"(?s)\x0e(.)", lambda m: bytes([m[1][0] - 64]), data)
+
+
+def _joined(columns: list[pa.Array], by: bytes) -> pa.Array:
+    return pc.binary_join_element_wise(*columns, pa.scalar(by, pa.binary())) if len(columns) > 1 else columns[0]
+
+
+def word_pieces(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words of a text in lower case and the number of each one's piece."""
+    raw = np.frombuffer(_escaped(data.translate(LOWER), LOW_IN_TEXT), np.uint8)
+    kind = CLASS[raw]
+    inside = np.concatenate([[False], kind == 0, [False]])
+    edges_at = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges_at[::2], edges_at[1::2]
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[kind == 0]))])
+    return words.cast(pa.binary()), np.cumsum(kind == 2)[starts] if len(starts) else np.zeros(0, np.int64)
+
+
+def grams(data: bytes, max_words: int) -> tuple[list[pa.Array], np.ndarray]:
+    """The different longest grams of a text, a column for each place, and their counts.  A
+    window that reaches over its piece's end has empty words there: the shorter grams that
+    pieces end in."""
+    words, piece = word_pieces(data)
+    n = len(words)
+    coded = words.dictionary_encode()
+    vocabulary = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary])
+    ids = coded.indices.to_numpy().astype(np.int64) + 1          # 0: no word there
+    size = len(vocabulary)
+    code, bound, columns = np.zeros(n, np.int64), 1, []
+    for k in range(max_words):
+        here = np.zeros(n, np.int64)
+        here[:n - k] = np.where(piece[k:] == piece[:n - k], ids[k:], 0) if k < n else 0
+        columns.append(here)
+        if bound * size >= 1 << 62:                              # number the prefixes anew
+            found, code = np.unique(code, return_inverse=True)
+            bound = len(found)
+        code, bound = code * size + here, bound * size
+    _, first, counts = np.unique(code, return_index=True, return_counts=True)
+    return [vocabulary.take(pa.array(c[first])) for c in columns], counts
+
+
+def _rows(held: dict[bytes, list[bytes]], max_words: int, groups: int) -> pa.RecordBatch:
+    """One row per group: its grams, a line each with the language first, and their counts."""
+    lines, counts, ids = [], [], []
+    for lang, texts in held.items():
+        columns, n = grams(b"\n".join(texts), max_words)
+        node = [c.dictionary_encode() for c in columns[:2]]
+        hashes = [np.array([zlib.crc32(w, 7 * k) for w in c.dictionary.to_pylist()], np.int64)[c.indices.to_numpy()]
+                  for k, c in enumerate(node)] if len(n) else []
+        lines.append(_joined([pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(n), np.int64))), *columns], b"\t"))
+        counts.append(n)
+        ids.append(sum(hashes) % groups if hashes else np.zeros(0, np.int64))
+    lines, counts, ids = pa.concat_arrays(lines), np.concatenate(counts), np.concatenate(ids)
+    order = np.argsort(ids, kind="stable")
+    found, starts = np.unique(ids[order], return_index=True)
+    offsets = pa.array(np.append(starts, len(ids)).astype(np.int32))
+    texts = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.take(pa.array(order))), b"\n")
     return pa.RecordBatch.from_arrays(
-        [pa.array(by_group.keys(), pa.int32()), pa.array(texts, pa.binary()), pa.array(counts, pa.list_(pa.int64()))],
+        [pa.array(found.astype(np.int32)), texts, pa.ListArray.from_arrays(offsets, pa.array(counts[order]))],
         ["g", "grams", "counts"])
 
 
 def edges(docs: DataFrame, max_words: int = 3, text_col: str = "text", lang_col: str = "lang",
           groups: int = GROUPS) -> DataFrame:
-    """``(gram, n)``: counts of the graph's edges and piece ends, a row from each task that met
-    one; the rows of a group (of the first two words) are in one partition, sorted."""
+    """``(gram, n)``: counts of the graph's edges and piece ends, a row from each text block that
+    has one; the rows of a group (of the first two words) are in one partition, sorted."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).cast("binary").alias("lang"),
-                      F.col(text_col).cast("binary").alias("body"))
+                      F.col(text_col).cast("binary").alias("body")).where("length(body) > 0")
 
     def run(batches):
-        held: dict[bytes, Counter] = defaultdict(Counter)
+        held, size = defaultdict(list), 0
         for batch in batches:
             for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = _escaped(lang, LOW)
-                for found in grams(data or b"", max_words):
-                    held[own].update(found)
-                    if sum(map(len, held.values())) >= HELD:
-                        yield _rows(held, groups)
-                        held.clear()
-        yield _rows(held, groups)
+                held[_escaped(lang, LOW)].append(data)
+                size += len(data)
+                if size >= HELD:
+                    yield _rows(held, max_words, groups)
+                    held, size = defaultdict(list), 0
+        if held:
+            yield _rows(held, max_words, groups)
 
     sent = src.mapInArrow(run, "g int, grams binary, counts array<bigint>").repartition("g")
     each = F.posexplode(F.split(F.col("grams").cast("string"), "\n", -1)).alias("k", "gram")
     return (sent.select("counts", each).select("gram", F.get("counts", F.col("k")).alias("n"))
-            .sortWithinPartitions("gram"))
+            .where("gram <> ''").sortWithinPartitions("gram"))
 
 
 class _Flow:
     """Sums of the sorted edges' counts by their first ``level`` words; a run may go on in the
-    next batch."""
+    next rows."""
 
     def __init__(self, level: int, least: int):
         self.level, self.least = level, least
-        self.key, self.n = None, 0
-
-    def _rows(self, keys: list[tuple[bytes, ...]], sums: list[int]) -> list[tuple]:
-        return [(_plain(lang), _plain(b"\t".join(words)), n, self.level)
-                for (lang, *words), n in zip(keys, sums) if n >= self.least and all(words[1:])]
-
-    def add(self, parts: list[pa.Array], counts: np.ndarray, starts: np.ndarray) -> list[tuple]:
-        """Rows of the runs that ended; ``starts`` has the first row of each run."""
+        self.key: list[bytes] | None = None
+        self.n = 0
+
+    def _batch(self, parts: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
+        """Rows of the runs that are frequent and have ``level`` words."""
+        keep = (n >= self.least) & pc.not_equal(parts[self.level], b"").to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(keep))
+        lang, *words = [p.take(at) for p in parts]
+        phrase = _joined(words, b" ")
+        lang, phrase = [pa.array([_plain(x) for x in c.to_pylist()], pa.binary())
+                        if pc.any(pc.match_substring(c, ESCAPE)).as_py() else c for c in (lang, phrase)]
+        return pa.RecordBatch.from_arrays(
+            [lang, phrase, pa.array(n[keep]), pa.array(np.full(len(at), self.level, np.int32))],
+            ["lang", "phrase", "n", "level"])
+
+    def add(self, parts: list[pa.Array], counts: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The runs that ended; ``starts`` has the first row of each run."""
         sums = np.add.reduceat(counts, starts)
-        first = self._keys(parts, starts[:1])[0]
-        if first == self.key:
+        firsts = [p.take(pa.array(starts)) for p in parts[:self.level + 1]]
+        if [p[0].as_py() for p in firsts] == self.key:
             sums[0] += self.n
-            done = []
         else:
-            done = self.end()
-        ready = np.flatnonzero(sums[:-1] >= self.least)
-        done += self._rows(self._keys(parts, starts[ready]), sums[ready].tolist())
-        self.key, self.n = self._keys(parts, starts[-1:])[0], int(sums[-1])
-        return done
+            yield from self.end()
+        yield self._batch([p[:-1] for p in firsts], sums[:-1])
+        self.key, self.n = [p[-1].as_py() for p in firsts], int(sums[-1])
 
-    def _keys(self, parts: list[pa.Array], at: np.ndarray) -> list[tuple[bytes, ...]]:
-        return list(zip(*(p.take(pa.array(at)).to_pylist() for p in parts[:self.level + 1])))
-
-    def end(self) -> list[tuple]:
-        return self._rows([self.key], [self.n]) if self.key else []
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.key:
+            yield self._batch([pa.array([k], pa.binary()) for k in self.key], np.array([self.n]))
 
 
 def graph(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text",
@@ -168,30 +195,33 @@ def graph(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: st
     found at least ``min_count`` times; for 1, words with a part of their count each."""
     found = edges(docs, max_words, text_col, lang_col, groups)
 
+    def tables(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= RUNS:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows = [], 0
+        if rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def run(batches):
         flows = [_Flow(k, 1 if k == 1 else min_count) for k in range(1, max_words + 1)]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat = pc.split_pattern(batch.column(0).cast(pa.binary()), b"\t").flatten()
+        for table in tables(batches):
+            flat = pc.split_pattern(table.column(0).chunk(0).cast(pa.binary()), b"\t").flatten()
             parts = [flat.take(pa.array(np.arange(k, len(flat), max_words + 1))) for k in range(max_words + 1)]
-            counts, new = batch.column(1).to_numpy(), np.zeros(batch.num_rows - 1, bool)
-            rows = []
+            counts, new = table.column(1).chunk(0).to_numpy(), np.zeros(table.num_rows - 1, bool)
             for k, part in enumerate(parts):
-                new |= pc.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False)
+                new = new | pc.not_equal(part[1:], part[:-1]).to_numpy(zero_copy_only=False)
                 if k:
-                    rows += flows[k - 1].add(parts, counts, np.append(0, np.flatnonzero(new) + 1))
-            yield _found(rows)
-        yield _found([r for f in flows for r in f.end()])
-
-    return found.mapInArrow(run, "lang string, phrase string, n bigint, level int")
-
+                    yield from flows[k - 1].add(parts, counts, np.append(0, np.flatnonzero(new) + 1))
+        for f in flows:
+            yield from f.end()
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                      ["lang", "phrase", "n", "level"])
+    rows = found.mapInArrow(run, "lang binary, phrase binary, n bigint, level int")
+    return rows.select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"),
+                       "n", "level")
 
 
 def _after_first(phrase: str) -> Column:

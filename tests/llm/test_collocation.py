@@ -54,7 +54,7 @@ def test_random_texts(spark, max_words):
 
 
 def test_flows_over_batch_edges_and_flushes(spark, monkeypatch):
-    monkeypatch.setattr(collocation, "GROUPS", 7)
+    monkeypatch.setattr(collocation, "RUNS", 3)
     docs = documents(spark, texts(9, 200, "abcdefghij"))
     rows = [(r.lang, r.text) for r in docs.collect()]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -65,16 +65,20 @@ def test_flows_over_batch_edges_and_flushes(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def test_long_pieces_in_parts(monkeypatch):
-    monkeypatch.setattr(collocation, "WORDS_AT_ONCE", 5)
-    monkeypatch.setattr(collocation, "HELD", 3)
+def test_grams_of_one_text():
     r = random.Random(4)
-    words = [r.choice("abc") for _ in range(200)]
-    total = Counter()
-    for part in collocation.grams(" ".join(words).encode(), 3):
-        total.update(part)
-    padded = [*words, "", ""]
-    assert total == Counter(tuple(x.encode() for x in padded[i:i + 3]) for i in range(200))
+    pieces = [[r.choice("abc") for _ in range(r.randrange(1, 60))] for _ in range(40)]
+    columns, counts = collocation.grams(" ; ".join(" ".join(p) for p in pieces).upper().encode(), 3)
+    want = Counter(tuple(x.encode() for x in [*p, "", ""][i:i + 3]) for p in pieces for i in range(len(p)))
+    assert Counter(dict(zip(zip(*(c.to_pylist() for c in columns)), counts.tolist()))) == want
+
+
+def test_many_words_to_a_gram():
+    # codes of long grams over many words pass 62 bits
+    text = " ".join(f"w{k}" for k in range(3000)).encode()
+    columns, counts = collocation.grams(text, 9)
+    assert len(counts) == 3000 and set(counts.tolist()) == {1}
+    assert [c[0].as_py() for c in columns] == [f"w{k}".encode() for k in range(9)]
 
 
 def test_paths_are_compact(spark):
