@@ -55,6 +55,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, bases: list[str], taken: list[str] = ()) -> list[str]:
+    """Different column names that neither ``df`` nor ``taken`` uses."""
+    used, names = {c.lower() for c in [*df.columns, *taken]}, []
+    for name in bases:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 def crc_bucket(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the key's decimal text modulo ``modulus``; null for a null key."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -17,15 +17,16 @@ Defined results: null text stays null; texts of fewer than three lines have no
 window and stay as they are; a text whose lines are all covered becomes empty;
 repeated rows (same key and text) are one document and get the same result;
 rows with a null key come first in order and are told apart by their text; an
-empty table gives an empty result; extra columns pass through.  Lines are cut
-at ``\\n`` and compared exactly.
+empty table gives an empty result; extra columns pass through, whatever their
+names (a column to add whose name is taken is an error).  Lines are cut at
+``\\n`` and compared exactly; very long texts are treated whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparkdesk.llm.common import free_name
+from sparkdesk.llm.common import free_names
 from sparkdesk.session import materialize
 
 WINDOW = 3
@@ -69,12 +70,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lines_col: str | None = None, removed_col: str | None = None) -> DataFrame:
     """``docs`` with the covered lines cut from ``text_col``; optionally the number of
     lines before and of lines removed, as longs."""
-    hashed, key, gone_at = (free_name(docs, n) for n in ("_th", "_id", "_gone"))
-    gone = covered_lines(docs, id_col, text_col).toDF(key, hashed + "_", gone_at)
-    parts = free_name(docs, "_lines")
+    added = [c for c in (lines_col, removed_col) if c]
+    if len({c.lower() for c in [*docs.columns, *added]}) < len(docs.columns) + len(added):
+        raise ValueError(f"the columns to add are taken: {added}")
+    hashed, key, gone_hash, gone_at, parts = free_names(docs, ["_th", "_id", "_gone_th", "_gone", "_lines"], added)
+    gone = covered_lines(docs, id_col, text_col).toDF(key, gone_hash, gone_at)
     left = docs.withColumn(hashed, F.xxhash64(text_col))
     joined = left.join(gone, F.col(id_col).eqNullSafe(F.col(key))
-                       & (F.col(hashed) == F.col(hashed + "_")), "left")
+                       & (F.col(hashed) == F.col(gone_hash)), "left")
     cut = joined.withColumn(parts, F.split(F.col(text_col), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_at))
     text = F.when(F.col(gone_at).isNull(), F.col(text_col)).otherwise(

@@ -2,6 +2,9 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
+
+from pyspark.sql import functions as F
 
 from sparkdesk.llm import line_dedup, queries
 from tests.conftest import SF
@@ -65,3 +68,14 @@ def test_whole_table_against_sql(spark):
     got = queries.op1_line_dedup(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got[want.columns], want)
     assert got.n_removed.sum() > 0
+
+
+def test_columns_with_the_operators_own_names(spark):
+    names = ["_th", "_th_", "_id", "_id_", "_gone", "_gone_", "_gone_th", "_lines", "_Lines_", "h1", "until"]
+    texts = ["a\nb\nc\nd", "x\na\nb\nc", None]
+    df = documents(spark, texts).select("doc_id", "text").select("*", *[F.lit(n).alias(n) for n in names])
+    rows = line_dedup.dedup_lines(df, lines_col="n_lines", removed_col="gone_th").orderBy("doc_id").collect()
+    assert [(r.text, r.n_lines, r.gone_th) for r in rows] == [(texts[0], 4, 0), ("x", 4, 3), (None, 0, 0)]
+    assert all(r[n] == n for r in rows for n in names)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(df, lines_col="_TH")
