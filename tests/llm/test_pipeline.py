@@ -52,7 +52,7 @@ def test_edges(spark):
 def test_run_and_registration(spark):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     packed = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
