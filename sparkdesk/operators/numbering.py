@@ -9,8 +9,9 @@ needs from the ones before it - a row count, a running sum, the last value -
 is one small row per partition, and only for the groups that a partition
 boundary cuts, of which there are fewer than partitions.
 
-Sort keys that are not unique are spread by a hash of the row, so equal keys
-do not meet in one partition; their order among themselves is that hash's.
+Sort keys that are not unique are spread by a hash of the row, and equal rows by
+their place in the input, so equal keys do not meet in one partition;
+their order among themselves is that hash's.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ def _names(cols) -> list[str]:
 
 def _ordered(df: DataFrame, groups: list[str], order_by: list[str]) -> DataFrame:
     """``df`` written in order with ``_mid`` (ascending in that order) and ``_part``."""
-    keys = [*groups, *order_by, "_tie"]
-    return materialize(df.withColumn("_tie", row_hash(df))
-                       .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
+    keys = [*groups, *order_by, "_tie", "_salt"]
+    rows = df.withColumn("_tie", row_hash(df)).withColumn("_salt", F.monotonically_increasing_id())
+    return materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie", "_salt")
                        .withColumn("_mid", F.monotonically_increasing_id())
                        .withColumn("_part", F.shiftright("_mid", 33)))
 
@@ -46,9 +47,9 @@ def _cut_groups(rows: DataFrame, groups: list[str], *aggs) -> DataFrame:
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, groups: list[str]) -> DataFrame:
-    """Join what earlier partitions leave to each row; the carry is smaller than the
-    number of partitions, which Spark sees when it has run."""
-    return join_null_safe(rows, carry, [*groups, "_part"], "left")
+    """Join what earlier partitions leave to each row; the carry has two rows for a partition
+    at most (its first and its last group), so it is sent to every task."""
+    return join_null_safe(rows, F.broadcast(carry), [*groups, "_part"], "left")
 
 
 def _before(groups: list[str]):

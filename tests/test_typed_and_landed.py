@@ -173,3 +173,20 @@ def test_first_rows_survive_a_broken_run(spark, tmp_path):
     assert land_first_rows(spark, inbox, kind, base) == 3                   # nothing new
     rows = first_rows(spark, base, kind).orderBy("file").collect()
     assert [(r.file, r.pos, r.text) for r in rows] == [("a", 1, "a1"), ("b", 5, "b5"), ("c", 1, "c1"), ("d", 1, "d1")]
+
+
+def test_equal_rows_spread_over_partitions(spark):
+    same = spark.range(4000).select(F.lit(1).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = numbering._ordered(same, [], ["k"]).groupBy("_part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 3000
+    assert [r.n for r in numbering.number_rows(same, "k", "n").orderBy("n").collect()] == list(range(1, 4001))
+
+
+def test_carry_is_sent_to_the_rows(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.col("id").alias("pos"), (F.col("id") * 1.0).alias("v"))
+    plan = numbering.previous_values(df, "v", "pos", "g", number="no")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
