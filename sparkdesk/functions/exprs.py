@@ -89,13 +89,13 @@ def change_label(change) -> Column:
 
 
 def pct_change_expr(cur, prev) -> Column:
-    """W2 arithmetic: (cur/prev - 1) * 100; by zero gives +/-inf, 0/0 null."""
+    """W2 arithmetic: (cur/prev - 1) * 100; by zero gives +/-inf (by the sign of the zero,
+    too, as in pandas), 0/0 null."""
     cur, prev = _c(cur), _c(prev)
     inf = F.lit(float("inf"))
     return (F.when(prev.isNull() | cur.isNull(), F.lit(None).cast("double"))
             .when(prev != 0, (cur / prev - 1.0) * 100.0)
-            .when(cur > 0, inf)
-            .when(cur < 0, -inf)
+            .when(cur != 0, F.when((cur > 0) != (prev.cast("double").cast("string") == "-0.0"), inf).otherwise(-inf))
             .otherwise(F.lit(None).cast("double")))
 
 

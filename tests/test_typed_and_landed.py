@@ -190,3 +190,10 @@ def test_carry_is_sent_to_the_rows(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.col("id").alias("pos"), (F.col("id") * 1.0).alias("v"))
     plan = numbering.previous_values(df, "v", "pos", "g", number="no")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_change_from_a_negative_zero(spark):
+    from sparkdesk.operators import bills
+    df = spark.createDataFrame([(1, -0.0), (2, 5.0), (3, 0.0), (4, 5.0), (5, -0.0), (6, -5.0)], "pos long, amount double")
+    got = [r.pct_change for r in bills.with_change(df, "amount", "pos").orderBy("pos").collect()]
+    assert got == [None, float("-inf"), -100.0, float("inf"), -100.0, float("inf")]
