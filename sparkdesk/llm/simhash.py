@@ -30,8 +30,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from sparkdesk.llm.common import bounded_batches, connected_components, id_and_bytes, word_blocks
+from sparkdesk.llm.common import (bounded_batches, connected_components, free_names, id_and_bytes,
+                                  word_blocks)
 from sparkdesk.session import materialize
 
 SEGMENT_BITS = 16
@@ -105,15 +107,22 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
             .distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
+             max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of every row, and ``(fp, low, root)`` of every fingerprint: its smallest key and the
+    fingerprint that names its group."""
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle_words))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    roots = connected_components(links(nodes.select("fp"), max_bits))
+    return marked, (nodes.join(roots, nodes["fp"] == roots["node"], "left")
+                    .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """``(id_col, fingerprint, component_id)``: one row per input row; ``component_id`` is
     the smallest key of the group and ``fingerprint`` 16 lower-case hex digits."""
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle_words))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(links(nodes.select("fp"), max_bits))
-    rooted = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    marked, rooted = _grouped(docs, id_col, text_col, shingle_words, max_bits)
     first = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(first, "root").select("fp", "component_id")
     return (marked.join(named, "fp")
@@ -124,12 +133,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: each group keeps the document of the
-    smallest key.  Repeated rows of that key count as one document; rows without a key
-    cannot be told apart and stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle_words, max_bits)
-    gone = (found.where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col)).distinct())
-    keyed = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
-    return (keyed.dropDuplicates([id_col]).select(*docs.columns)
+    """The rows of ``docs`` without near duplicates: each group keeps one document, that of the
+    smallest key, then text hash.  A document is a key with a text: a key with several texts
+    is several documents, repeated rows of one are one, of which the row with the smallest
+    hash stays; rows without a key cannot be told apart and stay."""
+    key, hashed, row, fp = free_names(docs, ["_id", "_th", "_row", "_fp"])
+    body = docs.withColumn(hashed, F.xxhash64(text_col)).withColumn(fp, F.col(text_col))
+    keyed = body.where(F.col(id_col).isNotNull())
+    # the fingerprint belongs to the text: its hash goes along in the key
+    both = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(hashed).alias("th")).alias(key), F.col(fp))
+    _, rooted = _grouped(both, key, fp, shingle_words, max_bits)
+    kept = (rooted.groupBy("root").agg(F.min("low").alias("low"))
+            .select(F.col("low.id").alias(key), F.col("low.th").alias(fp)))
+    columns = [f for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    stay = (keyed.drop(fp).join(kept, (F.col(id_col) == F.col(key)) & (F.col(hashed) == F.col(fp)), "left_semi")
+            .groupBy(F.col(id_col).alias(key), F.col(hashed).alias(fp))
+            .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
+                          F.xxhash64(*[F.col(f"`{f.name}`") for f in columns])).alias(row)))
+    return (stay.select(*[F.col(row)[c].alias(c) for c in docs.columns])
             .unionByName(docs.where(F.col(id_col).isNull())))

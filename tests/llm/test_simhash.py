@@ -2,6 +2,8 @@ import random
 
 import xxhash
 
+from pyspark.sql import functions as F
+
 from sparkdesk.llm import simhash
 from tests.llm.data import documents, edge_documents, none, prose
 
@@ -128,3 +130,16 @@ def test_long_text_in_blocks(monkeypatch):
     from sparkdesk.llm import common
     monkeypatch.setattr(common, "BLOCK", 100)
     assert simhash.fingerprint(text.encode()) == want
+
+
+def test_keep_one_keeps_different_texts_of_a_key(spark):
+    one, two, three = "a b c d e", "p q r s t u", "v w x y z"
+    rows = [(1, one, "r"), (1, two, "r"), (1, two, "s"), (2, two, "r"), (3, three, "r"), (0, three, "r"), (4, one, "t"),
+            (None, one, "n"), (5, None, "e"), (5, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th string")
+    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one(df.repartition(3)).collect())
+    # texts without words are one group, of which one row of key 5 stays
+    assert kept == sorted([("1", one), ("1", two), ("0", three), ("None", one), ("5", "")])
+    # the row that stays does not depend on the order of rows
+    picks = {tuple(sorted(map(str, simhash.keep_one(df.orderBy(F.rand(s)).repartition(4)).collect()))) for s in range(3)}
+    assert len(picks) == 1
