@@ -2,7 +2,9 @@
 
 Plain Parquet has no UPDATE/DELETE/MERGE, so each operation returns the next
 snapshot as a DataFrame; ``write_snapshot`` stores it in a new version
-folder and never overwrites its own input.
+folder and never overwrites its own input.  ``log_changes`` stores edits and
+deletes of few keys beside the newest snapshot instead; readers merge them in
+and ``commit`` or ``compact`` takes them into the next snapshot.
 """
 
 from __future__ import annotations
@@ -120,7 +122,7 @@ def snapshot_versions(spark, base: str) -> list[int]:
     return sorted(out)
 
 
-def read_latest(spark, base: str, schema=CONTACT_SCHEMA) -> tuple[DataFrame, int]:
+def read_snapshot(spark, base: str, schema=CONTACT_SCHEMA) -> tuple[DataFrame, int]:
     """The newest complete snapshot and its version (an empty table, 0 if none)."""
     versions = snapshot_versions(spark, base)
     if not versions:
@@ -128,12 +130,82 @@ def read_latest(spark, base: str, schema=CONTACT_SCHEMA) -> tuple[DataFrame, int
     return spark.read.parquet(f"{base.rstrip('/')}/v={versions[-1]}"), versions[-1]
 
 
+def _change_base(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/changes/after={version}"
+
+
+# K4 + K5 on a stored table: only the changed keys are written, as one more folder of changes
+# to the newest snapshot
+def log_changes(spark, base: str, edits: DataFrame | None = None, deletes: DataFrame | None = None,
+                key: str = "id", seq: str = "seq") -> str:
+    """Store edits and deletes beside the newest snapshot without rewriting it.  A batch holds a
+    row per changed key (the last edit by ``seq``, and whether the key goes); rows without a key
+    change nothing.  One writer at a time, as for ``commit``."""
+    if edits is None and deletes is None:
+        raise ValueError("need edits or deletes")
+    snapshot, version = read_snapshot(spark, base)
+    key_type = snapshot.schema[key].dataType
+    values = [F.col(c).cast(snapshot.schema[c].dataType).alias(c) for c in FIELDS]
+    none = F.lit(None).cast(StructType([snapshot.schema[c] for c in FIELDS]))
+    parts = []
+    if edits is not None:
+        parts.append(edits.select(F.col(key).cast(key_type).alias(key), F.col(seq).cast("long").alias("_seq"),
+                                  F.struct(*values).alias("_values"), F.lit(False).alias("_gone")))
+    if deletes is not None:
+        parts.append(deletes.select(F.col(key).cast(key_type).alias(key), F.lit(None).cast("long").alias("_seq"),
+                                    none.alias("_values"), F.lit(True).alias("_gone")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    batch = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*_net(F.col("_seq")))
+    folder = _change_base(base, version)
+    return write_snapshot(batch, folder, max(snapshot_versions(spark, folder), default=0) + 1)
+
+
+def _net(order: Column) -> list[Column]:
+    """What the changes of a key come to: its last edit (one without an order before all others)
+    and whether it goes.  A key that goes stays away: keys are never given out again."""
+    edit = F.col("_values").isNotNull()
+    return [F.max_by("_values", F.when(edit, F.struct(order.isNotNull(), order))).alias("_values"),
+            F.bool_or("_gone").alias("_gone")]
+
+
+def pending_changes(spark, base: str, version: int, key: str = "id") -> DataFrame | None:
+    """``(key, _values, _gone)`` of the complete change folders after snapshot ``version``."""
+    folder = _change_base(base, version)
+    batches = snapshot_versions(spark, folder)
+    if not batches:
+        return None
+    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/v={b}" for b in batches])
+    return rows.groupBy(key).agg(*_net(F.col("v").cast("long")))
+
+
+def apply_changes(snapshot: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """A snapshot with its changes merged in.  Changes are small against the table, so adaptive
+    execution joins them without moving the snapshot's rows; larger ones are a sort-merge join."""
+    hit = F.col("_values").isNotNull()
+    cols = [F.when(hit, F.col(f"_values.{c}")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c)
+            for c in snapshot.columns]
+    return (snapshot.join(changes, key, "left").where(~F.coalesce("_gone", F.lit(False))).select(*cols))
+
+
+def read_latest(spark, base: str, schema=CONTACT_SCHEMA, key: str = "id") -> tuple[DataFrame, int]:
+    """The table as it is now (newest complete snapshot and the changes after it) and the
+    snapshot's version (an empty table, 0 if none)."""
+    snapshot, version = read_snapshot(spark, base, schema)
+    changes = pending_changes(spark, base, version, key)
+    return (snapshot if changes is None else apply_changes(snapshot, changes, key)), version
+
+
+def compact(spark, base: str, key: str = "id") -> str:
+    """Write snapshot and changes as the next snapshot, which starts without changes."""
+    return commit(spark, base, lambda current: current, key)
+
+
 def id_mark(spark, base: str, key: str = "id") -> int:
     """Highest id ever given out under ``base``: the stored marks and the newest snapshot
     (which covers a snapshot whose mark was not written any more)."""
-    current, _ = read_latest(spark, base)
+    snapshot, _ = read_snapshot(spark, base)        # with the rows that pending changes delete
     path = f"{base.rstrip('/')}/marks"
-    top = current.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("mark"))
+    top = snapshot.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("mark"))
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
@@ -145,7 +217,7 @@ def commit(spark, base: str, change, key: str = "id") -> str:
     """Apply ``change`` (snapshot -> snapshot) to the newest version and write
     the result as the next version; the input version stays untouched.  The
     highest id so far is stored beside it, so deleted ids are not given out again."""
-    current, v = read_latest(spark, base)
+    current, v = read_latest(spark, base, key=key)
     mark = id_mark(spark, base, key)
     path = write_snapshot(change(current), base, v + 1)
     (spark.read.parquet(path).agg(F.greatest(F.max(key).cast("long"), F.lit(mark)).alias("mark"))

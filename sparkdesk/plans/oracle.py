@@ -94,6 +94,24 @@ sql("contact_update", """
       ON c.id = l.id""", "contacts", "edits")
 sql("contact_delete", "SELECT * FROM contacts WHERE id NOT IN (SELECT id FROM deletes WHERE id IS NOT NULL)",
     "contacts", "deletes")
+_CHANGED = """
+    changed AS (
+      SELECT c.id,
+             CASE WHEN l.id IS NOT NULL THEN l.name ELSE c.name END AS name,
+             CASE WHEN l.id IS NOT NULL THEN l.phone ELSE c.phone END AS phone,
+             CASE WHEN l.id IS NOT NULL THEN l.city ELSE c.city END AS city, c.created_at
+      FROM contacts c LEFT JOIN
+        (SELECT * FROM edits WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l
+        ON c.id = l.id
+      WHERE c.id NOT IN (SELECT id FROM deletes WHERE id IS NOT NULL))"""
+sql("contact_changes", "SELECT * FROM changed", "contacts", "edits", "deletes", ctes=_CHANGED)
+sql("contact_changes_compacted", f"""
+    SELECT id, name, phone, city, created_at FROM changed
+    UNION ALL
+    SELECT (SELECT max(id) FROM contacts) + row_number() OVER (ORDER BY upload_pos), name, phone, city, {_RUN}
+    FROM uploads u
+    WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.name = u.name AND c.phone = u.phone)""",
+    "contacts", "edits", "deletes", "uploads", ctes=_CHANGED)
 sql("contact_backfill", f"""
     SELECT id, name, phone, city, coalesce(created_at, {_RUN}) AS created_at FROM contacts""", "contacts")
 
@@ -355,6 +373,7 @@ _RAG = """
            FROM q LEFT JOIN ctx ON q.query_id = ctx.query_id)"""
 sql("vector_topk", "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(distance, 6) AS distance, text FROM hits",
     ctes=_RAG)
+ORACLE["vector_topk_pruned"] = ORACLE["vector_topk"]
 _STORED = _RAG[:_RAG.index("    dist AS")] + """
     un AS (SELECT arg_min(doc_id, (doc_id, chunk_no)) AS doc_id, arg_min(chunk_no, (doc_id, chunk_no)) AS chunk_no, chunk
            FROM ch GROUP BY chunk),

@@ -18,6 +18,7 @@ from sparkdesk.operators import bills as B
 from sparkdesk.operators import chat as C
 from sparkdesk.operators import contacts as K
 from sparkdesk.operators import facets
+from sparkdesk.operators import pivots as Pv
 from sparkdesk.operators import profile as Pr
 from sparkdesk.operators import retrieval as R
 from sparkdesk.operators import series as S
@@ -170,6 +171,29 @@ def contact_delete(spark, d):
     return K.delete_rows(V.contacts(spark, d), V.deletes(spark, d))
 
 
+def _changed_contacts(spark, d):
+    base = scratch_dir(spark, "contacts")
+    K.commit(spark, base, lambda cur: V.contacts(spark, d))
+    K.log_changes(spark, base, edits=V.edits(spark, d))
+    K.log_changes(spark, base, deletes=V.deletes(spark, d))
+    return base
+
+
+# edits and deletes kept as changes to the stored snapshot, merged on reading
+@query
+def contact_changes(spark, d):
+    return K.read_latest(spark, _changed_contacts(spark, d))[0]
+
+
+# the same after the changes went into a new snapshot, with new contacts imported on top
+@query
+def contact_changes_compacted(spark, d):
+    base = _changed_contacts(spark, d)
+    K.compact(spark, base)
+    K.commit_import(spark, base, V.uploads(spark, d), run_ts=RUN_TS)
+    return K.read_latest(spark, base)[0]
+
+
 @query
 def contact_backfill(spark, d):
     return K.backfill_timestamps(V.contacts(spark, d), run_ts=RUN_TS)
@@ -329,6 +353,15 @@ def vector_topk(spark, d):
         "query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), "text")
 
 
+# the same rows from a pivot store, which leaves out the vectors that the bounds rule out
+@query
+def vector_topk_pruned(spark, d):
+    hits, _ = Pv.search(Pv.store_vectors(V.embeddings(spark, d)), _rag_questions(spark, d), k=3)
+    texts = V.docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    return R.attach_texts(hits, texts, "id", "text").select(
+        "query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "text")
+
+
 @query
 def rag_prompts(spark, d):
     questions = _rag_questions(spark, d)
