@@ -4,16 +4,20 @@ A document's 64-bit fingerprint has bit *b* set when more than half of its
 word-shingle hashes have it set.  Documents whose fingerprints differ in at
 most ``max_bits`` bits are linked; a group is a connected component.
 
-Search: the fingerprint is cut into four 16-bit segments.  For each segment a
-table row is written for every member of the small Hamming ball around that
-segment's value (the other segments as they are), on the stored and on the
-searching side alike.  Two fingerprints that differ in two bits of one segment
-meet at the value between them; two that differ in one bit of two segments
-meet where one side changed the first and the other the second.  A bucket
-therefore holds fingerprints around one 64-bit value: at most 65 with
-``max_bits=2``, however many near copies the corpus has, so no bucket needs a
-cap and no group of copies becomes all its pairs.  Matches are then verified
-on all 64 bits.
+Search: the fingerprint is cut into segments, as many as leave at most one
+differing bit in one of them (two of 32 bits for ``max_bits=2``).  A table keyed
+by segment number and segment value holds every fingerprint once a segment;
+a fingerprint looks up the Hamming ball of radius 1 around each of its segment
+values, and what it meets is verified on all 64 bits.  Of two values one bit
+apart the one with the zero looks up the other, so only zeros are flipped.
+
+A segment value that more than ``HOT`` fingerprints share (a group of near
+copies) would be compared pairwise, so its bucket is split by the remaining
+bits: every member is written for each value of the small ball around its
+remaining bits, and fingerprints within ``max_bits`` meet in one of the parts.
+All members of a part are within ``max_bits`` of each other by construction,
+so they are linked to the smallest one, as is a fingerprint that looks the
+part up: no pairs, no cap, and no part outgrows a ball.
 
 Equal fingerprints are one node from the start, so exact copies cost nothing.
 
@@ -26,17 +30,20 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from sparkdesk.llm.common import (bounded_batches, connected_components, free_names, id_and_bytes,
                                   word_blocks)
 from sparkdesk.session import materialize
 
-SEGMENT_BITS = 16
+HOT = 64                         # fingerprints of a segment value above which its bucket is split
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -86,25 +93,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"id {id_type}, fp bigint")
 
 
-def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Verified links ``(a, b)`` that connect all fingerprints of ``nodes`` (column ``fp``,
-    distinct) at most ``max_bits`` apart: in each bucket every member is linked to the
-    smallest, and any two members of a bucket are within ``max_bits`` of each other."""
-    if max_bits not in (0, 2):
-        raise ValueError("max_bits must be 0 or 2")
-    if max_bits == 0:
-        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a <> b")
-    members = [F.array("fp")]
-    for low in range(0, 64, SEGMENT_BITS):
-        members.append(F.array(*[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), b))
-                                 for b in range(low, low + SEGMENT_BITS)]))
-    table = nodes.select("fp", F.explode(F.concat(*members)).alias("value"))
-    buckets = (table.groupBy("value").agg(F.collect_list("fp").alias("found"))
-               .where(F.size("found") > 1)
-               .select(F.array_min("found").alias("b"), F.explode("found").alias("a")))
-    return (buckets.where("a <> b")
-            .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-            .distinct())
+def _ball(bits: list[int], radius: int) -> list[int]:
+    """Masks (signed longs) of at most ``radius`` of the bits."""
+    masks = [sum(1 << b for b in some) for n in range(radius + 1) for some in itertools.combinations(bits, n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _around(value: Column, masks: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: value.bitwiseXOR(m))
+
+
+def candidates(nodes: DataFrame, max_bits: int = 2, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Table matches ``(a, b)`` still to be verified, and links ``(a, b)`` that split buckets prove."""
+    if not 0 <= max_bits <= 4:
+        raise ValueError("max_bits must be 0 to 4")
+    n_segments = max_bits // 2 + 1
+    radius, inner = min(max_bits // n_segments, 1), max_bits // 2
+    segments = [range(64 * i // n_segments, 64 * (i + 1) // n_segments) for i in range(n_segments)]
+    rest = [[b for b in range(64) if b not in s] for s in segments]
+    own = [sum(_ball(list(s), 1)[1:]) for s in segments]          # the bits of a segment, as one mask
+    stored, asked = [], []
+    for i, s in enumerate(segments):
+        value = F.col("fp").bitwiseAND(F.lit(own[i]).cast("bigint"))
+        zeros = F.filter(F.array(*[F.lit(m).cast("bigint") for m in _ball(list(s), 1)[1:]]),
+                         lambda m: value.bitwiseAND(m) == 0)
+        flips = F.transform(zeros, lambda m: value.bitwiseOR(m))
+        stored.append(nodes.select(F.lit(i).alias("seg"), value.alias("value"), "fp"))
+        asked.append(nodes.select(F.lit(i).alias("seg"), F.posexplode(
+            F.concat(F.array(value), flips) if radius else F.array(value)).alias("nth", "value"), "fp")
+            .select("seg", "value", "fp", (F.col("nth") > 0).cast("int").alias("off")))
+    table, asks = functools.reduce(DataFrame.union, stored), functools.reduce(DataFrame.union, asked)
+    full = materialize(table.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n"))
+                       .where(F.col("n") > hot).select("seg", "value"))
+    met = (asks.withColumnRenamed("fp", "a")
+           .join(table.join(full, ["seg", "value"], "left_anti").withColumnRenamed("fp", "b"), ["seg", "value"])
+           .where((F.col("a") < F.col("b")) | (F.col("off") == 1) & (F.col("a") != F.col("b")))
+           .select("a", "b"))
+
+    def split(rows: DataFrame, reach: int) -> DataFrame:
+        """Rows of full buckets, once for each value around their remaining bits."""
+        parts = F.lit(None).cast("array<bigint>")
+        for i in range(n_segments):
+            others = F.col("fp").bitwiseAND(F.lit(~own[i]).cast("bigint"))
+            parts = F.when(F.col("seg") == i, _around(others, _ball(rest[i], reach))).otherwise(parts)
+        return rows.select("seg", "value", "fp", F.explode(parts).alias("part"))
+
+    key = ["seg", "value", "part"]
+    members = split(table.join(full, ["seg", "value"], "left_semi"), inner)
+    lowest = members.groupBy(*key).agg(F.min("fp").alias("b"))
+    asks = asks.join(full, ["seg", "value"], "left_semi")
+    rows = members
+    for off in range(radius + 1):
+        reach = max_bits - off - inner
+        if off or reach != inner:           # else they are the members themselves
+            rows = rows.union(split(asks.where(F.col("off") == off), reach))
+    proved = rows.withColumnRenamed("fp", "a").join(lowest, key).where("a <> b").select("a", "b")
+    return met, proved
+
+
+def links(nodes: DataFrame, max_bits: int = 2, hot: int = HOT) -> DataFrame:
+    """Verified links ``(a, b)``, some more than once, that connect all fingerprints of ``nodes``
+    (column ``fp``, distinct) at most ``max_bits`` apart."""
+    met, proved = candidates(nodes, max_bits, hot)
+    return met.union(proved).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,

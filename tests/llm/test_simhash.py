@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from pyspark.sql import functions as F
@@ -73,21 +74,30 @@ def test_near_copies(spark):
     assert found(df) == expected(df)
 
 
-def test_chains_and_hubs_of_fingerprints(spark):
-    """Links and components on chosen fingerprints: chains of 2-bit steps, and a full ball."""
+def chains_and_hubs(steps):
     r, fps = random.Random(9), set()
     for _ in range(5):
         x = r.getrandbits(64)
         for _ in range(30):
             fps.add(x)
-            for b in r.sample(range(64), r.choice([1, 2, 3])):
+            for b in r.sample(range(64), r.choice(steps)):
                 x ^= 1 << b
     hub = r.getrandbits(64)
-    fps |= {hub ^ (1 << b) for b in range(64)} | {hub}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x      # noqa: E731
-    nodes = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")
-    links = [(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in simhash.links(nodes).collect()]
-    assert all(bin(a ^ b).count("1") <= 2 for a, b in links)
+    return fps | {hub ^ (1 << b) for b in range(64)} | {hub}
+
+
+def frame(spark, fps):
+    return spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp bigint")
+
+
+@pytest.mark.parametrize("bits,hot", [(2, 64), (2, 0), (2, 3), (0, 64), (1, 64), (3, 64), (3, 2), (4, 4)])
+def test_chains_and_hubs_of_fingerprints(spark, bits, hot):
+    """Links and components on chosen fingerprints, whole and split buckets: chains of steps
+    about as long as the limit, and a full ball."""
+    fps = chains_and_hubs([max(1, bits - 1), max(1, bits), bits + 1])
+    links = [(a & (1 << 64) - 1, b & (1 << 64) - 1)
+             for a, b in simhash.links(frame(spark, fps), bits, hot).collect()]
+    assert all(0 < bin(a ^ b).count("1") <= bits for a, b in links)
     parent = {x: x for x in fps}
 
     def top(x):
@@ -99,11 +109,25 @@ def test_chains_and_hubs_of_fingerprints(spark):
     groups = {}
     for x in fps:
         groups.setdefault(top(x), set()).add(x)
-    want = slow_components([(x, x) for x in fps])
+    want = slow_components([(x, x) for x in fps], bits)
     assert {frozenset(g) for g in groups.values()} == {
         frozenset(x for x in fps if want[x] == m) for m in set(want.values())}
 
 
+def test_matches_are_verified_and_split_buckets_stay_small(spark):
+    """Fingerprints that share a segment only are met and rejected; a hot segment value
+    becomes parts that no group of copies fills, with as many links as rows."""
+    r = random.Random(3)
+    fps = {0x1234567800000000 | r.getrandbits(32) for _ in range(40)}
+    met, proved = simhash.candidates(frame(spark, fps))
+    assert met.count() == 40 * 39 // 2 and proved.count() == 0
+    assert simhash.links(frame(spark, fps)).count() < 5
+    many = {0x1234567800000000 | 1 << a | 1 << b for a in range(32) for b in range(32)}
+    met, proved = simhash.candidates(frame(spark, many), hot=64)
+    assert proved.count() <= 33 * len(many)
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in proved.collect())
+
+
 def test_components(spark):
     from sparkdesk.llm.common import connected_components
     r = random.Random(3)
