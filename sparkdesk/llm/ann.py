@@ -24,8 +24,9 @@ smaller id whatever the size of the group.  Multiples that rounding has changed
 are near copies.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part; repeated rows (same id and direction) count once; a
-query never finds a row of its own id; rows with a null id take no part; fewer
+components take no part; repeated rows (same id and direction) count once; an
+id with several directions is a row for each, found once for each, and asks once
+for each (its ranks start again); a query never finds a row of its own id; rows with a null id take no part; fewer
 candidates than ``k`` are all returned where the windows reach them; an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -162,8 +163,9 @@ def _places(reps: DataFrame, curves: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
             k: int = 5, curves: int = CURVES, window: float = WINDOW) -> DataFrame:
-    """``(query_id, rank, id_col, score)``: the ``k`` nearest found of every row that
-    ``is_query`` (an expression over ``id_col``) holds for, by cosine, nearest first."""
+    """``(query_id, rank, id_col, score, scored)``: the ``k`` nearest found of every row that
+    ``is_query`` (an expression over ``id_col``) holds for, by cosine, nearest first, and how
+    many rows the query was scored against on all curves together."""
     bounded_batches(vectors.sparkSession)
     rows = (vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col)))
             .select(F.col(id_col).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
@@ -173,60 +175,64 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     first = (rows.select("dir", "vec", "id", F.row_number().over(in_group).alias("nth"))
              .where(F.col("nth") <= k + 1))
     members = materialize(first.select(F.xxhash64("dir").alias("h"), "dir", "vec", "id", "nth"))
-    points = members.where("nth = 1").select("h", "dir", F.col("id").alias("rid"))
-    reps = members.where("nth = 1").select("vec", F.col("id").alias("rid"))
+    # a point is a direction: an id with several of them is several points
+    points = materialize(members.where("nth = 1").select("h", "dir", "vec", F.col("id").alias("low"),
+                                                         F.monotonically_increasing_id().alias("rid")))
+    reps = points.select("vec", "low", "rid")
+    points = points.select("h", "dir", "rid")
     members = members.select("h", "dir", "id").join(points, ["h", "dir"]).select("rid", "id")
     asking = materialize(rows.where("asks").select(F.xxhash64("dir").alias("h"), "dir", F.col("id").alias("query_id"))
                          .join(points, ["h", "dir"]).select("rid", "query_id"))
     n, n_asking = reps.count(), asking.select("rid").distinct().count()
     half = max(int(np.ceil(n * window / 2)), LEAST)
     blocks = max(1, int(np.ceil(n_asking * (2 * half + SLAB) / max(n, 1) / QUERY_BLOCK)))
-    placed = _places(reps, curves).join(reps.select("rid", "vec"), "rid")
+    placed = _places(reps, curves).join(reps, "rid")
     stored = (placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
               .select("curve", F.floor(F.col("place") / SLAB).alias("slab"), "block", F.lit(False).alias("asks"),
-                      "place", "rid", "vec"))
+                      "place", "rid", "low", "vec"))
     searched = (placed.join(asking.select("rid").distinct(), "rid", "left_semi")
                 .select("*", F.explode(F.sequence(
                     F.greatest(F.floor((F.col("place") - half) / SLAB), F.lit(0)),
                     F.least(F.floor((F.col("place") + half) / SLAB), F.lit((max(n, 1) - 1) // SLAB)))).alias("slab"))
                 .select("curve", "slab", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("block"),
-                        F.lit(True).alias("asks"), "place", "rid", "vec"))
-    id_type = reps.schema["rid"].dataType.simpleString()
+                        F.lit(True).alias("asks"), "place", "rid", "low", "vec"))
+    id_type = reps.schema["low"].dataType.simpleString()
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         kept, out = group[~group["asks"]], []
         asks = group[group["asks"]]
         for size, some in asks.groupby(asks["vec"].map(len)):
-            have = kept[kept["vec"].map(len) == size].sort_values("rid")
+            have = kept[kept["vec"].map(len) == size].sort_values("place")
             if not len(have):
                 continue
-            x, rid, place = _matrix(have["vec"]), have["rid"].to_numpy(), have["place"].to_numpy()
-            for at in range(0, len(some), 256):
-                part = some.iloc[at:at + 256]
-                score = _cosine(_matrix(part["vec"]), x)
-                inside = np.abs(part["place"].to_numpy()[:, None] - place) <= half
-                score[~inside | (part["rid"].to_numpy()[:, None] == rid)] = -np.inf
-                # rows are in order of id, so a stable sort leaves ties to the smaller id
-                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                found = np.take_along_axis(score, order, axis=1)
-                q, c = np.nonzero(np.isfinite(found))
-                out.append(pd.DataFrame({"rid": part["rid"].to_numpy()[q], "found": rid[order[q, c]],
-                                         "score": found[q, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"rid": [], "found": [], "score": []})
-
-    near = (stored.unionByName(searched).groupBy("curve", "slab", "block")
-            .applyInPandas(best, f"rid {id_type}, found {id_type}, score double")
-            .groupBy("rid", "found").agg(F.max("score").alias("score")))
-    top = Window.partitionBy("rid").orderBy(F.desc("score"), "found")
-    near = near.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).drop("nth")
+            x, rid, low, place = (_unit(_matrix(have["vec"])), *(have[c].to_numpy() for c in ("rid", "low", "place")))
+            first = np.searchsorted(place, some["place"].to_numpy() - half, "left")
+            last = np.searchsorted(place, some["place"].to_numpy() + half, "right")
+            for q, own, a, b in zip(_unit(_matrix(some["vec"])), some["rid"].to_numpy(), first, last):
+                # only the rows inside the window are scored
+                score = np.clip(x[a:b] @ q, -1.0, 1.0)
+                score[rid[a:b] == own] = -np.inf
+                best = np.flatnonzero(score >= np.partition(score, b - a - k)[b - a - k]) if b - a > k else np.arange(b - a)
+                best = best[np.lexsort((rid[a:b][best], low[a:b][best], -score[best]))][:k]
+                best = best[np.isfinite(score[best])]
+                out.append((own, b - a, rid[a:b][best], low[a:b][best], score[best]))
+        n = [max(len(f), 1) for _, _, f, _, _ in out]           # a row without a find says what was scored
+        rows = pd.DataFrame({"rid": np.repeat([o for o, *_ in out], n).astype(np.int64)})
+        rows["scored"] = [x for _, m, f, _, _ in out for x in [m] + [0] * (max(len(f), 1) - 1)]
+        for c, name in ((2, "found"), (3, "low"), (4, "score")):
+            rows[name] = pd.Series([v for o in out for v in (o[c] if len(o[2]) else [None])], dtype=object)
+        return rows
+
+    near = materialize(stored.unionByName(searched).groupBy("curve", "slab", "block")
+                       .applyInPandas(best, f"rid bigint, scored bigint, found bigint, low {id_type}, score double"))
+    work = near.groupBy("rid").agg(F.sum("scored").alias("scored"))
+    top = Window.partitionBy("rid").orderBy(F.desc("score"), "low", "found")
+    near = (near.where("found is not null").groupBy("rid", "found", "low").agg(F.max("score").alias("score"))
+            .withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).select("rid", "found", "score"))
     same = asking.select("rid").distinct().select("rid", F.col("rid").alias("found"), F.lit(1.0).alias("score"))
     ids = near.unionByName(same).join(members.withColumnRenamed("rid", "found"), "found")
     by_query = Window.partitionBy("query_id", "rid").orderBy(F.desc("score"), "id")
-    return (asking.join(ids, "rid").where(F.col("id") != F.col("query_id"))
+    return (asking.join(ids, "rid").join(work, "rid", "left").where(F.col("id") != F.col("query_id"))
             .withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "score"))
-
-
-def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of every row of ``a`` with every row of ``b``, scaled against overflow."""
-    return np.clip(_unit(a) @ _unit(b).T, -1.0, 1.0)
+            .select("query_id", "rank", F.col("id").alias(id_col), "score",
+                    F.coalesce("scored", F.lit(0).cast("long")).alias("scored")))

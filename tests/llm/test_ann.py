@@ -117,3 +117,20 @@ def test_multiples_are_one_point(spark):
         assert [i for i, _ in got[q]] == [i for i in range(300, 305) if i != q][:4]
     assert found(frame(spark, [(0, [1.0, 2.0]), (0, [2.0, 4.0]), (1, [3.0, 6.0]), (1, [0.5, 1.0]), (2, [1.0, 0.0])]),
                  5, 2) == {0: [(1, 1.0), (2, 0.447213595)]}
+
+
+def test_only_windows_are_scored(spark):
+    """A query is scored against the rows of its windows, not against their whole slabs."""
+    r = np.random.default_rng(6)
+    df = frame(spark, [(i, r.standard_normal(16).tolist()) for i in range(1500)])
+    rows = ann.nearest(df, F.col("vec_id") % 50 == 0, k=3, curves=4, window=0.02).collect()
+    assert len(rows) == 30 * 3
+    # 100 rows to either side, and itself, on each curve
+    assert all(4 * 101 <= x.scored <= 4 * 201 for x in rows)
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [0.9, 0.1]), (1, [-1.0, 0.2]), (5, [1.0, 0.0]), (7, [0.0, 1.0])]
+    got = found(frame(spark, rows), 5, 3)
+    # components are stored as float
+    assert [(i, round(x, 6)) for i, x in got.pop(5)] == [(1, 0.993884), (7, 0.0), (1, -0.980581)] and not got
