@@ -33,7 +33,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from sparkdesk.llm.common import BLANK, BLOCK, bounded_batches, id_and_bytes
 
@@ -46,7 +46,7 @@ STOP = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"
                   rb"[!-&(-/:-@\[-`{-~]+(?=[ \n]|\Z)")
 NEVER = 1 << 40
 LATIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
-SCHEMA = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+SCHEMA = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, loss bigint"
 
 
 def byte_letters() -> list[str]:
@@ -346,21 +346,32 @@ class Packer:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                    text_col: str = "text", tokens: int = 2048, segments: int = 64,
-                   loss_tokens: int = 2048, closing_id: int = 1) -> DataFrame:
+                   loss_tokens: int = 2048, closing_id: int = 1, prompt_col: str | None = None) -> DataFrame:
     """Tokenize every text, close it with ``closing_id`` and pack.  One row per piece:
     ``id_col, start, length, ids`` (little-endian unsigned 32-bit)``, doc_tokens,
-    sequence_id, offset``."""
+    sequence_id, offset, loss`` (its loss-bearing tokens).
+
+    All tokens of a piece but the first bear loss, unless ``prompt_col`` names the text
+    that comes before ``text_col`` (tokenized on its own; null is empty): then those of the
+    prompt bear none, and all others do, the closing id too."""
     bounded_batches(docs.sparkSession)
     src = id_and_bytes(docs, id_col, text_col)
+    if prompt_col is not None:
+        src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"),
+                          F.col(prompt_col).cast("binary").alias("prompt"))
     id_type = src.schema["id"].dataType
 
     def run(batches):
         tokenizer = word_tokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
-        packer = Packer(lambda tag, start, ids, sequence, at: rows.append(
-            (tag[0], start, len(ids), ids.tobytes(), tag[1], base + sequence, at)),
-            tokens, segments, loss_tokens)
+
+        def emit(tag, start, ids, sequence, at):
+            key, size, silent = tag
+            loss = len(ids) - 1 if silent is None else start + len(ids) - max(start, min(silent, start + len(ids)))
+            rows.append((key, start, len(ids), ids.tobytes(), size, base + sequence, at, loss))
+
+        packer = Packer(emit, tokens, segments, loss_tokens)
 
         def flush():
             out = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=schema)
@@ -368,15 +379,23 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             return out
 
         schema = None
-        names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss"]
         for batch in batches:
             if schema is None:
                 schema = pa.schema([("id", batch.schema.field(0).type), *(
                     (n, pa.binary() if n == "ids" else pa.int64()) for n in names[1:])])
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, tokenizer.encode([b or b"" for b in batch.column(1).to_pylist()])):
+            texts = tokenizer.encode([b or b"" for b in batch.column(1).to_pylist()])
+            prompts = [None] * len(keys)
+            if prompt_col is not None:
+                prompts = tokenizer.encode([b or b"" for b in batch.column(2).to_pylist()])
+            for key, before, ids in zip(keys, prompts, texts):
                 ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
-                packer.add((key, len(ids)), ids)
+                if before is None:
+                    packer.add((key, len(ids), None), ids)
+                else:
+                    mask = np.repeat([0, 1], [len(before), len(ids)])
+                    packer.add((key, len(mask), len(before)), np.concatenate([before, ids]), mask)
                 if len(rows) >= 5000:
                     yield flush()
         packer.finish()

@@ -154,3 +154,34 @@ def test_added_tokens_are_packed_as_such(spark):
         by_doc.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, "<u4").tolist())
         assert p.doc_tokens == len(unchanged_ids(ADDED[p.doc_id])) + 1
     assert by_doc == {i: [*unchanged_ids(t), 1] for i, t in enumerate(ADDED)}
+
+
+def test_prompts_bear_no_loss_and_the_loss_limit_closes_sequences(spark):
+    """Instruction data: prompt tokens count for length only, and a binding loss limit closes
+    sequences that still have room for tokens."""
+    r = random.Random(8)
+    rows = [(i, None if i % 9 == 0 else " ".join(r.choice("abcdef") for _ in range(r.randrange(60))),
+             None if i % 11 == 0 else " ".join(r.choice("uvwxyz") for _ in range(r.randrange(40)))) for i in range(150)]
+    rows.append((150, "a " * 900, "u " * 300))
+    df = spark.createDataFrame(rows, "doc_id long, ask string, text string").coalesce(1)
+    limit = 60
+    pieces = packing.pack_documents(df, queries.WORD_BPE, tokens=256, segments=8, loss_tokens=limit,
+                                    prompt_col="ask").collect()
+    of, loss, held, count = {}, {}, {}, {}
+    for p in pieces:
+        of.setdefault(p.doc_id, []).append(p)
+        loss[p.sequence_id] = loss.get(p.sequence_id, 0) + p.loss
+        held[p.sequence_id] = held.get(p.sequence_id, 0) + p.length
+        count[p.sequence_id] = count.get(p.sequence_id, 0) + 1
+    for i, ask, text in rows:
+        mine = sorted(of[i], key=lambda p: p.start)
+        want = [*list(library_ids(ask or ""))[:-1], *library_ids(text or "")]
+        assert b"".join(p.ids for p in mine) == np.array(want, "<u4").tobytes()
+        assert sum(p.loss for p in mine) == len(library_ids(text or ""))
+    assert max(loss.values()) <= limit and max(count.values()) <= 8 and max(held.values()) <= 256
+    # the limit binds: without it sequences hold more (one closed short of 256 tokens is divided)
+    free = packing.pack_documents(df, queries.WORD_BPE, tokens=256, segments=8, prompt_col="ask").collect()
+    most = {}
+    for p in free:
+        most[p.sequence_id] = most.get(p.sequence_id, 0) + p.loss
+    assert sum(x > limit for x in most.values()) > 5 and len(most) < len(loss)
