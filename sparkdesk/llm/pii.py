@@ -297,9 +297,9 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in brackets; overlapping
     spans become one replacement after the other without repeating text."""
     at = free_name(docs, "_spans")
-    model = fit(materialize(candidates(docs.select(F.col(text_col).alias("text")), "text", "found")
-                            .select("found").where(F.size("found") > 0)), "found")
-    marked = candidates(docs, text_col, at)
+    # written once with its candidates: the model is fitted on them all, then they are judged
+    marked = materialize(candidates(docs, text_col, at))
+    model = fit(marked.where(F.size(at) > 0), at)
     marked = marked.select(*docs.columns, spans(at, model).alias(at))
     text = F.col(text_col)
 
