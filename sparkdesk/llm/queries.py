@@ -33,9 +33,18 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role"), F.col("text"), F.xxhash64("conv_id", "turn")).alias("text"))
 
 
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same transcripts with a row for each line, so no row tells where a turn starts;
+    different texts of one turn follow each other by text hash."""
+    turns = transcripts(spark, sf_dir).withColumn("version", F.xxhash64("text"))
+    return turns.select("conv_id", "turn", "version", F.posexplode_outer(F.split("text", "\n")).alias("line", "text"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical turns of every transcript line, roles recovered by the model."""
-    return chat.parse(transcripts(spark, sf_dir), ["turn"])
+    """Role and turn start of every line of all transcripts, and its canonical form, by the
+    model estimated from them."""
+    found = chat.parse(transcript_lines(spark, sf_dir), ["turn", "version", "line"], rounds=chat.ROUNDS)
+    return found.select("conv_id", "turn", "line", "role", "starts", "content", "rendered")
 
 
 def op3_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
