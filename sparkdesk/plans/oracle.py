@@ -513,3 +513,26 @@ ORACLE["bill_months_seen"] = _bills("""
     SELECT month AS option, row_number() OVER (ORDER BY min(pos)) AS ord FROM bills
     WHERE month IS NOT NULL GROUP BY month""")
 ORACLE["stream_first_bills"] = ORACLE["first_bill_per_file"]
+_FILES = f"""
+    files AS (SELECT CAST(floor(doc_id / {Q.FILE_DOCS}) AS BIGINT) AS bucket,
+                     string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, text NULLS FIRST) AS t
+              FROM docs GROUP BY 1)"""
+sql("whole_text_files", r"""
+    SELECT 'utf8' AS encoding, bucket, 'ok' AS status, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5
+    FROM files
+    UNION ALL
+    SELECT 'latin1', bucket, CASE WHEN bad THEN 'quarantine' ELSE 'ok' END,
+           CASE WHEN NOT bad THEN CAST(length(t) AS BIGINT) END,
+           CASE WHEN NOT bad THEN md5(regexp_replace(t, '[^\x{0}-\x{FF}]', '?', 'g')) END
+    FROM (SELECT *, regexp_matches(t, '[\x{80}-\x{FF}]') AS bad FROM files)""", "docs", ctes=_FILES)
+sql("dispatch_totals", """
+    SELECT 'txt' AS kind, 'ok' AS status, CAST(count(*) AS BIGINT) AS "rows",
+           CAST(sum(octet_length(encode(t))) AS BIGINT) AS bytes FROM files
+    UNION ALL SELECT 'csv', 'ok', (SELECT count(*) FROM health), NULL
+    UNION ALL SELECT 'unsupported', 'unsupported', NULL, NULL""", "docs", "health", ctes=_FILES)
+sql("landed_sizes", """
+    SELECT count(*) AS "rows", CAST(3 AS INTEGER) AS "columns", CAST(0 AS BIGINT) AS missing, 'ok' AS status,
+           CAST(sum(octet_length(encode(concat_ws(',', id, name, city))) + 1) AS BIGINT) AS line_bytes
+    FROM contacts WHERE name IS NOT NULL AND city IS NOT NULL""", "contacts")
+_COUNTS = ", ".join(f"length(chunk) - length(replace(chunk, '{c}', ''))" for c in Q.LETTERS)
+sql("letter_vectors", f"SELECT doc_id, chunk_no, concat_ws(',', {_COUNTS}) AS vector FROM ch", "docs", ctes=_CHUNKS)

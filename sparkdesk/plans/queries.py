@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.functions import patterns as P
@@ -634,6 +635,68 @@ def bill_months_seen(spark, d):
     return facets.first_seen(_bills_by_month(spark, d), "month", "pos")
 
 
+FILE_DOCS = 100                  # documents a text file holds; more documents are more files
+
+
+def _write_text_files(docs, path):
+    """A file for every ``FILE_DOCS`` ids under ``bucket=<n>``, a line (or more) a document by id."""
+    bucket = F.floor(F.col("doc_id") / FILE_DOCS).alias("bucket")
+    (docs.select(bucket, "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
+     .select("bucket", "text").write.partitionBy("bucket").text(path))
+
+
+# S5 + S2: whole text files in two encodings; those that are not UTF-8 are set aside
+@query
+def whole_text_files(spark, d):
+    root = scratch_dir(spark, "whole")
+    docs = V.docs(spark, d)
+    _write_text_files(docs, root + "/encoding=utf8")
+    # text files are written byte by byte, so Latin-1 bytes in a string column stay as they are
+    latin1 = F.encode(F.regexp_replace("text", r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1").cast("string")
+    _write_text_files(docs.withColumn("text", latin1), root + "/encoding=latin1")
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    return Fi.read_text_files(spark, root, source_col="path").select(
+        part("encoding").alias("encoding"), part("bucket").cast("long").alias("bucket"), "status",
+        F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# S4 + F8: files of each kind, with their rows and, for texts, their bytes
+@query
+def dispatch_totals(spark, d):
+    root = scratch_dir(spark, "dispatch")
+    _write_text_files(V.docs(spark, d), root + "/docs_txt")
+    Fi.write_csv(V.health(spark, d), root + "/health_csv")
+    V.table(spark, d, "labels").write.json(root + "/labels_json")
+    return Fi.dispatch(spark, root).groupBy("kind", "status").agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(F.col("kind") == "txt", F.col("size"))).alias("bytes"))
+
+
+# Profile of a landed file, its size without the header line of each part
+@query
+def landed_sizes(spark, d):
+    path = scratch_dir(spark, "landed") + "/contacts"
+    named = V.contacts(spark, d).select("id", "name", "city").where("name is not null and city is not null")
+    Fi.write_csv(named, path)
+    p = Pr.profile_files(Fi.read_csv(spark, path, "id long, name string, city string"))
+    return p.select("rows", "columns", "missing", "status",
+                    (F.col("file_bytes") - F.col("files") * len("id,name,city\n")).alias("line_bytes"))
+
+
+LETTERS = "aeiou"
+
+
+def count_letters(texts):
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float32).reshape(-1, len(LETTERS))
+
+
+# D4 + T6: a user's batch function over all chunks
+@query
+def letter_vectors(spark, d):
+    chunks = R.embed(R.chunk_text(V.docs(spark, d), "text"), count_letters, len(LETTERS), text="chunk")
+    return chunks.select("doc_id", "chunk_no", F.array_join(
+        F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
 # F9 + ST1: bills land twice, the first half in both runs; each file name's first row once
 @query
 def stream_first_bills(spark, d):

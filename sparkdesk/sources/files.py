@@ -143,10 +143,11 @@ def dispatch(spark: SparkSession, root: str) -> DataFrame:
 
 
 # Whole-file text, strict UTF-8: invalid files are quarantined, not decoded
-def read_text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_text_files(spark: SparkSession, paths: str | Sequence[str], source_col: str | None = None) -> DataFrame:
     df = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     ok = F.is_valid_utf8("value")
-    return df.select(F.col("_metadata.file_name").alias("file_name"),
+    source = [F.col("_metadata.file_path").alias(source_col)] if source_col else []
+    return df.select(*source, F.col("_metadata.file_name").alias("file_name"),
                      F.when(ok, F.col("value")).alias("text"),
                      F.when(ok, F.lit("ok")).otherwise(F.lit("quarantine")).alias("status"))
 
