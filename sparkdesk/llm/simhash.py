@@ -21,6 +21,10 @@ part up: no pairs, no cap, and no part outgrows a ball.
 
 Equal fingerprints are one node from the start, so exact copies cost nothing.
 
+The joins of exploded rows are sort-merge joins at every size: Spark takes an
+exploded array for one value, so a side of some 34 rows a fingerprint would
+look small enough to broadcast and be gathered on the driver.
+
 Defined results: null, empty and all-whitespace texts have fingerprint 0 and
 are linked like any other; a text of fewer words than a shingle hashes its
 whole word sequence; repeated rows each get a row; a null key never names a
@@ -126,7 +130,8 @@ def candidates(nodes: DataFrame, max_bits: int = 2, hot: int = HOT) -> tuple[Dat
     full = materialize(table.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n"))
                        .where(F.col("n") > hot).select("seg", "value"))
     met = (asks.withColumnRenamed("fp", "a")
-           .join(table.join(full, ["seg", "value"], "left_anti").withColumnRenamed("fp", "b"), ["seg", "value"])
+           .join(table.join(full, ["seg", "value"], "left_anti").withColumnRenamed("fp", "b").hint("merge"),
+                 ["seg", "value"])
            .where((F.col("a") < F.col("b")) | (F.col("off") == 1) & (F.col("a") != F.col("b")))
            .select("a", "b"))
 
@@ -147,7 +152,7 @@ def candidates(nodes: DataFrame, max_bits: int = 2, hot: int = HOT) -> tuple[Dat
         reach = max_bits - off - inner
         if off or reach != inner:           # else they are the members themselves
             rows = rows.union(split(asks.where(F.col("off") == off), reach))
-    proved = rows.withColumnRenamed("fp", "a").join(lowest, key).where("a <> b").select("a", "b")
+    proved = rows.withColumnRenamed("fp", "a").join(lowest.hint("merge"), key).where("a <> b").select("a", "b")
     return met, proved
 
 

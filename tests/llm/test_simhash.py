@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkdesk.llm import simhash
+from sparkdesk.session import materialize
 from tests.llm.data import documents, edge_documents, none, prose
 
 
@@ -128,6 +129,29 @@ def test_matches_are_verified_and_split_buckets_stay_small(spark):
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in proved.collect())
 
 
+def broadcast_sides(df):
+    """The plan below each broadcast exchange of ``df``, as text."""
+    lines, sides = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            sides.append("\n".join(lines[i + 1:end]))
+    return sides
+
+
+@pytest.mark.parametrize("hot", [64, 0])
+def test_exploded_rows_are_never_broadcast(spark, hot):
+    """A fingerprint is some 34 rows of either bucket table, which Spark takes for one: by its
+    estimate a few MB, on the driver hundreds."""
+    r = random.Random(11)
+    nodes = materialize(frame(spark, {r.getrandbits(64) for _ in range(3000)}))
+    for found in simhash.candidates(nodes, hot=hot):
+        assert not any("Generate" in side for side in broadcast_sides(found))
+        found.collect()                           # then the plan as adaptive execution ends it
+        assert not any("Generate" in side for side in broadcast_sides(found))
+
+
 def test_components(spark):
     from sparkdesk.llm.common import connected_components
     r = random.Random(3)
