@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked, rooted = _grouped(docs, id_col, text_col, shingle_words, max_bits)
     first = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(first, "root").select("fp", "component_id")
-    return (marked.join(named, "fp")
+    # a row per document on both sides: files of repeated fingerprints are far smaller than their rows
+    return (marked.join(named.hint("merge"), "fp")
             .select(F.col("id").alias(id_col),
                     F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     "component_id"))

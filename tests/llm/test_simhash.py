@@ -152,6 +152,16 @@ def test_exploded_rows_are_never_broadcast(spark, hot):
         assert not any("Generate" in side for side in broadcast_sides(found))
 
 
+def test_rows_of_documents_are_never_broadcast(spark):
+    """Fingerprints go to the rows of all documents, whose file is small where texts repeat."""
+    df = documents(spark, [prose(k % 5, 30) for k in range(400)])
+    rows = simhash.near_duplicates(df)
+    assert not any("[id#" in side for side in broadcast_sides(rows))
+    assert found(df) == expected(df)
+    rows.collect()
+    assert not any("[id#" in side for side in broadcast_sides(rows))
+
+
 def test_components(spark):
     from sparkdesk.llm.common import connected_components
     r = random.Random(3)
